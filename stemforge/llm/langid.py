@@ -175,6 +175,19 @@ def fit(docs: DataFrame, trainable: Column, sample: int = SAMPLE_ROWS) -> Langua
     return LanguageModel(x, got.column("lang").to_pylist())
 
 
+def _predict(m: LanguageModel, b: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """Predictions of each slab of a batch: (first row, end row, languages, scores)."""
+    at = b.schema.get_field_index(column)
+    for a, z, data, offs in slabs(b, column):
+        langs, score = m.predict(features(data, offs))
+        letters = ((data | 32) >= 97) & ((data | 32) <= 122)
+        some = np.concatenate([[0], np.cumsum(letters)])[offs]
+        for i in np.flatnonzero(some[1:] == some[:-1]).tolist():
+            if not has_letter(b.column(at)[a + i].as_py()):
+                langs[i], score[i] = UNDETERMINED, 0.0
+        yield a, z, langs, score
+
+
 def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score: predicted from the text alone.
 
@@ -185,16 +198,21 @@ def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            for a, z, data, offs in slabs(b, "text"):
-                langs, score = m.predict(features(data, offs))
-                letters = ((data | 32) >= 97) & ((data | 32) <= 122)
-                some = np.concatenate([[0], np.cumsum(letters)])[offs]
-                for i in np.flatnonzero(some[1:] == some[:-1]).tolist():
-                    if not has_letter(b.column(2)[a + i].as_py()):
-                        langs[i], score[i] = UNDETERMINED, 0.0
+            for a, z, langs, score in _predict(shared.value, b, "text"):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def determined(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose language can be told (is not `und`)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, z, langs, _ in _predict(shared.value, b, "text"):
+                yield b.slice(a, z - a).filter(pa.array([v != UNDETERMINED for v in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

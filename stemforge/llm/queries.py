@@ -31,6 +31,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_components
+
+    return near_components(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -56,7 +62,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprint, op2_exact_dedup, op4_bpe, op5_language_id, op6_license_scan, op7_best_fit_packing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprint, op2_exact_dedup, op3_ngram_jaccard, op4_bpe, op5_language_id, op6_license_scan, op7_best_fit_packing, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
