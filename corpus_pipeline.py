@@ -1,4 +1,78 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: language ID, exact dedup, near dedup, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+`docs`. Rows that a stage drops are gone for all later stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stemforge.llm import langid
+from stemforge.llm.common import BROADCAST_ROWS, cut, ship, table
+from stemforge.llm.exact_dedup import exact_dedup
+from stemforge.llm.jaccard import near_components
+from stemforge.llm.packing import pack
+from stemforge.llm.queries import tokenizer_path
+from stemforge.llm.substrings import clean_texts
+
+
+def _without(docs: DataFrame, dropped: DataFrame, text_key) -> DataFrame:
+    """`docs` without the rows of `dropped` (id, text_key). The list is broadcast only if it is short."""
+    gone = cut(dropped.select(F.col("doc_id").alias("__gone_id"), F.col("__text_key").alias("__gone_key")).distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (text_key == F.col("__gone_key"))
+    return docs.join(gone, same, "left_anti")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no letters) go."""
+    ship(spark)
+    return langid.determined(docs, langid.fit(docs, ~langid.held_out(F.col("doc_id"))))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row of the largest doc_id stays, and one row of rows repeated with id and text."""
+    ship(spark)
+    found = cut(exact_dedup(docs, keep="largest").select("doc_id", "kept", F.col("text_sha256").alias("__text_key")))
+    key = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    twice = cut(found.where("kept").groupBy("doc_id", "__text_key").count().where("count > 1"))
+    once = _without(docs, found.where("not kept"), key)
+    if twice.isEmpty():
+        return once
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__twice_id")) & (key == F.col("__twice_key"))
+    repeated = docs.join(twice.select(F.col("doc_id").alias("__twice_id"), F.col("__text_key").alias("__twice_key")), same, "left_semi")
+    return _without(once, twice, key).unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest doc_id stays."""
+    ship(spark)
+    found = near_components(docs).withColumnRenamed("text_hash", "__text_key")
+    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), F.xxhash64(docs["text"]))
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings of 200 bytes that stand more than once are taken out of the texts."""
+    ship(spark)
+    return clean_texts(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("passage_dedup", passages), ("packing", packing)]
+
+#: Language identification cannot be said in SQL.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs
