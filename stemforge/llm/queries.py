@@ -62,13 +62,25 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_tokens, write_tokens
+
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprint, op2_exact_dedup, op3_ngram_jaccard, op4_bpe, op5_language_id, op6_license_scan, op7_best_fit_packing, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprint, op2_exact_dedup, op3_ngram_jaccard, op4_bpe, op5_language_id, op6_license_scan, op7_best_fit_packing, op8_token_files, op9_lm_score, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
