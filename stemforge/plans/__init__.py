@@ -1,4 +1,6 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries over the driver tables, each with an independent SQL statement of its result."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import graph_queries, lexicon_queries, numeric_queries, table_queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "graph_queries", "lexicon_queries", "numeric_queries", "table_queries"]
