@@ -284,7 +284,11 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     live = cut(live.join(chosen, "node").where(F.col("idx") <= spare + F.col("l")).select("token", "node", "idx", "size", "component", "l"))
     x = live.select("token", F.col("node").alias("a"), F.col("idx").alias("ai"), F.col("size").alias("a_size"), F.col("component").alias("ac"), F.col("l").alias("al"))
     y = live.select("token", F.col("node").alias("b"), F.col("idx").alias("bi"), F.col("size").alias("b_size"), F.col("component").alias("bc"), F.col("l").alias("bl"))
-    able = (F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent) & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc"))
+    # The first l shared shingles of a pair that links leave room for the overlap that it needs.
+    need = F.ceil((F.col("a_size") + F.col("b_size")) * percent / (100 + percent))
+    room = F.least("al", "bl") + F.least(F.col("a_size") - F.col("ai"), F.col("b_size") - F.col("bi")) >= need
+    sizes = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
+    able = sizes & room & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc"))
     cross = (
         x.join(y, "token").where(able).groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.max("ai").alias("a_last"), F.max("bi").alias("b_last"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"), F.least(F.first("al"), F.first("bl")).alias("l"))
