@@ -26,6 +26,20 @@ from .textkit import prefix_sums, signed, span_hash
 LENGTH = 200
 
 
+#: A stretch of window starts as one number: the first start, then _BITS bits for how many follow it.
+_BITS = 16
+_OPEN, _WHOLE = 1, 2
+
+
+def packed(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return (lo << _BITS) | (hi - lo)
+
+
+def unpacked(span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lo = span >> _BITS
+    return lo, lo + (span & ((1 << _BITS) - 1))
+
+
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     """f over x[i : i + width], by doubling; the last width - 1 entries see what is left."""
     x = x.copy()
@@ -120,37 +134,29 @@ class _Groups:
         mixed = np.zeros(int(group[-1]) + 1 if n else 1, bool)
         mixed[group[second]] = True
         give = fresh & mixed[group]
-        out = [x[:n][whole] for x in c[2:]] + [np.zeros(int(whole.sum()), np.int64)] + [np.ones(int(whole.sum()), bool)]
-        if len(out[0]):
-            yield out
-        rows = [x[:n][give] for x in c[2:]]
-        certain = whole[give]
+        row, span = (x[:n] for x in c[2:])
+        if whole.any():
+            yield [row[whole], (span[whole] << 2) | _WHOLE]
+        rows, spans = row[give], (span[give] << 2) | _OPEN | np.where(whole[give], _WHOLE, 0)
         if mixed[0] and self.first is not None:
-            rows = [np.append(v, x) for v, x in zip(self.first[:-1], rows, strict=True)]
-            certain = np.append(self.first[-1], certain)
+            rows, spans = np.append(self.first[0], rows), np.append(self.first[1], spans)
             self.first = None
-        if len(certain):
-            yield [*rows, np.ones(len(certain), np.int64), certain.astype(bool)]
+        if len(rows):
+            yield [rows, spans]
         leads = np.flatnonzero(lead)
         if len(leads):
             i = leads[-1]
-            self.first = None if mixed[-1] else [*(int(x[i]) for x in c[2:]), bool(whole[i])]
+            self.first = None if mixed[-1] else (int(row[i]), (int(span[i]) << 2) | _OPEN | (_WHOLE if whole[i] else 0))
         self.before = tuple(int(x[n - 1]) for x in c[:2]) if n else self.before
         self.tail = None if final else [x[-1:] for x in c]
 
 
 def _group(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     groups = _Groups()
-    empty = [np.zeros(0, np.int64)] * 5
-
-    def give(parts):
-        for p in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1]), pa.array(p[2]), pa.array(p[3]), pa.array(p[4])], ["row", "lo", "hi", "kind", "whole"])
-
-    for b in rows:
-        if len(b):
-            yield from give(groups.push([b.column(i).to_numpy() for i in range(5)], False))
-    yield from give(groups.push(empty, True))
+    for b in _with_end(rows):
+        c = [np.zeros(0, np.int64)] * 4 if b is None else [b.column(i).to_numpy() for i in range(4)]
+        for row, span in groups.push(c, b is None):
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(span)], ["row", "span"])
 
 
 def _repeated(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +188,7 @@ def _with_end(rows):
 
 
 def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
-    """rows: row (key), text. Gives (row, lo, hi): runs of window starts that repeat; not every row is there."""
+    """rows: row (key), text. Gives (row, spans): packed runs of window starts that repeat; not every row is there."""
     spark = rows.sparkSession
     half = length // 2
     parts = shuffle_parts(spark)
@@ -192,11 +198,12 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
             ids = b.column(0).to_numpy()
             for a, z, data, offs in slabs(b):
                 d, g, e, lo, hi = occurrences(data, offs, length)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e), pa.array(ids[a:z][d]), pa.array(lo), pa.array(hi)], ["g", "e", "row", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e), pa.array(ids[a:z][d]), pa.array(packed(lo, hi))], ["g", "e", "row", "span"])
 
-    ranked = rows.select("row", "text").mapInArrow(grams, "g long, e long, row long, lo long, hi long").repartition(parts, "g").sortWithinPartitions("g", "e")
-    found = cut(ranked.mapInArrow(_group, "row long, lo long, hi long, kind long, whole boolean"))
-    open_ = found.where("kind = 1").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "whole")).alias("spans"))
+    ranked = rows.select("row", "text").mapInArrow(grams, "g long, e long, row long, span long").repartition(parts, "g").sortWithinPartitions("g", "e")
+    found = cut(ranked.mapInArrow(_group, "row long, span long"))
+    is_open = F.col("span").bitwiseAND(_OPEN) != 0
+    open_ = found.where(is_open).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
     def pairs(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,9 +212,9 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
                 h = prefix_sums(data)
                 part = spans.slice(a, z - a)
                 own = np.repeat(np.arange(z - a), pa.compute.list_value_length(part).to_numpy())
-                flat = part.flatten()
-                lo, hi = (flat.field(k).to_numpy() + offs[own] for k in ("lo", "hi"))
-                whole = flat.field("whole").to_numpy(zero_copy_only=False)
+                flat = part.flatten().to_numpy()
+                lo, hi = (x + offs[own] for x in unpacked(flat >> 2))
+                whole = (flat & _WHOLE) != 0
                 n = hi - lo + 1
                 p = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 who = np.repeat(own, n)
@@ -217,8 +224,8 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
     # A row that stands twice yields its pairs twice; its stretches are `whole` then, so that adds nothing.
     doubled = rows.select("row", "text").join(open_, "row").select("row", "text", "spans").mapInArrow(pairs, "r1 long, r2 long, row long, lo long, whole boolean")
     single = doubled.repartition(parts, "r1", "r2").sortWithinPartitions("r1", "r2").mapInArrow(_repeated, "row long, lo long")
-    spans = found.where("kind = 0").select("row", "lo", "hi").union(single.select("row", "lo", F.col("lo").alias("hi")))
-    return spans.groupBy("row").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    spans = found.where(~is_open).select("row", F.shiftright("span", 2).alias("span")).union(single.select("row", F.shiftleft("lo", _BITS).alias("span")))
+    return spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -226,10 +233,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"), F.struct("*").alias("rec"))
 
 
-def _cover(size: int, lo: list[int], hi: list[int], length: int) -> np.ndarray:
+def _cover(size: int, spans: list[int], length: int) -> np.ndarray:
+    lo, hi = unpacked(np.array(spans, np.int64))
     edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, np.array(lo), 1)
-    np.add.at(edge, np.array(hi) + length, -1)
+    np.add.at(edge, lo, 1)
+    np.add.at(edge, hi + length, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -246,18 +254,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def digests(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, lo, hi in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = left = text.encode()
                 gone = runs = 0
-                if lo:
-                    cover = _cover(len(raw), lo, hi, length)
+                if spans:
+                    cover = _cover(len(raw), spans, length)
                     gone, runs = int(cover.sum()), int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
                     left = np.frombuffer(raw, np.uint8)[~cover].tobytes()
                 out.append((len(raw), gone, runs, hashlib.sha256(left).hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = rows.join(_repeat_spans(rows, length), "row", "left").select(F.col("rec.doc_id").cast("long").alias("doc_id"), "text", "lo", "hi")
+    joined = rows.join(_repeat_spans(rows, length), "row", "left").select(F.col("rec.doc_id").cast("long").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -271,15 +279,15 @@ def clean_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def kept(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, lo, hi in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if lo:
+            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if spans:
                     raw = np.frombuffer(text.encode(), np.uint8)
-                    text = raw[~_cover(len(raw), lo, hi, length)].tobytes().decode("utf-8", "ignore")
+                    text = raw[~_cover(len(raw), spans, length)].tobytes().decode("utf-8", "ignore")
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rec", "left"])
 
-    joined = rows.join(_repeat_spans(rows.select("row", "text"), length), "row", "left").select(F.col("rec").dropFields("text").alias("rec") if len(docs.columns) > 1 else F.col("rec"), "text", "lo", "hi", F.col("rec.text").isNull().alias("none"))
-    got = joined.mapInArrow(lambda it: ((pa.RecordBatch.from_arrays([*x.columns, y.column(4)], ["rec", "left", "none"])) for y in it for x in kept([y])), _clean_schema(joined))
+    joined = rows.join(_repeat_spans(rows.select("row", "text"), length), "row", "left").select(F.col("rec").dropFields("text").alias("rec") if len(docs.columns) > 1 else F.col("rec"), "text", "spans", F.col("rec.text").isNull().alias("none"))
+    got = joined.mapInArrow(lambda it: ((pa.RecordBatch.from_arrays([*x.columns, y.column(3)], ["rec", "left", "none"])) for y in it for x in kept([y])), _clean_schema(joined))
     text = F.when(~F.col("none"), F.col("left"))
     return got.select(*[text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("rec").getField(c).alias(c) for c in docs.columns])
 
