@@ -31,6 +31,24 @@ _BITS = 16
 _OPEN, _WHOLE = 1, 2
 
 
+#: Of stretches that repeat in one batch, the first goes on as known to repeat, the others are settled.
+_KNOWN, _SETTLED = 1, 2
+
+
+def settle(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, state): before the shuffle, copies of a stretch in one batch shrink to one row of their gram.
+
+    Settled rows are dealt out by their own number instead of the gram.
+    """
+    _, first, back, count = np.unique(e, return_index=True, return_inverse=True, return_counts=True)
+    state = np.where(count[back] > 1, _SETTLED, 0).astype(np.int8)
+    state[first[count > 1]] = _KNOWN
+    loose = state == _SETTLED
+    g = g.copy()
+    g[loose] = e[loose] + np.flatnonzero(loose) * 0x9E3779B1
+    return g, state
+
+
 def packed(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return (lo << _BITS) | (hi - lo)
 
@@ -112,6 +130,10 @@ class _Groups:
         self.first = None  # first row of the open gram, until it has been given out
 
     def push(self, c: list[np.ndarray], final: bool) -> Iterator[list[np.ndarray]]:
+        settled = c[4] == _SETTLED
+        if settled.any():
+            yield [c[2][settled], (c[3][settled] << 2) | _WHOLE]
+            c = [x[~settled] for x in c]
         if self.tail is not None:
             c = [np.append(t, x) for t, x in zip(self.tail, c, strict=True)]
         if not len(c[0]):
@@ -134,7 +156,8 @@ class _Groups:
         mixed = np.zeros(int(group[-1]) + 1 if n else 1, bool)
         mixed[group[second]] = True
         give = fresh & mixed[group]
-        row, span = (x[:n] for x in c[2:])
+        row, span = (x[:n] for x in c[2:4])
+        whole |= c[4][:n] == _KNOWN
         if whole.any():
             yield [row[whole], (span[whole] << 2) | _WHOLE]
         rows, spans = row[give], (span[give] << 2) | _OPEN | np.where(whole[give], _WHOLE, 0)
@@ -154,7 +177,7 @@ class _Groups:
 def _group(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     groups = _Groups()
     for b in _with_end(rows):
-        c = [np.zeros(0, np.int64)] * 4 if b is None else [b.column(i).to_numpy() for i in range(4)]
+        c = [np.zeros(0, np.int64)] * 5 if b is None else [b.column(i).to_numpy() for i in range(5)]
         for row, span in groups.push(c, b is None):
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(span)], ["row", "span"])
 
@@ -198,9 +221,10 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
             ids = b.column(0).to_numpy()
             for a, z, data, offs in slabs(b):
                 d, g, e, lo, hi = occurrences(data, offs, length)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e), pa.array(ids[a:z][d]), pa.array(packed(lo, hi))], ["g", "e", "row", "span"])
+                g, state = settle(g, e)
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e), pa.array(ids[a:z][d]), pa.array(packed(lo, hi)), pa.array(state)], ["g", "e", "row", "span", "state"])
 
-    ranked = rows.select("row", "text").mapInArrow(grams, "g long, e long, row long, span long").repartition(parts, "g").sortWithinPartitions("g", "e")
+    ranked = rows.select("row", "text").mapInArrow(grams, "g long, e long, row long, span long, state byte").repartition(parts, "g").sortWithinPartitions("g", "e")
     found = cut(ranked.mapInArrow(_group, "row long, span long"))
     is_open = F.col("span").bitwiseAND(_OPEN) != 0
     open_ = found.where(is_open).groupBy("row").agg(F.collect_list("span").alias("spans"))
