@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import WORD_CHARS
@@ -69,21 +69,26 @@ def _segment(form: Column, kind: str, function: Column) -> Column:
     return F.struct(form.alias("form"), F.lit(kind).alias("type"), function.alias("function"))
 
 
-def segments(lemma: Column, pos: Column) -> Column:
-    """[{form, type, function}]: prefix, root, suffix as found; a word that does not split is its own root."""
-    low = F.lower(lemma)
-    prefix = prefix_of(low)
-    rest = F.substr(low, F.coalesce(F.length(prefix), F.lit(0)) + 1)
-    suffix = suffix_of(rest, lemma, pos)
+def with_segments(rows: DataFrame, lemma: str = "lemma", pos: str = "pos", out: str = "segments") -> DataFrame:
+    """Adds [{form, type, function}]: prefix, root, suffix as found; a word that does not split is its own root.
+
+    Each step is a column of its own, so that the long rules are evaluated once a row.
+    """
+    word, tag = F.col(lemma), F.col(pos)
+    rows = rows.withColumn("__prefix", prefix_of(F.lower(word)))
+    rows = rows.withColumn("__rest", F.substr(F.lower(word), F.coalesce(F.length("__prefix"), F.lit(0)) + 1))
+    rows = rows.withColumn("__suffix", suffix_of(F.col("__rest"), word, tag))
+    prefix, rest, suffix = F.col("__prefix"), F.col("__rest"), F.col("__suffix")
     root = F.left(rest, F.length(rest) - F.coalesce(F.length(suffix), F.lit(0)))
     split = F.array_compact(
         F.array(
             F.when(prefix.isNotNull(), _segment(prefix, "prefix", F.when(prefix.isin(SEPARABLE), "separable").otherwise("inseparable"))),
             F.when(root != "", _segment(root, "root", F.lit(""))),
-            F.when(suffix.isNotNull(), _segment(suffix, "suffix", suffix_function(suffix, pos))),
+            F.when(suffix.isNotNull(), _segment(suffix, "suffix", suffix_function(suffix, tag))),
         )
     )
-    return F.when(prefix.isNull() & suffix.isNull(), F.array(_segment(lemma, "root", F.lit("")))).otherwise(split)
+    found = F.when(prefix.isNull() & suffix.isNull(), F.array(_segment(word, "root", F.lit("")))).otherwise(split)
+    return rows.withColumn(out, found).drop("__prefix", "__rest", "__suffix")
 
 
 def formation_type(segs: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.etymology import borrowing, chain, chain_root, cognates, text_root
-from ..functions.morphology import compound_parts, segments
+from ..functions.morphology import compound_parts, with_segments
 from ..functions.text import source_url, stem_key
 
 
@@ -30,9 +30,10 @@ def rooted(vocab: DataFrame, templates: DataFrame) -> DataFrame:
     t = F.coalesce("etymology_templates", F.array().cast("array<struct<name:string,args:map<string,string>>>"))
     rows = vocab.join(templates.withColumnRenamed("word", "lemma"), "lemma", "left").withColumn("t", t).withColumn("chain", chain(F.col("t"), F.col("lemma")))
     rows = rows.withColumn("root", F.coalesce(chain_root(F.col("chain")), text_root(F.nullif("etymology", F.lit("")))))
+    rows = with_segments(rows)
     return rows.select(
         *vocab.columns, "chain", "root", cognates(F.col("t")).alias("cognates"), borrowing(F.col("t")).alias("borrowing_info"),
-        compound_parts(F.col("t"), F.coalesce("etymology", F.lit(""))).alias("parts"), segments(F.col("lemma"), F.col("pos")).alias("segments"),
+        compound_parts(F.col("t"), F.coalesce("etymology", F.lit(""))).alias("parts"), "segments",
         F.concat_ws(":", F.col("root.lang"), F.col("root.form")).alias("root_key"),
     ).withColumn("root_key", F.nullif("root_key", F.lit("")))
 

@@ -1,4 +1,7 @@
-"""Edge tables and pairs: self joins, co-membership, traversal."""
+"""Edge tables and pairs: self joins, co-membership, traversal.
+
+Segments are never empty; they are exploded as outer, so that no filter on their long expression is inferred.
+"""
 
 from __future__ import annotations
 
@@ -72,18 +75,18 @@ def etymology_edges(words: DataFrame) -> DataFrame:
 
 def roots(words: DataFrame) -> DataFrame:
     stages = words.select(F.explode("chain").alias("s")).select(F.concat_ws(":", "s.stage", "s.form").alias("id"), F.col("s.form").alias("form"), F.col("s.stage").alias("stage"), F.col("s.is_reconstructed").alias("is_reconstructed"))
-    own = words.select(F.explode("segments").alias("s")).where("s.type = 'root'").select(F.concat(F.lit("nhg:"), F.col("s.form")).alias("id"), F.col("s.form").alias("form"), F.lit("nhg").alias("stage"), F.lit(False).alias("is_reconstructed"))
+    own = words.select(F.explode_outer("segments").alias("s")).where("s.type = 'root'").select(F.concat(F.lit("nhg:"), F.col("s.form")).alias("id"), F.col("s.form").alias("form"), F.lit("nhg").alias("stage"), F.lit(False).alias("is_reconstructed"))
     return stages.unionByName(own).dropDuplicates(["id"])
 
 
 def derivation_edges(words: DataFrame) -> DataFrame:
-    segs = words.select(F.col("id").alias("entry_id"), F.posexplode("segments").alias("position", "s"))
+    segs = words.select(F.col("id").alias("entry_id"), F.posexplode_outer("segments").alias("position", "s"))
     root = F.col("s.type") == "root"
     return segs.select("entry_id", F.concat(F.when(root, "nhg:").otherwise(F.concat(F.col("s.type"), F.lit(":"))), F.col("s.form")).alias("target_id"), F.when(root, "root").otherwise("affix").alias("target_type"), "position").distinct()
 
 
 def affixes(words: DataFrame) -> DataFrame:
-    segs = words.select(F.explode("segments").alias("s")).where("s.type <> 'root'")
+    segs = words.select(F.explode_outer("segments").alias("s")).where("s.type <> 'root'")
     return segs.select(F.concat_ws(":", "s.type", "s.form").alias("id"), F.col("s.form").alias("form"), F.col("s.type").alias("position"), affix_separable(F.col("s.type"), F.col("s.form")).alias("separable")).distinct()
 
 

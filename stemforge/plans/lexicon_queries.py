@@ -51,7 +51,7 @@ _SEGMENTS = f"""
     SELECT lemma, pos, row_number() OVER (PARTITION BY lemma ORDER BY k) - 1 AS position, type, form FROM s
 """)
 def morph_segments(spark, sf_dir):
-    rows = lexicon(Tables(spark, sf_dir)).select("lemma", "pos", F.posexplode(morphology.segments(F.col("lemma"), F.col("pos"))).alias("position", "s"))
+    rows = morphology.with_segments(lexicon(Tables(spark, sf_dir))).select("lemma", "pos", F.posexplode_outer("segments").alias("position", "s"))
     return rows.select("lemma", "pos", F.col("position").cast("long").alias("position"), F.col("s.type").alias("type"), F.col("s.form").alias("form"))
 
 
@@ -61,7 +61,8 @@ def morph_segments(spark, sf_dir):
                 WHEN prefix IS NOT NULL THEN 'prefixation' WHEN suffix IS NOT NULL THEN 'suffixation' ELSE 'simplex' END AS word_formation_type, count(*) AS n FROM d GROUP BY 1
 """)
 def formation_types(spark, sf_dir):
-    kinds = lexicon(Tables(spark, sf_dir)).select(morphology.formation_type(morphology.segments(F.col("lemma"), F.col("pos"))).alias("word_formation_type"))
+    words = morphology.with_segments(lexicon(Tables(spark, sf_dir)))
+    kinds = words.select(morphology.formation_type(F.col("segments")).alias("word_formation_type"))
     return kinds.groupBy("word_formation_type").agg(F.count("*").alias("n"))
 
 
@@ -72,7 +73,7 @@ def formation_types(spark, sf_dir):
 def affix_inventory(spark, sf_dir):
     from ..operators import graph
 
-    words = lexicon(Tables(spark, sf_dir)).withColumn("segments", morphology.segments(F.col("lemma"), F.col("pos")))
+    words = morphology.with_segments(lexicon(Tables(spark, sf_dir)))
     return graph.affixes(words).select("id", "separable")
 
 

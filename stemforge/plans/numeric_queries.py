@@ -119,15 +119,15 @@ def perlin_fbm(spark, sf_dir):
 
 
 def _ramp_sql(channel: int) -> str:
-    r = geometry.RAMP
-    steps = " ".join(f"WHEN h <= {b[0]} THEN {a[1][channel]} + ({b[1][channel]} - {a[1][channel]}) * (h - ({a[0]})) / ({b[0]} - ({a[0]}))" for a, b in zip(r, r[1:], strict=False))
-    return f"round(CAST(CASE WHEN h <= {r[0][0]} THEN {r[0][1][channel]} WHEN h >= {r[-1][0]} THEN {r[-1][1][channel]} {steps} END AS DOUBLE), 6)"
+    stops = [(f"({h}e0)", f"({c[channel]}e0)") for h, c in geometry.RAMP]
+    steps = " ".join(f"WHEN h <= {h1} THEN {c0} + ({c1} - {c0}) * (h - {h0}) / ({h1} - {h0})" for (h0, c0), (h1, c1) in zip(stops, stops[1:], strict=False))
+    return f"round(CASE WHEN h <= {stops[0][0]} THEN {stops[0][1]} WHEN h >= {stops[-1][0]} THEN {stops[-1][1]} {steps} END, 4)"
 
 
 @query(f"WITH c AS (SELECT c_custkey AS id, c_acctbal / 700 - 1 AS h FROM customer) SELECT id, {_ramp_sql(0)} AS r, {_ramp_sql(1)} AS g, {_ramp_sql(2)} AS b FROM c")
 def ramp_colour(spark, sf_dir):
     rows = Tables(spark, sf_dir).customer.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 700 - 1).alias("h"))
-    return rows.select("id", *[F.round(geometry.ramp_channel(F.col("h"), i), 6).alias(n) for i, n in enumerate("rgb")])
+    return rows.select("id", *[F.round(geometry.ramp_channel(F.col("h"), i), 4).alias(n) for i, n in enumerate("rgb")])
 
 
 @query("""
