@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shuffle_parts, slabs
+from .common import cut, release, shuffle_parts, slabs
 from .textkit import prefix_sums, signed, span_hash
 
 LENGTH = 200
@@ -224,8 +224,9 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
                 g, state = settle(g, e)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e), pa.array(ids[a:z][d]), pa.array(packed(lo, hi)), pa.array(state)], ["g", "e", "row", "span", "state"])
 
-    ranked = rows.select("row", "text").mapInArrow(grams, "g long, e long, row long, span long, state byte").repartition(parts, "g").sortWithinPartitions("g", "e")
-    found = cut(ranked.mapInArrow(_group, "row long, span long"))
+    ranked = "g long, e long, row long, span long, state byte"
+    found = cut(rows.select("row", "text").mapInArrow(grams, ranked).repartition(parts, "g").sortWithinPartitions("g", "e").mapInArrow(_group, "row long, span long"))
+    release(spark)
     is_open = F.col("span").bitwiseAND(_OPEN) != 0
     open_ = found.where(is_open).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
@@ -246,8 +247,11 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(r1)), pa.array(signed(r2)), pa.array(ids[a:z][who]), pa.array(p - offs[who]), pa.array(np.repeat(whole, n))], ["r1", "r2", "row", "lo", "whole"])
 
     # A row that stands twice yields its pairs twice; its stretches are `whole` then, so that adds nothing.
-    doubled = rows.select("row", "text").join(open_, "row").select("row", "text", "spans").mapInArrow(pairs, "r1 long, r2 long, row long, lo long, whole boolean")
-    single = doubled.repartition(parts, "r1", "r2").sortWithinPartitions("r1", "r2").mapInArrow(_repeated, "row long, lo long")
+    texts = rows.select("row", "text").join(open_, "row").select("row", "text", "spans")
+    sorted_pairs = texts.mapInArrow(pairs, "r1 long, r2 long, row long, lo long, whole boolean").repartition(parts, "r1", "r2").sortWithinPartitions("r1", "r2")
+    single = cut(sorted_pairs.mapInArrow(_repeated, "row long, lo long"))
+    del open_, texts, sorted_pairs
+    release(spark)
     spans = found.where(~is_open).select("row", F.shiftright("span", 2).alias("span")).union(single.select("row", F.shiftleft("lo", _BITS).alias("span")))
     return spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
 
