@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, shuffle_parts, slabs
+from .common import BROADCAST_ROWS, cut, release, shuffle_parts, slabs
 from .components import components
 from .textkit import IS_SPACE, LOWER, mix, prefix_sums, rolling, signed, span_hash, word_bounds
 
@@ -257,6 +257,8 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     postings = base.where(F.size("prefix") > 0).select("node", F.col("n_shingles").alias("size"), F.posexplode("prefix").alias("idx", "token")).select("token", "node", (F.col("idx") + 1).cast("long").alias("idx"), "size")
     parts = shuffle_parts(spark)
     lists = cut(postings.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, idx long, size long, leader long, leader_idx long, leader_size long"))
+    del postings
+    release(spark)
 
     def passes(a: str, b: str) -> Column:
         """Lengths and the last shared positions still allow the overlap that is needed."""
@@ -272,6 +274,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = cut(star)
     links = cut(_verify(docs, star, percent))
     label = cut(components(links))
+    release(spark)
 
     # What is left: lists whose nodes lie in several components. Each node's own l weighs reading against verifying.
     tagged = lists.select("token", "node", "idx", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -295,6 +298,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .where((F.col("shared") >= F.col("l")) & passes("a", "b")).select("a", "b").join(star, ["a", "b"], "left_anti")
     )
     cross = cut(cross)
+    release(spark)
     if not cross.isEmpty():
         links = links.union(_verify(docs, cross, percent))
         label = cut(components(links))
