@@ -2,7 +2,7 @@
 
 Pieces are dealt out over partitions and each is packed best-fit decreasing. Dual feasible functions
 give a lower bound on the bins that a partition's pieces need; a partition that meets it is certified
-and done. Partitions with a gap give up the pieces of their bins that are not full, these are dealt out
+and done, but for its emptiest bin. Partitions with a gap give up the pieces of their bins that are not full, these are dealt out
 anew over fewer partitions, and best-fit decreasing runs again, until no gap is left or one partition's
 worth remains. Only lengths and keys move, never ids or texts.
 """
@@ -107,7 +107,8 @@ def _pack(capacity: int):
             bins, offs, used = best_fit_decreasing(lengths[at], capacity)
             tight = used == lower_bound(lengths[at], capacity)
             load = np.bincount(bins, weights=lengths[at], minlength=used).astype(np.int64)
-            done = tight | (load[bins] == capacity)
+            # of a certified partition the emptiest bin alone goes on, to be filled up with those of others
+            done = (tight & (bins != load.argmin())) | (load[bins] == capacity)
             out = [pa.array(rows["row"].to_numpy()[at]), pa.array(lengths[at]), pa.array(part[at]), pa.array(bins), pa.array(offs), pa.array(done)]
             yield pa.RecordBatch.from_arrays(out, ["row", "length", "part", "bin", "offset", "done"])
 
