@@ -32,7 +32,7 @@ def centroid(spark, sf_dir):
 
 @query("""
     WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings), m AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1 FROM v)
-    SELECT vec_id, round((a - a0) / (a1 - a0), 6) AS a, round((b - b0) / (b1 - b0), 6) AS b, round((c - c0) / (c1 - c0), 6) AS c, 0.5 AS k FROM v, m
+    SELECT vec_id, round((a - a0) / (a1 - a0), 6) AS a, round((b - b0) / (b1 - b0), 6) AS b, round((c - c0) / (c1 - c0), 6) AS c, CAST(0.5 AS DOUBLE) AS k FROM v, m
 """)
 def minmax_norm(spark, sf_dir):
     v = Tables(spark, sf_dir).embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("abc")], F.lit(1.0).alias("k"))
