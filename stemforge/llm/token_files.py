@@ -42,7 +42,11 @@ _O1, _O2 = 1 << 10, 1 << 11
 _RATE = 4
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * np.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
-_TARGET = np.array([[i if i <= s else (1 << 14) - 16 + i for i in range(17)] for s in range(16)], np.int16)
+_CDF_BITS = 10
+_TARGET = np.array([[i if i <= s else (1 << _CDF_BITS) - 16 + i for i in range(17)] for s in range(16)], np.int16)
+#: A literal is three nibbles of adaptive odds and a flat one: its place is a number of so many bits.
+_LITERAL_BITS = 3 * _CDF_BITS + 4
+_STEPS = [_U(1 << b) for b in range(56, 0, -8)]
 
 
 class _Lanes:
@@ -57,8 +61,8 @@ class _Lanes:
         self.prev, self.prev2 = np.zeros(k, np.int32), np.zeros(k, np.int32)
         self.counters = np.full((k * 24, 1), 1024, np.int32).ravel()  # 8 of order 2, 8 of order 1, 8 of past events
         self.past = np.zeros(k, np.int32)
-        self.weights = np.full((k * 4, 3), 24000, np.int32)
-        start = (np.arange(17) * 1024).astype(np.int16)
+        self.weights = np.full((3, k * 4), 24000, np.int32)
+        start = (np.arange(17) << (_CDF_BITS - 4)).astype(np.int16)
         self.cdf = [np.tile(start, (k * c, 1)) for c in (1, 16, 256)]
         self.low, self.range = np.zeros(k, _U), np.full(k, (1 << 64) - 1, _U)
 
@@ -74,23 +78,23 @@ class _Lanes:
         h2 = ((self.prev * -2048144789) ^ (self.prev2 * -1028477379)).view(np.uint32)
         h2 = (h2 ^ (h2 >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(21)
         self.at1, self.at2 = self.lane * _O1 + h1, self.lane * _O2 + h2
-        self.e1, self.e2 = self.o1[self.at1], self.o2[self.at2]
+        self.e1, self.e2 = self.o1.take(self.at1), self.o2.take(self.at2)
         self.c1, self.c2 = self.e1 & 3, self.e2 & 3
         self.id1 = self.e1 >> 2
         self.guess = np.where(self.c2 > 0, self.e2 >> 2, self.id1)
         agree = self.guess == self.id1
         base = self.lane * 24
         self.slots = np.stack([base + self.c2 * 2 + agree, base + 8 + self.c1 * 2 + agree, base + 16 + self.past])
-        self.odds = self.counters[self.slots]
-        self.inputs = _STRETCH[self.odds]
+        self.odds = self.counters.take(self.slots)
+        self.inputs = _STRETCH.take(self.odds)
         self.gate = self.lane * 4 + self.c2
-        self.w = self.weights[self.gate].T
+        self.w = self.weights.take(self.gate, axis=1)
         dot = (self.inputs * self.w).sum(0) >> 16
         self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
 
     def learn(self, hit: np.ndarray, ids: np.ndarray) -> None:
         err = (hit.astype(np.int32) << 12) - self.p
-        self.weights[self.gate] = np.clip(self.w + ((self.inputs * err) >> 7), -(1 << 19), 1 << 19).T
+        self.weights[:, self.gate] = np.clip(self.w + ((self.inputs * err) >> 7), -(1 << 19), 1 << 19)
         self.counters[self.slots] = self.odds + (((hit.astype(np.int32) * 4095) - self.odds) >> _RATE)
         self.past = ((self.past << 1) | hit) & 7
         for table, at, e, c, guess in ((self.o1, self.at1, self.e1, self.c1, self.id1), (self.o2, self.at2, self.e2, self.c2, self.e2 >> 2)):
@@ -104,20 +108,30 @@ class _Lanes:
         self.range[at] = r * size.astype(_U)
 
     def shift(self, out) -> None:
-        """Give out (or take in) the leading bytes that are settled; `out` is called with lanes and their low ends."""
-        at = self.lane
-        while True:
+        """Give out (or take in) the leading bytes that are settled: `out` gets lanes, their low ends and how many bytes."""
+        at, lo = self.lane, self.low
+        same = lo ^ (lo + self.range)
+        n = sum((same < step).astype(np.int64) for step in _STEPS)
+        out(at, lo, n)
+        by = (8 * n).astype(_U)
+        self.low, self.range = lo << by, self.range << by
+        while True:  # a range that straddles a border is cut to end there
+            at = np.flatnonzero(self.range < _BOT)
+            if not len(at):
+                return
             lo, rg = self.low[at], self.range[at]
             same = (lo ^ (lo + rg)) < _TOP
-            act = same | (rg < _BOT)
-            if not act.all():
-                at, lo, rg, same = at[act], lo[act], rg[act], same[act]
-                if not len(at):
-                    return
             rg = np.where(same, rg, (~lo + _U(1)) & (_BOT - _U(1)))
-            out(at, lo)
+            out(at, lo, np.ones(len(at), np.int64))
             self.low[at], self.range[at] = lo << _U(8), rg << _U(8)
 
+    def nibble(self, level: int, ctx: np.ndarray) -> np.ndarray:
+        return self.cdf[level].take(ctx, axis=0)
+
+    def adapt(self, level: int, ctx: np.ndarray, rows: np.ndarray, sym: np.ndarray) -> None:
+        rows += (_TARGET.take(sym, axis=0) - rows) >> _RATE
+        self.cdf[level][ctx] = rows
+
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Code each block of ids (each under 65536)."""
@@ -129,12 +143,14 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for j, i in enumerate(order.tolist()):
         ids[: n[j], j] = blocks[i]
     s = _Lanes(n)
-    buf = np.zeros((len(n), int(n[0]) * 7 + 16), np.uint8)
+    width = int(n[0]) * 7 + 16
+    buf = np.zeros(len(n) * width, np.uint8)
     fill = np.zeros(len(n), np.int64)
+    seven = np.arange(7)
 
-    def out(at, lo):
-        buf[at, fill[at]] = (lo >> _U(56)).astype(np.uint8)
-        fill[at] += 1
+    def out(at, lo, count):
+        buf[(at * width + fill[at])[:, None] + seven] = lo.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :7]
+        fill[at] += count
 
     live = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # lanes with more than t ids
     ends = {}
@@ -150,23 +166,23 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         lit = np.flatnonzero(~hit)
         if len(lit):
             x = now[lit]
-            ctx = lit
+            ctx, j = lit, np.arange(len(lit))
+            low, size = np.zeros(len(lit), np.int64), np.ones(len(lit), np.int64)
             for level, bits in ((0, 12), (1, 8), (2, 4)):
                 sym = (x >> bits) & 15
-                rows = s.cdf[level][ctx]
-                j = np.arange(len(lit))
-                a = rows[j, sym]
-                s.narrow(lit, a, rows[j, sym + 1] - a, 14)
-                rows += (_TARGET[sym] - rows) >> _RATE
-                s.cdf[level][ctx] = rows
+                rows = s.nibble(level, ctx)
+                a = rows[j, sym].astype(np.int64)
+                low = (low << _CDF_BITS) + size * a
+                size *= rows[j, sym + 1] - a
+                s.adapt(level, ctx, rows, sym)
                 ctx = ctx * 16 + sym
-            s.narrow(lit, x & 15, np.ones(len(lit), np.int64), 4)
+            s.narrow(lit, (low << 4) + size * (x & 15), size, _LITERAL_BITS)
         s.learn(hit, now)
         s.shift(out)
     ends.update({j: int(s.low[j]) for j in range(s.k)})
     coded: list[bytes] = [b""] * len(blocks)
     for j, i in enumerate(order.tolist()):
-        coded[i] = buf[j, : fill[j]].tobytes() + ends.get(j, 0).to_bytes(8, "big")
+        coded[i] = buf[j * width : j * width + fill[j]].tobytes() + ends.get(j, 0).to_bytes(8, "big")
     return coded
 
 
@@ -177,17 +193,20 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     if not len(n) or not n[0]:
         return out
     ids = np.zeros((int(n[0]), len(n)), np.int32)
-    width = max(map(len, coded)) + 8
+    width = max(map(len, coded)) + 16
     raw = np.zeros((len(n), width), np.uint8)
     for j, i in enumerate(order.tolist()):
         raw[j, : len(coded[i])] = np.frombuffer(coded[i], np.uint8)
     s = _Lanes(n)
     code = raw[:, :8].copy().view(">u8").ravel().astype(_U)
     fill = np.full(len(n), 8, np.int64)
+    flat, eight = raw.ravel(), np.arange(8)
 
-    def take(at, lo):
-        code[at] = (code[at] << _U(8)) | raw[at, np.minimum(fill[at], width - 1)]
-        fill[at] += 1
+    def take(at, lo, count):
+        ahead = flat.take((at * width + np.minimum(fill[at], width - 8))[:, None] + eight).view(">u8").ravel().astype(_U)
+        by = (8 * count).astype(_U)
+        code[at] = np.where(count > 0, (code[at] << by) | (ahead >> (_U(64) - np.maximum(by, _U(8)))), code[at])
+        fill[at] += count
 
     live = np.searchsorted(-n, -np.arange(int(n[0])), "left")
     for t in range(int(n[0])):
@@ -200,21 +219,25 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         now = s.guess.copy()
         lit = np.flatnonzero(~hit)
         if len(lit):
-            x = np.zeros(len(lit), np.int32)
-            ctx = lit
-            j = np.arange(len(lit))
+            x, ctx, j = np.zeros(len(lit), np.int64), lit, np.arange(len(lit))
+            value = np.minimum((code[lit] - s.low[lit]) // (s.range[lit] >> _U(_LITERAL_BITS)), _U((1 << _LITERAL_BITS) - 1)).astype(np.int64)
+            low, size = np.zeros(len(lit), np.int64), np.ones(len(lit), np.int64)
+            rest, unit = value, np.full(len(lit), 1 << _LITERAL_BITS, np.int64)
             for level in range(3):
-                rows = s.cdf[level][ctx]
-                value = np.minimum((code[lit] - s.low[lit]) // (s.range[lit] >> _U(14)), _U((1 << 14) - 1)).astype(np.int16)
-                sym = (rows[:, 1:16] <= value[:, None]).sum(1)
-                a = rows[j, sym]
-                s.narrow(lit, a, rows[j, sym + 1] - a, 14)
-                rows += (_TARGET[sym] - rows) >> _RATE
-                s.cdf[level][ctx] = rows
+                rows = s.nibble(level, ctx)
+                unit >>= _CDF_BITS  # what one step of this level's odds is worth
+                sym = (rows[:, 1:16] <= (rest // unit).astype(np.int16)[:, None]).sum(1)
+                a = rows[j, sym].astype(np.int64)
+                own = rows[j, sym + 1] - a
+                low = (low << _CDF_BITS) + size * a
+                size *= own
+                rest = rest - a * unit
+                unit *= own
+                s.adapt(level, ctx, rows, sym)
                 ctx = ctx * 16 + sym
                 x = x * 16 + sym
-            last = ((code[lit] - s.low[lit]) // (s.range[lit] >> _U(4))).astype(np.int64)
-            s.narrow(lit, last, np.ones(len(lit), np.int64), 4)
+            last = rest // size
+            s.narrow(lit, (low << 4) + size * last, size, _LITERAL_BITS)
             now[lit] = x * 16 + last
         s.learn(hit, now)
         ids[t, :k] = now
