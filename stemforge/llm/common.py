@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the numpy kernels; a longer single text is one slab of its own.
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 2 << 20
 #: Most rows of a key list that may be broadcast; above it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
