@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.etymology import borrowing, chain, chain_root, cognates, text_root
 from ..functions.morphology import compound_parts, with_segments
 from ..functions.text import source_url, stem_key
+from .order import numbered
 
 
 def vocabulary(entries: DataFrame, levels: list[str], tags: list[str]) -> DataFrame:
@@ -99,7 +100,7 @@ def clusters(words: DataFrame, min_size: int = 1) -> DataFrame:
     """One row a root key: size, the most basic word, the longest chain, the words in order.
 
     `cluster` numbers clusters by size, ties by their first word; it is for display. The number needs a
-    total order over clusters (one row each, narrow), not over words.
+    total order over clusters, drawn over ranges of narrow rows.
     """
     level = F.when(F.col("cefr_level") == "A1", 0).when(F.col("cefr_level") == "A2", 1).otherwise(2)
     basic = F.struct(level, F.coalesce(F.nullif("frequency_class", F.lit(0)), F.lit(99)), F.col("ord"))
@@ -110,7 +111,7 @@ def clusters(words: DataFrame, min_size: int = 1) -> DataFrame:
         F.array_sort(F.collect_list(word)).alias("words"),
     )
     got = got.where(F.col("size") >= min_size)
-    order = got.select("root_key", (F.row_number().over(Window.orderBy(F.desc("size"), "first_ord")) - 1).alias("n"))
+    order = numbered(got.select("root_key", "size", "first_ord"), F.desc("size"), F.col("first_ord")).select("root_key", "n")
     return got.join(order, "root_key").select(F.concat(F.lit("r-"), F.col("n")).alias("cluster"), "root_key", "size", "basic_word", "best.*", "words")
 
 

@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -115,7 +115,3 @@ def first_by_word(rows: DataFrame, value: str) -> DataFrame:
 def last_by_word(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("word").agg(F.max_by(value, "ord").alias(value))
 
-
-def numbered(rows: DataFrame, *order: Column, name: str = "n") -> DataFrame:
-    """Dense numbers from 0 in a total order; for results of bounded size, as the order is drawn in one task."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)) - 1)
