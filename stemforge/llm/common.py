@@ -20,8 +20,16 @@ SLAB_BYTES = 2 << 20
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; both hold a few of them.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, unless they find it by PYTHONPATH or the working folder."""
+    """Make a session ready: small Arrow batches, and this package on the Python workers.
+
+    The package is sent unless the workers find it by PYTHONPATH or the working folder.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     known = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
