@@ -145,3 +145,10 @@ def test_without_the_optional_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.returncode == 0 and said.stdout.split()[1] == "False", said.stderr
+
+
+def test_numbers_over_ranges(spark):
+    from stemforge.operators.order import numbered
+
+    rows = spark.range(500).select(((F.col("id") * 37) % 501).alias("k")).repartition(7)
+    assert [r["n"] for r in numbered(rows, F.desc("k")).orderBy(F.desc("k")).collect()] == list(range(500))
