@@ -84,7 +84,7 @@ def chain_edges(stages: Column, borrowed_code: Column) -> Column:
     """[{newer, older, edge_type}] of neighbouring stages; equal ids give no edge."""
     ids = F.transform(stages, lambda s: stage_key(s["stage"], s["form"]))
     n = F.size(ids)
-    pairs = F.zip_with(F.slice(ids, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(ids, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda new, old: F.struct(new.alias("newer"), old.alias("older"), F.when(old.startswith(F.concat(borrowed_code, F.lit(":"))), "borrowed_from").otherwise("inherited_from").alias("edge_type")))
+    pairs = F.zip_with(F.slice(ids, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(ids, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda new, old: F.struct(new.alias("newer"), old.alias("older"), F.when(old.startswith(F.concat(borrowed_code, F.lit(":"))), "borrowed_from").otherwise("descends_from").alias("edge_type")))
     return F.filter(pairs, lambda p: p["newer"] != p["older"])
 
 

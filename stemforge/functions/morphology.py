@@ -97,7 +97,12 @@ def formation_type(segs: Column) -> Column:
     return F.when(p & s & (F.size(segs) == 3), "circumfixation").when(p & s, "prefixation+suffixation").when(p, "prefixation").when(s, "suffixation").otherwise("simplex")
 
 
-def affix_separable(kind: Column, form: Column, separable: list[str] = SEPARABLE, inseparable: list[str] = INSEPARABLE) -> Column:
+# Prefixes of the affix table that separate and those that never do.
+AFFIX_SEPARABLE = ["ab", "an", "auf", "aus", "bei", "durch", "ein", "mit", "nach", "über", "um", "unter", "vor", "weg", "zu", "zurück"]
+AFFIX_INSEPARABLE = ["be", "emp", "ent", "er", "ge", "miss", "ver", "zer", "hinter"]
+
+
+def affix_separable(kind: Column, form: Column, separable: list[str] = AFFIX_SEPARABLE, inseparable: list[str] = AFFIX_INSEPARABLE) -> Column:
     """True, false, or null for suffixes and prefixes of neither list."""
     return F.when((kind == "prefix") & form.isin(separable), F.lit(True)).when((kind == "prefix") & form.isin(inseparable), F.lit(False))
 

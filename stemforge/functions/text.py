@@ -30,7 +30,7 @@ def field_key(name: Column) -> Column:
 
 
 def cognate_key(language: Column, form: Column) -> Column:
-    return F.concat_ws(":", F.lit("cog"), language, form)
+    return F.concat_ws(":", F.lit("cog"), F.lower(language), form)
 
 
 def quote_url(s: Column) -> Column:
@@ -58,7 +58,7 @@ def _first_of(s: Column, rules: list[tuple[str, list[str]]], default: Column) ->
     return out
 
 
-#: Order decides: "pronoun" holds "noun" and "adverb" holds "verb", so both take the earlier value.
+# Keywords of each class, in order. Order decides: "pronoun" holds "noun" and "adverb" holds "verb", so both take the earlier value.
 POS_RULES = [
     ("noun", ["noun"]), ("verb", ["verb"]), ("adjective", ["adj"]), ("adverb", ["adv"]), ("preposition", ["prep"]),
     ("conjunction", ["conj"]), ("pronoun", ["pron"]), ("article", ["article", "art."]),

@@ -112,7 +112,9 @@ def clusters(words: DataFrame, min_size: int = 1) -> DataFrame:
     )
     got = got.where(F.col("size") >= min_size)
     order = numbered(got.select("root_key", "size", "first_ord"), F.desc("size"), F.col("first_ord")).select("root_key", "n")
-    return got.join(order, "root_key").select(F.concat(F.lit("r-"), F.col("n")).alias("cluster"), "root_key", "size", "basic_word", "best.*", "words")
+    rest = F.substr("root_key", F.locate(":", "root_key") + 1)
+    form = F.when((F.col("size") == 1) & F.col("root_key").startswith("nhg:"), F.left(rest, F.lit(5))).otherwise(rest)
+    return got.join(order, "root_key").select(F.concat(F.lit("r-"), F.col("n")).alias("cluster"), "root_key", form.alias("form"), "size", "basic_word", "best.*", "words")
 
 
 def documents(found: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def documents(found: DataFrame) -> DataFrame:
         F.create_map(F.lit("wiktionary"), source_url("https://de.wiktionary.org/wiki/", w["lemma"]), F.lit("dwds"), source_url("https://www.dwds.de/wb/", w["lemma"])).alias("source_urls"),
     ))
     compounds = F.transform(F.filter("words", lambda w: w["parts"].isNotNull()), lambda w: F.struct(w["id"].alias("compound_wort_id"), F.array_join(w["parts"], "·").alias("split_display")))
-    root = F.struct(F.col("cluster").alias("id"), F.element_at(F.split("root_key", ":", 2), 2).alias("form"), F.col("chain").alias("etymology_chain"), "cognates", "borrowing_info", source_url("https://www.dwds.de/wb/etymwb/", F.col("basic_word")).alias("dwds_etymology"))
+    root = F.struct(F.col("cluster").alias("id"), "form", F.col("chain").alias("etymology_chain"), "cognates", "borrowing_info", source_url("https://www.dwds.de/wb/etymwb/", F.col("basic_word")).alias("dwds_etymology"))
     return found.select("root_key", root.alias("wurzel"), words.alias("words"), F.transform("words", lambda w: F.struct(F.col("cluster").alias("wurzel_id"), w["id"].alias("wort_id"))).alias("links"), compounds.alias("compounds"))
 
 

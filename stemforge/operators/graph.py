@@ -66,17 +66,19 @@ def layout_edges(member_of: DataFrame, positioned: DataFrame, compound: DataFram
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
-def etymology_edges(words: DataFrame) -> DataFrame:
-    """Distinct newer-older edges of all chains, and cognate edges from the modern root."""
-    chained = words.select(F.explode(chain_edges(F.col("chain"), F.coalesce(F.col("borrowing_info.lang_code"), F.lit("?")))).alias("e")).select(F.col("e.newer").alias("from_root_id"), F.col("e.older").alias("to_root_id"), F.col("e.edge_type").alias("edge_type"))
-    cog = words.select("root.form", F.explode("cognates").alias("c")).select(F.concat(F.lit("nhg:"), F.col("form")).alias("from_root_id"), cognate_key(F.col("c.language"), F.col("c.form")).alias("to_root_id"), F.lit("cognate").alias("edge_type")).where("from_root_id is not null")
+def etymology_edges(found: DataFrame) -> DataFrame:
+    """Distinct newer-older edges of the clusters' chains, and edges from a cluster's modern root to its cognates."""
+    chained = found.select(F.explode(chain_edges(F.col("chain"), F.coalesce(F.col("borrowing_info.lang_code"), F.lit("?")))).alias("e")).select(F.col("e.newer").alias("from_root_id"), F.col("e.older").alias("to_root_id"), F.col("e.edge_type").alias("edge_type"))
+    cog = found.where(F.size("chain") > 0).select("form", F.explode("cognates").alias("c")).select(F.concat(F.lit("nhg:"), "form").alias("from_root_id"), cognate_key(F.col("c.language"), F.col("c.form")).alias("to_root_id"), F.lit("cognate_of").alias("edge_type"))
     return chained.unionByName(cog).distinct()
 
 
-def roots(words: DataFrame) -> DataFrame:
-    stages = words.select(F.explode("chain").alias("s")).select(F.concat_ws(":", "s.stage", "s.form").alias("id"), F.col("s.form").alias("form"), F.col("s.stage").alias("stage"), F.col("s.is_reconstructed").alias("is_reconstructed"))
+def roots(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Nodes of the clusters' chains and cognates, and of the words' root segments; the first of each id."""
+    stages = found.select(F.explode("chain").alias("s")).select(F.concat_ws(":", "s.stage", "s.form").alias("id"), F.col("s.form").alias("form"), F.col("s.stage").alias("stage"), F.col("s.is_reconstructed").alias("is_reconstructed"))
+    cog = found.select(F.explode("cognates").alias("c")).select(cognate_key(F.col("c.language"), F.col("c.form")).alias("id"), F.col("c.form").alias("form"), F.concat(F.lit("cog_"), F.lower("c.language")).alias("stage"), F.lit(False).alias("is_reconstructed"))
     own = words.select(F.explode_outer("segments").alias("s")).where("s.type = 'root'").select(F.concat(F.lit("nhg:"), F.col("s.form")).alias("id"), F.col("s.form").alias("form"), F.lit("nhg").alias("stage"), F.lit(False).alias("is_reconstructed"))
-    return stages.unionByName(own).dropDuplicates(["id"])
+    return stages.unionByName(cog).unionByName(own).dropDuplicates(["id"])
 
 
 def derivation_edges(words: DataFrame) -> DataFrame:
@@ -94,7 +96,11 @@ def decompositions(words: DataFrame) -> DataFrame:
     return words.select(F.col("id").alias("entry_id"), "segments", formation_type(F.col("segments")).alias("word_formation_type"), F.col("parts").isNotNull().alias("is_compound"), F.lit(False).alias("verified"))
 
 
-def semantic_edges(entries: DataFrame, relations: dict[str, str], limit: int = 10) -> DataFrame:
+# The lists of an entry that become edges, with the kind of each.
+RELATIONS = {"synonyms": "synonym_of", "antonyms": "antonym_of", "hypernyms": "hypernym_of", "hyponyms": "hyponym_of"}
+
+
+def semantic_edges(entries: DataFrame, relations: dict[str, str] = RELATIONS, limit: int = 10) -> DataFrame:
     """Edges to the entries of related lemmas: of each list the first `limit`; the last entry of a lemma counts."""
     targets = entries.groupBy("lemma").agg(F.max_by("id", "ord").alias("to_entry_id"))
     parts = [entries.select(F.col("id").alias("from_entry_id"), F.explode(F.slice(c, 1, limit)).alias("lemma")).withColumn("edge_type", F.lit(kind)) for c, kind in relations.items()]

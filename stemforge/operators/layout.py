@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import gaussian, unit_scale
+from ..functions.geometry import fractal_noise, gaussian, unit_scale
 
-#: Pull of each kind of edge in one pass of the nudge.
-EDGE_WEIGHTS = {"compound": 1.0, "etymology": 0.7, "semantic": 0.5, "field": 0.3}
+# Pull of each kind of edge, spacing of discs, world side, height range, sea level, spread of an island.
+EDGE_WEIGHTS = {"compound": 3.0, "semantic": 0.3, "etymology": 0.5, "field": 0.1}
 SPACING = 1.3
+WORLD = 400.0
+HEIGHTS = 12.0
+SEA = -0.3
+SIGMA_OF_RADIUS = 2.0
 
 
 def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
@@ -70,7 +74,7 @@ def overlaps(discs: DataFrame, spacing: float = SPACING, key: str = "id", max_ra
     return a.join(b, ["cx", "cz"]).where(F.col("a") < F.col("b")).select("a", "b", d.alias("d"), ((F.col("ar") + F.col("br")) * spacing).alias("reach")).where("d < reach")
 
 
-def height_field(grid: DataFrame, islands: DataFrame, base: float = -0.3) -> DataFrame:
+def height_field(grid: DataFrame, islands: DataFrame, base: float = SEA) -> DataFrame:
     """Greatest height that any island leaves at each grid point, and at least the base.
 
     islands: x, z, height, sigma. Cells as wide as the farthest reach turn the range join into an equi-join.
@@ -86,6 +90,19 @@ def height_field(grid: DataFrame, islands: DataFrame, base: float = -0.3) -> Dat
     return joined.groupBy(*[F.col(c) for c in grid.columns]).agg(F.greatest(F.lit(base), F.coalesce(F.max(left), F.lit(base))).alias("height"))
 
 
+def terrain(grid: DataFrame, islands: DataFrame, frequency: float = 0.015, above: float = 0.8, below: float = 0.3) -> DataFrame:
+    """The height field with fractal noise on it, stronger on land than under water; islands: x, z, height, radius."""
+    spread = islands.select("x", "z", "height", (F.col("radius") * SIGMA_OF_RADIUS).alias("sigma"))
+    rough = fractal_noise(F.col("x") * frequency, F.col("z") * frequency)
+    return height_field(grid, spread).withColumn("height", F.col("height") + rough * F.when(F.col("height") > 0, above).otherwise(below))
+
+
+def world_place(positions: DataFrame) -> DataFrame:
+    """Reduced positions (x, z, height) scaled into the world: sides of WORLD about 0, heights up to HEIGHTS."""
+    unit = scaled(positions, ["x", "z", "height"])
+    return unit.withColumns({"x": F.col("x") * WORLD - WORLD / 2, "z": F.col("z") * WORLD - WORLD / 2, "height": F.col("height") * HEIGHTS})
+
+
 def edge_lengths(edges: DataFrame, positions: DataFrame, kind: str = "kind") -> DataFrame:
     a = positions.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("z").alias("az"))
     b = positions.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"))
@@ -160,7 +177,7 @@ def reduced(vectors: DataFrame, k: int = 3, vector: str = "vector") -> DataFrame
     return PCA(k=k, inputCol="__v", outputCol="__p").fit(rows).transform(rows).withColumn("position", vector_to_array("__p")).drop("__v", "__p")
 
 
-def fallback_positions(clusters: DataFrame, order: Column, spacing: float = 30.0) -> DataFrame:
+def fallback_positions(clusters: DataFrame, order: Column, spacing: float = 25.0) -> DataFrame:
     """Grid places for clusters without a position, numbered among themselves; others keep theirs."""
     from ..functions.geometry import grid_place
 

@@ -23,7 +23,7 @@ def _chains(t: Tables):
 
 @query(f"""
     WITH {_STAGES}, e AS (SELECT node AS newer, lag(node) OVER (PARTITION BY id ORDER BY i) AS older FROM s)
-    SELECT newer, older, CASE WHEN starts_with(older, 'nation:') THEN 'borrowed_from' ELSE 'inherited_from' END AS edge_type, count(*) AS n FROM e WHERE older IS NOT NULL AND newer <> older GROUP BY ALL
+    SELECT newer, older, CASE WHEN starts_with(older, 'nation:') THEN 'borrowed_from' ELSE 'descends_from' END AS edge_type, count(*) AS n FROM e WHERE older IS NOT NULL AND newer <> older GROUP BY ALL
 """)
 def chain_edges(spark, sf_dir):
     e = _chains(Tables(spark, sf_dir)).select(F.explode(etymology.chain_edges(F.col("chain"), F.lit("nation"))).alias("e"))

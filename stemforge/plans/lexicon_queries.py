@@ -68,7 +68,7 @@ def formation_types(spark, sf_dir):
 
 @query(f"""
     WITH {_TOKENS}, {_SEGMENTS}, x AS (SELECT DISTINCT prefix AS form, 'prefix' AS position FROM d WHERE prefix IS NOT NULL UNION SELECT DISTINCT suffix, 'suffix' FROM d WHERE suffix IS NOT NULL)
-    SELECT concat(position, ':', form) AS id, CASE WHEN position = 'prefix' AND form IN ({_listed(morphology.SEPARABLE)}) THEN true WHEN position = 'prefix' AND form IN ({_listed(morphology.INSEPARABLE)}) THEN false END AS separable FROM x
+    SELECT concat(position, ':', form) AS id, CASE WHEN position = 'prefix' AND form IN ({_listed(morphology.AFFIX_SEPARABLE)}) THEN true WHEN position = 'prefix' AND form IN ({_listed(morphology.AFFIX_INSEPARABLE)}) THEN false END AS separable FROM x
 """)
 def affix_inventory(spark, sf_dir):
     from ..operators import graph

@@ -78,7 +78,7 @@ def overlap_pairs(spark, sf_dir):
 
 @query("""
     WITH n AS (SELECT p_partkey AS id, p_size % 2 = 0 AS placed, row_number() OVER (PARTITION BY p_size % 2 = 0 ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS total, p_size AS s FROM part), c AS (SELECT *, ceil(sqrt(total)) AS cols FROM n)
-    SELECT id, CASE WHEN placed THEN CAST(s AS DOUBLE) ELSE (i % cols - cols / 2) * 30.0 END AS x, CASE WHEN placed THEN -CAST(s AS DOUBLE) ELSE (floor(i / cols) - cols / 2) * 30.0 END AS z FROM c
+    SELECT id, CASE WHEN placed THEN CAST(s AS DOUBLE) ELSE (i % cols - cols / 2) * 25.0 END AS x, CASE WHEN placed THEN -CAST(s AS DOUBLE) ELSE (floor(i / cols) - cols / 2) * 25.0 END AS z FROM c
 """)
 def grid_fallback(spark, sf_dir):
     """Parts of even size have a place; the others are put on a grid of their own."""

@@ -98,8 +98,10 @@ def test_clusters_end_to_end(spark):
     assert set(got) == {"goh:hūs", "la:xy"} and got["goh:hūs"]["cluster"] == "r-0" and got["goh:hūs"]["basic_word"] == "Hausen"
     docs = {r["root_key"]: r for r in clustering.documents(clustering.clusters(rooted)).collect()}
     assert docs["goh:hūs"]["wurzel"]["form"] == "hūs" and len(docs["goh:hūs"]["links"]) == 2
-    edges = {tuple(r) for r in graph.etymology_edges(rooted).collect()}
-    assert ("nhg:Haus", "goh:hūs", "inherited_from") in edges
+    found = clustering.clusters(rooted)
+    edges = {tuple(r) for r in graph.etymology_edges(found).collect()}
+    assert ("nhg:Hausen", "goh:hūs", "descends_from") in edges
+    assert {"goh:hūs", "nhg:Hausen", "nhg:lauf"} <= {r["id"] for r in graph.roots(found, rooted).collect()}
     assert clustering.cluster_stats(clustering.clusters(rooted)).first()["multi"] == 1
 
 
@@ -108,7 +110,7 @@ def test_layout_steps(spark):
     assert [(r["a"], r["b"]) for r in layout.overlaps(p).collect()] == [("a", "b")]
     assert layout.overlaps(layout.separate(p)).count() == 0
     e = spark.createDataFrame([("a", "c", "compound")], "a string, b string, kind string")
-    assert {r["id"]: r["x"] for r in layout.nudge(p, e, 1).collect()} == {"a": 2.0, "b": 0.5, "c": 98.0}
+    assert {r["id"]: r["x"] for r in layout.nudge(p, e, 1).collect()} == {"a": 5.0, "b": 0.5, "c": 95.0}
     fitted = layout.world_fit(p).agg(F.max("x") - F.min("x")).first()[0]
     assert abs(fitted - 370) < 1e-9
 
