@@ -27,7 +27,10 @@ def vocabulary(entries: DataFrame, levels: list[str], tags: list[str]) -> DataFr
 
 
 def rooted(vocab: DataFrame, templates: DataFrame) -> DataFrame:
-    """Phase A: chain, cognates, borrowing, root, compound parts and segments of every word."""
+    """Phase A: chain, cognates, borrowing, root, compound parts and segments of every word.
+
+    A layer: write or cache it, since adoption and grouping read it several times.
+    """
     t = F.coalesce("etymology_templates", F.array().cast("array<struct<name:string,args:map<string,string>>>"))
     rows = vocab.join(templates.withColumnRenamed("word", "lemma"), "lemma", "left").withColumn("t", t).withColumn("chain", chain(F.col("t"), F.col("lemma")))
     rows = rows.withColumn("root", F.coalesce(chain_root(F.col("chain")), text_root(F.nullif("etymology", F.lit("")))))

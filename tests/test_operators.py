@@ -93,7 +93,8 @@ def test_clusters_end_to_end(spark):
     templates = spark.createDataFrame(t, "word string, etymology_templates array<struct<name:string,args:map<string,string>>>")
     entries = spark.createDataFrame([("Haus|NOUN", "Haus", "NOUN", "A2", 9, None, []), ("Hausen|NOUN", "Hausen", "NOUN", "A1", None, None, []), ("laufen|VERB", "laufen", "VERB", "A1", 3, "aus lateinisch xy", []), ("x|X", "x", "X", "A1", 1, None, [])], "id string, lemma string, pos string, cefr_level string, frequency_class int, etymology string, derived array<string>")
     vocab = clustering.vocabulary(entries, ["A1", "A2"], ["NOUN", "VERB", "ADJ", "ADV"])
-    rooted = clustering.stem_groups(clustering.adopt_once(clustering.rooted(vocab, templates)))
+    layer = clustering.rooted(vocab, templates).cache()
+    rooted = clustering.stem_groups(clustering.adopt_once(layer)).cache()
     got = {r["root_key"]: r for r in clustering.clusters(rooted).collect()}
     assert set(got) == {"goh:hūs", "la:xy"} and got["goh:hūs"]["cluster"] == "r-0" and got["goh:hūs"]["basic_word"] == "Hausen"
     docs = {r["root_key"]: r for r in clustering.documents(clustering.clusters(rooted)).collect()}
