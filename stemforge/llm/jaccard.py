@@ -81,7 +81,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 got = shingle_sets(data, offs)
                 held += got
                 size += sum(map(len, got))
-                if size >= 3_000_000:
+                if size >= 1_500_000:
                     yield counted()
                     held, size = [], 0
         if held:
@@ -151,13 +151,13 @@ def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A stream: only the first row of the current token is held, however long its list is.
     """
-    names = ["token", "node", "idx", "size", "leader", "leader_idx", "leader_size"]
+    names = ["token", "node", "place", "leader", "leader_place"]
     held = None  # first row of the token that is open
     last, open_ = None, False
     for b in rows:
         if not len(b):
             continue
-        c = [b.column(i).to_numpy() for i in range(4)]
+        c = [b.column(i).to_numpy() for i in range(3)]
         if held is None or held[0] != c[0][0]:
             held, last, open_ = tuple(int(x[0]) for x in c), None, False
         new = np.append(c[0][0] != (last[0] if last else None) or c[1][0] != (last[1] if last else None), (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])).astype(bool)
@@ -179,7 +179,7 @@ def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if goes_on and not fresh_held:
             several[0] = True
         keep = several[run]
-        out = [x[keep] for x in c] + [lead[k][run][keep] for k in (1, 2, 3)]
+        out = [x[keep] for x in c] + [lead[k][run][keep] for k in (1, 2)]
         if goes_on and not fresh_held and not open_:  # the held row itself has not been given out
             out = [np.append(v, x) for v, x in zip([*held, *held[1:]], out, strict=True)]
         if len(starts) > 1 or not goes_on:
@@ -252,13 +252,18 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_common(docs))
-    base = cut(_prefixes(docs, order, percent))
+    found = _prefixes(docs, order, percent)
+    base = cut(found.select("doc_id", "n_shingles", "node", "text_hash"))  # prefixes are read once: the texts are cheaper to read again than they are to store
     t = needed(F.col("size"), percent)
-    postings = base.where(F.size("prefix") > 0).select("node", F.col("n_shingles").alias("size"), F.posexplode("prefix").alias("idx", "token")).select("token", "node", (F.col("idx") + 1).cast("long").alias("idx"), "size")
+    postings = found.where(F.size("prefix") > 0).select("node", "n_shingles", F.posexplode("prefix").alias("i", "token"))
+    postings = postings.select("token", "node", (F.shiftleft("n_shingles", 32) + F.col("i") + 1).alias("place"))  # set size, place in its prefix
     parts = shuffle_parts(spark)
-    lists = cut(postings.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, idx long, size long, leader long, leader_idx long, leader_size long"))
-    del postings
+    lists = cut(postings.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, place long, leader long, leader_place long"))
+    del postings, found
     release(spark)
+    low = (1 << 32) - 1
+    parts_of = [f(c).alias(p + n) for p, c in (("", "place"), ("leader_", "leader_place")) for n, f in (("idx", lambda c: F.col(c).bitwiseAND(low)), ("size", lambda c: F.shiftright(c, 32)))]
+    lists = lists.select("token", "node", "leader", *parts_of)
 
     def passes(a: str, b: str) -> Column:
         """Lengths and the last shared positions still allow the overlap that is needed."""
