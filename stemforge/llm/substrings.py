@@ -24,6 +24,8 @@ from .common import cut, release, shuffle_parts, slabs
 from .textkit import prefix_sums, signed, span_hash
 
 LENGTH = 200
+#: Text bytes ranked at once; the arrays of a slab take about a hundred times as much.
+SLAB = 1 << 19
 
 
 #: A stretch of window starts as one number: the first start, then _BITS bits for how many follow it.
@@ -219,7 +221,7 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
     def grams(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            for a, z, data, offs in slabs(b):
+            for a, z, data, offs in slabs(b, limit=SLAB):
                 d, g, e, lo, hi = occurrences(data, offs, length)
                 g, state = settle(g, e)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e), pa.array(ids[a:z][d]), pa.array(packed(lo, hi)), pa.array(state)], ["g", "e", "row", "span", "state"])
@@ -233,7 +235,7 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
     def pairs(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans, ids = b.column(2), b.column(0).to_numpy()
-            for a, z, data, offs in slabs(b):
+            for a, z, data, offs in slabs(b, limit=SLAB):
                 h = prefix_sums(data)
                 part = spans.slice(a, z - a)
                 own = np.repeat(np.arange(z - a), pa.compute.list_value_length(part).to_numpy())
