@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from helpers import frame, sample, words
 from pyspark.sql import functions as F
@@ -284,6 +285,40 @@ def test_lm_score(docs, rows, empty):
     assert none is None or none["train_tokens"] == 0
 
 
+def test_lm_counts_grow_with_the_input(spark):
+    """More contexts than a table of 2**17 slots could tell apart; each bit's odds are those of plain counting."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(30)]
+    rows = lm_score.blocks(lm_score._rows(frame(spark, list(enumerate(texts)))))
+    docs = {r["block"]: lm_score.texts_of(bytes(r["docs"])) for r in rows.collect()}
+    assert len(lm_score.block_keys(sum(docs.values(), []))[0]) > 1 << 19
+    got = lm_score.context_counts(rows, 5).toArrow()
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    tails = collections.Counter((t[i - 5 : i], t[i]) for t in train for i in range(5, len(t)))
+    after = collections.defaultdict(dict)
+    for (c, x), m in tails.items():
+        after[c][ord(x)] = m
+    assert set(got["block"].to_pylist()) == set(docs)
+    for block, mine in docs.items():
+        key, _ = lm_score.block_keys(mine)
+        odds = lm_score.found_odds(key, got.filter(pc.equal(got["block"], block)), 5)
+        text = mine[0].column("text").to_pylist()[0]
+        for i in range(1000, 1200):
+            k = sum(ord(c) << 8 * (5 - j) for j, c in enumerate(text[i - 5 : i + 1])) | lm_score.LENGTHS.index(5) << 62
+            seen, x = after[text[i - 5 : i]], ord(text[i])
+            for j in range(8):
+                below = sum(m for y, m in seen.items() if y >> 8 - j == x >> 8 - j)
+                same = sum(m for y, m in seen.items() if y >> 7 - j == x >> 7 - j)
+                assert abs(odds[np.searchsorted(key, np.uint64(k)), j] - math.log((same + 0.4) / (below - same + 0.4))) < 1e-5
+
+
+def test_lm_word_context():
+    """The word so far is told from others however long it is."""
+    s = np.frombuffer(b"xabcdefg yabcdefg ", np.uint8)
+    word = list(lm_score.keys(s, np.array([0, len(s)])))[-1]
+    assert word[7] != word[16] and word[0] >> np.uint64(8) == word[9] >> np.uint64(8)
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all values of the next byte, given the same history."""
     rng = np.random.default_rng(8)
