@@ -2,13 +2,16 @@
 
 Rolling hashes of k words of each text are joined with those of licence templates. Hits of one text and
 template that share the offset (text position minus template position) lie on one diagonal; diagonals
-are counted, neighbouring ones (a word inserted or left out) are merged, and a span counts when its
-words, compared as words, cover enough of the template. A phrase of up to SHORT words is one k-gram of
+are counted, neighbouring ones (a word inserted or left out) are merged, and each span is aligned with its
+template word by word: it counts when the words matched in order cover enough of the template, and when
+the words that tell licences apart agree. A phrase of up to SHORT words is one k-gram of
 its own length: each hit is a place where its words stand consecutively.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +30,9 @@ GAP = 40
 #: Share of a template's words that a passage must cover.
 COVER = 0.6
 
+# Words that tell templates apart, the label that needs each and the one that must not have it.
+MARKS = (("noncommercial", "cc-by-nc", "cc-by"), ("sharealike", "cc-by-sa", "cc-by"), ("lesser", "lgpl", "gpl"))
+
 # The base phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -56,6 +62,12 @@ def _terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, doc, span_hash(prefix_sums(data), start, end)
 
 
+def _shown(text: str) -> list[bytes]:
+    data, start, end, _, _ = terms(text)
+    raw = data.tobytes()
+    return [raw[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)]
+
+
 def template_rows(phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
     """(template, label, is base, its words, k, position, hash, words of the k-gram)."""
     out = []
@@ -68,6 +80,27 @@ def template_rows(phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
     return out
 
 
+def matched(template: list[str], span: list[str]) -> int:
+    """Words of the longest common subsequence, one bit a template word."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    open_ = full
+    for w in span:
+        x = open_ & places.get(w, 0)
+        open_ = (open_ + x | open_ - x) & full
+    return len(template) - open_.bit_count()
+
+
+def cover(label: str, template: list[str], span: list[str], inner: list[str]) -> float:
+    """Share of the template's words that `span` has in order; 0 if a mark is missing or, in `inner`, too much."""
+    for mark, needs, bars in MARKS:
+        if label == needs and mark in template and mark not in span or label == bars and mark not in template and mark in inner:
+            return 0.0
+    return matched(template, span) / len(template)
+
+
 TEMPLATE_SCHEMA = "template int, label string, base boolean, words int, k int, tpos long, h long, gram string"
 
 
@@ -76,12 +109,14 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
 
     Words are runs of digits, letters and non-ASCII characters after lowering A-Z; null counts as empty.
     Base places are all places of the phrases, overlapping ones too; first_word and last_word are null
-    without one, labels are then empty strings and the score is the best template cover, or 0. Repeated
+    without one, the base labels are then empty and the score is the best cover of a verified passage, or 0. Repeated
     rows are scanned and returned each. Empty tables give an empty result; extra columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
     rows = template_rows(phrases, templates)
     ks = sorted({r[4] for r in rows})
+    kinds = [(lab, [w.decode() for w in _shown(x)]) for x, lab in [*phrases, *((x, lab) for lab, x in templates)]]
+    reach = max((len(w) for _, w in kinds), default=0) + SLACK
     wanted = {k: np.unique(np.array([r[6] for r in rows if r[4] == k], np.int64)) for k in ks}
 
     def run(batches):
@@ -100,14 +135,25 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
                     found += [(int(i), int(x), k) for i, x in zip(at[hit], h[hit], strict=True)]
                 found.sort()
                 shown = data.tobytes()
-                hits = [[] for _ in range(n)]
+                hits, near = [[] for _ in range(n)], [[] for _ in range(n)]
                 for i, x, k in found:
                     hits[doc[i]].append({"pos": i - int(first[doc[i]]), "h": x, "gram": " ".join(shown[start[j] : end[j]].decode() for j in range(i, i + k))})
+                    lo, hi = int(first[doc[i]]), int(first[doc[i]] + count[doc[i]])
+                    a_, z_ = max(lo, i - reach) - lo, min(hi, i + k + reach) - lo
+                    if near[doc[i]] and a_ <= near[doc[i]][-1][1]:
+                        near[doc[i]][-1][1] = max(z_, near[doc[i]][-1][1])
+                    else:
+                        near[doc[i]].append([a_, z_])
+                for d in np.unique(doc[[i for i, _, _ in found]]) if found else ():
+                    lo = int(first[d])
+                    near[d] = [{"at": a_, "words": " ".join(shown[start[j] : end[j]].decode() for j in range(lo + a_, lo + z_))} for a_, z_ in near[d]]
+                around = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.string())]))
                 kind = pa.list_(pa.struct([("pos", pa.int64()), ("h", pa.int64()), ("gram", pa.string())]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), pa.array(count.astype(np.int64)), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), pa.array(count.astype(np.int64)), pa.array(hits, kind), pa.array(near, around)], ["doc_id", "n_words", "hits", "near"])
 
     hit = T.StructType([T.StructField("pos", T.LongType()), T.StructField("h", T.LongType()), T.StructField("gram", T.StringType())])
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit))])
+    around = T.StructType([T.StructField("at", T.LongType()), T.StructField("words", T.StringType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit)), T.StructField("near", T.ArrayType(around))])
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))  # the row number holds once it is stored
 
@@ -122,12 +168,29 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     fresh = (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) <= SLACK) & (F.col("a") - F.lag("b").over(along) <= GAP)
     passages = (
         votes.where("not base").withColumn("new", F.when(fresh, 0).otherwise(1)).withColumn("passage", F.sum("new").over(along))
-        .groupBy("row", "template", "label", "words", "k", "passage").agg(F.sum("votes").alias("v"), F.count("*").alias("lines"))
-        .withColumn("cover", F.least(F.lit(1.0), (F.col("v") + (F.col("k") - 1) * F.col("lines")) / F.col("words")))
+        .groupBy("row", "template", "passage").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
+        .groupBy("row").agg(F.collect_list(F.struct("template", "low", "high")).alias("passages"))
     )
-    spans = passages.groupBy("row").agg(F.max("cover").alias("cover"), F.collect_set(F.when(F.col("cover") >= COVER, F.col("label"))).alias("set"))
+
+    def verify(batches):
+        for b in batches:
+            best, labels = [], []
+            for passages, near in zip(b.column("passages").to_pylist(), b.column("near").to_pylist(), strict=True):
+                at = [x["at"] for x in near]
+                words = [x["words"].split(" ") for x in near]
+                got = []
+                for x in passages:
+                    label, template = kinds[x["template"]]
+                    i = max(bisect_right(at, max(x["low"], 0)) - 1, 0)  # hits of a passage stand in one stretch
+                    lo, hi = x["low"] - at[i], x["high"] - at[i] + len(template)
+                    got.append((cover(label, template, words[i][max(lo - SLACK, 0) : hi + SLACK], words[i][max(lo, 0) : hi]), label))
+                best.append(max(c for c, _ in got))
+                labels.append(sorted({label for c, label in got if c >= COVER}))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(best, pa.float64()), pa.array(labels, pa.list_(pa.string()))], ["row", "cover", "set"])
+
+    spans = passages.join(found.select("row", "near"), "row").mapInArrow(verify, "row long, cover double, set array<string>")
     none = F.array().cast("array<string>")
-    out = found.drop("hits").join(places, "row", "left").join(spans, "row", "left")
+    out = found.drop("hits", "near").join(places, "row", "left").join(spans, "row", "left")
     base = F.coalesce("base_set", none)
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",

@@ -195,6 +195,16 @@ def test_license_scan(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_spans_are_verified(spark):
+    text = dict((k, x) for k, x in licenses.TEMPLATES)
+    mit = text["mit"].split()
+    spread = " ".join("changed" if j in (9, 19, 29, 39) else w for j, w in enumerate(mit))
+    rows = [(1, "intro. " + text["cc-by"] + ". More"), (2, text["cc-by-sa"]), (3, text["cc-by-nc"]), (4, text["gpl"] + " 3"), (5, text["lgpl"]), (6, spread), (7, " ".join(mit[:20])), (8, "filler " * 300 + text["cc-by-sa"] + " filler" * 300 + " " + text["gpl"]), (9, text["cc-by"].replace("4.0", "really 4.0"))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert {i: x for i, (x, _) in got.items()} == {1: "cc-by", 2: "cc-by-sa", 3: "cc-by-nc", 4: "gpl", 5: "lgpl", 6: "mit", 7: "", 8: "cc-by-sa,gpl", 9: "cc-by"}
+    assert got[6][1] == 45 / 49 and got[7][1] == 20 / 49 and got[9][1] == 1
+
+
 def test_packing(docs, rows, library, empty):
     got = packing.pack(docs, tokenizer_path(), part_pieces=12).collect()
     expected = collections.Counter()
