@@ -322,6 +322,27 @@ def test_lm_counts_grow_with_the_input(spark):
                 assert abs(odds[np.searchsorted(key, np.uint64(k)), j] - math.log((same + 0.4) / (below - same + 0.4))) < 1e-5
 
 
+def test_lm_weights_last_a_whole_document():
+    """Against mixing bit after bit, with weights that are never reset within a document."""
+    rng = np.random.default_rng(4)
+    sizes = [1500, 1, 700]
+    bound = np.concatenate([[0], np.cumsum(sizes)])
+    s = rng.integers(97, 123, bound[-1]).astype(np.uint8)
+    odds = rng.normal(size=(50, 8)).astype(np.float32)
+    place = rng.integers(0, 50, (lm_score.ORDERS, len(s)))
+    expected = []
+    for a, z in zip(bound[:-1], bound[1:], strict=True):
+        w, total = np.full((8, lm_score.ORDERS), lm_score.FIRST_WEIGHT), 0.0
+        for i in range(a, z):
+            for j in range(8):
+                x = odds[place[:, i], j].astype(float)
+                p = 1 / (1 + math.exp(-(w[j] @ x)))
+                total += math.log10(p)
+                w[j] += lm_score.LEARNING_RATE * (1 - p) * x
+        expected.append(total)
+    assert np.allclose(lm_score.log10_scores(s, bound, odds, place), expected, rtol=1e-3)
+
+
 def test_lm_word_context():
     """The word so far is told from others however long it is."""
     s = np.frombuffer(b"xabcdefg yabcdefg ", np.uint8)
