@@ -28,7 +28,7 @@ def _without(docs: DataFrame, dropped: DataFrame, text_key) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letters) go."""
+    """Documents without letters go; which language the classifier tells never drops a document."""
     ship(spark)
     return langid.determined(docs, langid.fit(docs, ~langid.held_out(F.col("doc_id"))))
 

@@ -207,12 +207,19 @@ def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def determined(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of `docs`, all columns as they are, whose language can be told (is not `und`)."""
+    """The rows of `docs`, all columns as they are, with a letter to tell a language by.
+
+    A fitted model gives every text with letters a language, so only letterless and null texts go; they alone
+    go too if nothing was learned.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a, z, langs, _ in _predict(shared.value, b, "text"):
-                yield b.slice(a, z - a).filter(pa.array([v != UNDETERMINED for v in langs], pa.bool_()))
+                keep = [v != UNDETERMINED for v in langs]
+                if shared.value.families is None:
+                    keep = [has_letter(t) for t in b.column(b.schema.get_field_index("text")).slice(a, z - a).to_pylist()]
+                yield b.slice(a, z - a).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -34,6 +34,11 @@ def test_stages(spark, tmp_path):
     assert docs.select("doc_id").distinct().count() == len({r["doc_id"] for r in kept["passage_dedup"]})
 
 
+def test_language_stage_without_labels(spark):
+    docs = frame(spark, [(1, "some words"), (2, "12 !!"), (3, None), (4, "Ωδή")]).select("doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "unused").collect()) == [1, 4]
+
+
 def test_empty_table(spark):
     docs = frame(spark, [(0, "x")]).where("doc_id = 1").select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES[:4]:
