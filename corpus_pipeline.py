@@ -48,10 +48,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id stays."""
+    """Of each group of near duplicates the document of the smallest doc_id stays, nulls last, then of the least text hash.
+
+    Rows alike in id and text, of which the stage before leaves one, share their fate.
+    """
     ship(spark)
-    found = near_components(docs).withColumnRenamed("text_hash", "__text_key")
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), F.xxhash64(docs["text"]))
+    found = cut(near_components(docs).where("group is not null").select("group", "doc_id", F.col("text_hash").alias("__text_key")))
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__text_key")
+    first = found.groupBy("group").agg(F.min(place).alias("first"))
+    return _without(docs, found.join(first, "group").where(place != F.col("first")), F.xxhash64(docs["text"]))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,7 +243,9 @@ def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links of `percent` or more), text_hash.
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links of `percent` or more), text_hash, group.
+
+    `group` tells components apart where ids are repeated or null; it is null without shingles.
 
     A text without words, or null, has no shingles and stands alone. Copies and texts of equal shingle
     sets are linked if they have a shingle. Repeated rows are returned each; a row whose doc_id is null
@@ -310,4 +312,4 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = base.select("doc_id", "n_shingles", "node", "text_hash").join(label, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = named.where("node is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     # Groups may be large: the least doc_id of each is joined back, a skewed join that can be split.
-    return named.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "text_hash")
+    return named.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "text_hash", "group")

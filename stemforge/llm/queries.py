@@ -34,7 +34,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_components
 
-    return near_components(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_components(table(spark, sf_dir, "documents")).drop("text_hash", "group")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,15 @@ def test_language_stage_without_labels(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "unused").collect()) == [1, 4]
 
 
+def test_near_stage_keeps_one_of_each_group(spark):
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(7, base[0]), (7, base[0] + " more"), (None, base[1]), (None, base[1] + " more"), (None, base[2]), (9, base[2] + " more"), (7, base[3]), (None, None), (None, " ")]
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, "unused").collect()]
+    assert sorted((t or " ")[0] for _, t in got) == [" ", " ", "a", "b", "c", "d"]
+    assert (9, base[2] + " more") in got and (7, base[3]) in got
+
+
 def test_empty_table(spark):
     docs = frame(spark, [(0, "x")]).where("doc_id = 1").select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES[:4]:
