@@ -85,7 +85,7 @@ def merge(runs: list[Run]) -> Run:
 
 
 class LsmIndex:
-    """Size-tiered runs. A run whose digests no filter of an older run may have is kept beside them."""
+    """Size-tiered runs, merged when there are `fanout` of them. Only lookups ask the filters."""
 
     def __init__(self, fanout: int = FANOUT):
         self.runs: list[Run] = []
