@@ -1,41 +1,39 @@
-"""Shared helpers of the training-data operators: sessions, shared storage, skew-safe joins, text batches."""
+"""Shared helpers of the training-data operators: sessions, stored tables between steps, text batches."""
 
 from __future__ import annotations
 
-import gc
-import os
+import ctypes
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import suppress
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by the numpy kernels; a longer single text is one slab of its own.
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
 #: Most rows of a key list that may be broadcast; above it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
-
-
 #: Bytes of an Arrow batch between the JVM and a Python worker; both hold a few of them.
 BATCH_BYTES = 8 << 20
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def ship(spark: SparkSession) -> None:
-    """Make a session ready: small Arrow batches, and this package on the Python workers.
 
-    The package is sent unless the workers find it by PYTHONPATH or the working folder.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    root = Path(__file__).resolve().parents[2]
+def ship(spark: SparkSession) -> None:
+    """Make a session ready: small Arrow batches (for the session: plans are lazy), and this package on the Python workers."""
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     sc = spark.sparkContext
-    known = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
-    if root in known or getattr(sc, "_stemforge_shipped", False):
+    if sc.master.split("[")[0] == "local" or getattr(sc, "_stemforge_shipped", False):
         return
-    out = Path(tempfile.mkdtemp(prefix="stemforge-")) / "stemforge.zip"
+    root = Path(__file__).resolve().parents[2]
+    out = Path(tempfile.mkdtemp(prefix="stemforge-")) / "stemforge.zip"  # the driver serves it to the workers
     with zipfile.ZipFile(out, "w") as z:
         for f in sorted((root / "stemforge").rglob("*.py")):
             z.write(f, f.relative_to(root))
@@ -48,40 +46,89 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only where none is set (tests, local mode)."""
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder below the cluster's shared one; it is removed when the driver ends.
+
+    A folder of our own takes its place only in local mode with none set, as in tests: on a cluster the
+    other machines would not see it, so that is an error.
+    """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stemforge-"))
+    got = getattr(sc, "_stemforge_folder", None)
+    if got is None:
+        top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if not top:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+            top = tempfile.mkdtemp(prefix="stemforge-")
+        got = sc._stemforge_folder = f"{top.rstrip('/')}/stemforge-{uuid.uuid4().hex}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(got)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return got
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared folder, cutting its lineage; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+    """Write `df` as a table in the shared folder and read it back: a cut in the lineage that survives lost executors.
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffle files that only dropped plans needed: after a cut, when the plan before it is out of scope.
-
-    The driver's cleaner deletes them when it notices that nothing refers to them, which a collection brings about.
+    The shuffle files of the write go with its end.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_CONF, "false")
+    spark.conf.set(_CLEAN_CONF, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(_CLEAN_CONF, before)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._stemforge_table = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` gave and no plan that is still to run reads."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._stemforge_table)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key(rows: DataFrame, *columns: Column) -> Column:
+    """A 64-bit key of rows by the given columns: rows that differ in them have different keys.
+
+    Keys are hashes; those that rows of different contents share, a few in 10**10 rows, are told apart by
+    a second hash. Rows alike in the columns share their key.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    first, second = F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+    shared = rows.select(first.alias("k"), second.alias("c")).groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").limit(10_001).collect()
+    if len(shared) > 10_000:
+        raise ValueError("too many rows share their 64-bit hash")
+    return F.when(first.isin([r["k"] for r in shared]), F.xxhash64(F.lit(2), first, second)).otherwise(first) if shared else first
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keep_keys(big: DataFrame, keys: DataFrame, on: str, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of `big` whose key is in `keys` (distinct, materialised). Broadcast only after counting."""
-    small = keys.select(on)
-    if keys.count() <= bound:
-        small = F.broadcast(small)
-    return big.join(small, on, "left_semi")
+def trim() -> None:
+    """Give memory that is free in this Python worker back to the machine; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """`run` over batches of Arrow rows, giving free memory back as it goes and when it ends."""
+
+    def wrapped(batches) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(run(batches)):
+            yield b
+            if k % 8 == 7:
+                trim()
+        trim()
+
+    return wrapped
 
 
 def slabs(batch: pa.RecordBatch, column: str = "text", limit: int = SLAB_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _least(sym: DataFrame) -> DataFrame:
@@ -27,13 +27,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
 
-def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
-    """edges: u, v (any direction, repeats allowed). Gives (node, component): the least node reachable."""
+def components(edges: DataFrame) -> DataFrame:
+    """edges: u, v (any direction, repeats allowed). Gives (node, component): the least node reachable.
+
+    Steps are repeated until one changes nothing; their number grows with the logarithm of a path's length.
+    """
     now = cut(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
-    for _ in range(max_steps):
-        now = cut(_small_star(_large_star(now).distinct()).distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while True:
+        step = cut(_small_star(_large_star(now).distinct()).distinct())
+        discard(now)
+        now, seen = step, step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
         mark = seen

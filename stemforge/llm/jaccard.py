@@ -6,23 +6,31 @@ they share l of those at least. Each set chooses its own l: a longer prefix is r
 many shared shingles are asked for before a pair is verified; the choice weighs the postings that the
 prefix touches against the candidates that can still have l matches. A pair needs the smaller l of both.
 
-Links only matter by the components they form. Copies of one shingle set are one node. First each node
-is verified against leaders, one a posting list, which is linear; then only pairs whose ends lie in
-different components so far are enumerated, so a group of near copies never becomes all its pairs.
+Links only matter by the components they form, and copies of one shingle set are one node. Each round
+takes the posting lists whose nodes are not all in one component yet and lets a list's leader, its node of
+the least hash that round, stand for it; each node is verified against the one leader that it shares most
+lists with. A round is linear in the lists. When a round links little, the pairs that are left, between a
+node outside the largest component of a list and any node of another component there, are enumerated and
+verified, so a group of near copies never becomes all its pairs. Which share of the links a round finds
+depends on the data; the enumeration alone would find them all.
+
+Words and shingles are compared by 64-bit keys that no pattern of words can make alike. Of a link each side
+needs hundreds of them, and a set is known by two such numbers, 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, release, shuffle_parts, slabs
+from .common import BROADCAST_ROWS, cut, discard, shuffle_parts, slabs, trimmed
 from .components import components
-from .textkit import IS_SPACE, LOWER, mix, prefix_sums, rolling, signed, span_hash, word_bounds
+from .textkit import IS_SPACE, LOWER, mix, rolling, signed, word_bounds, word_keys
 
 SHINGLE_WORDS = 5
 PERCENT = 75
@@ -31,14 +39,19 @@ MAX_MATCHES = 8
 COMMON = 100_000
 #: A verification costs as much as reading so many postings.
 VERIFY_COST = 16
+#: Rounds of leaders go on while one of so many verified pairs links.
+WORTH = 10
 _IS_WORD = ~IS_SPACE
+_CHECK = np.uint64(0x5851F42D4C957F2D)
+#: Sets remembered by a task, to give each out once.
+SEEN = 100_000
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; under k words, the whole sequence is one shingle."""
     low = LOWER[data]
     start, end, doc = word_bounds(low, offs, _IS_WORD)
-    words = span_hash(prefix_sums(low), start, end)
+    words = word_keys(low, start, end)
     at, h = rolling(words, doc, k)
     n = len(offs) - 1
     count = np.bincount(doc, minlength=n)
@@ -55,9 +68,11 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE_WORDS) ->
     return out
 
 
-def node_of(s: np.ndarray) -> int:
-    """Identity of a shingle set, by its contents (64 bits)."""
-    return int(signed(mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s))], np.uint64)))[0])
+def node_of(s: np.ndarray, renamed: dict[tuple[int, int], int] | None = None) -> tuple[int, int]:
+    """(number, check) of a shingle set, by its contents. Numbers that two sets share are told apart by `renamed`."""
+    two = np.array([np.add.reduce(mix(s)) + np.uint64(len(s)), np.add.reduce(mix(s ^ _CHECK)) + np.uint64(len(s))], np.uint64)
+    node, check = signed(mix(two)).tolist()
+    return (renamed or {}).get((node, check), node), check
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -87,7 +102,9 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield counted()
 
-    got = _texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    found = cut(_texts(docs).mapInArrow(trimmed(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON))
+    got = found.toArrow()
+    discard(found)
     token, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(token)
     return token[order], np.ceil(np.log2(np.maximum(n[order], 2))).astype(np.int64)
@@ -115,83 +132,86 @@ class Order:
 
 def needed(n: int | Column, percent: int) -> int | Column:
     """Least overlap of a set of n shingles with any set it links to."""
-    return -(-n * percent // 100) if isinstance(n, int) else F.ceil(n * percent / 100)
+    return -(-n * percent // 100) if isinstance(n, int) else F.floor((n * percent + 99) / 100)
 
 
-def _prefixes(docs: DataFrame, order, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node, text_hash and, once a node and task, its longest prefix."""
+def _nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, node, node_check, text_hash of every row."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        o, seen = Order(*order.value), set()
         for b in batches:
             for a, z, data, offs in slabs(b):
                 sets = shingle_sets(data, offs)
-                nodes = [node_of(s) if len(s) else None for s in sets]
-                flat, cuts = [], [0]
-                for s, node in zip(sets, nodes, strict=True):
+                named = [node_of(s) if len(s) else (None, None) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*named, strict=True)), b.column(2).slice(a, z - a)], ["doc_id", "n_shingles", "node", "node_check", "text_hash"])
+
+    rows = _texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(trimmed(run), "doc_id long, n_shingles long, node long, node_check long, text_hash long")
+
+
+def _clashes(base: DataFrame) -> dict[tuple[int, int], int]:
+    """New numbers for sets whose number another set has: about one in 10**20 pairs of sets."""
+    several = base.where("node is not null").groupBy("node").agg(F.min("node_check").alias("lo"), F.max("node_check").alias("hi")).where("lo <> hi").select("node")
+    found = base.join(several, "node", "left_semi").select("node", "node_check").distinct().limit(10_001).collect()
+    if len(found) > 10_000:
+        raise ValueError("too many shingle sets share their 64-bit number")
+    return {(n, c): int(signed(mix(np.array([n, c], np.int64).view(np.uint64)))[0] ^ c) for n, c in found}
+
+
+def _postings(docs: DataFrame, order, percent: int, renamed: dict) -> DataFrame:
+    """(token, node, place) of the longest prefix of each set, once a node and task; place is set size << 32 | position."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        o, seen = Order(*order.value), set()
+        for b in batches:
+            for _, _, data, offs in slabs(b):
+                flat, nodes, places = [], [], []
+                for s in shingle_sets(data, offs):
+                    node = node_of(s, renamed)[0] if len(s) else None
                     if node is not None and node not in seen:
-                        if len(seen) >= 500_000:
+                        if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(node)
                         t = needed(len(s), percent)
                         flat.append(o.sort(s)[: len(s) - t + min(MAX_MATCHES, t)])
-                        cuts.append(cuts[-1] + len(flat[-1]))
-                    else:
-                        cuts.append(cuts[-1])
-                values = pa.array(signed(np.concatenate(flat)) if flat else np.zeros(0, np.int64), pa.int64())
-                prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), b.column(2).slice(a, z - a), prefix], ["doc_id", "n_shingles", "node", "text_hash", "prefix"])
+                        nodes.append(node)
+                        places.append((len(s) << 32) + 1 + np.arange(len(flat[-1])))
+                if flat:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(flat))), pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in flat])), pa.array(np.concatenate(places))], ["token", "node", "place"])
 
-    rows = _texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, text_hash long, prefix array<bigint>")
+    return _texts(docs).mapInArrow(trimmed(run), "token long, node long, place long")
 
 
 def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token and node: of tokens that several nodes have, each node once, with the first node.
+    """Rows sorted by token and node: those of tokens that several nodes have, each node once.
 
     A stream: only the first row of the current token is held, however long its list is.
     """
-    names = ["token", "node", "place", "leader", "leader_place"]
-    held = None  # first row of the token that is open
-    last, open_ = None, False
+    last, alone = None, None  # token and node of the row before; that row if it is the only one of its token so far
     for b in rows:
-        if not len(b):
-            continue
         c = [b.column(i).to_numpy() for i in range(3)]
-        if held is None or held[0] != c[0][0]:
-            held, last, open_ = tuple(int(x[0]) for x in c), None, False
-        new = np.append(c[0][0] != (last[0] if last else None) or c[1][0] != (last[1] if last else None), (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])).astype(bool)
-        c = [x[new] for x in c]
         if not len(c[0]):
             continue
-        last = (int(c[0][-1]), int(c[1][-1]))
-        first = np.append(True, c[0][1:] != c[0][:-1])
-        run = np.cumsum(first) - 1
-        starts = np.flatnonzero(first)
-        sizes = np.diff(np.append(starts, len(first)))
-        lead = [x[starts].copy() for x in c]
-        goes_on = held[0] == int(c[0][0])
-        fresh_held = goes_on and held[1] == int(c[1][0])  # the open token begins in this batch
-        if goes_on and not fresh_held:
-            for x, v in zip(lead, held, strict=True):
-                x[0] = v
-        several = sizes > 1
-        if goes_on and not fresh_held:
-            several[0] = True
-        keep = several[run]
-        out = [x[keep] for x in c] + [lead[k][run][keep] for k in (1, 2)]
-        if goes_on and not fresh_held and not open_:  # the held row itself has not been given out
-            out = [np.append(v, x) for v, x in zip([*held, *held[1:]], out, strict=True)]
-        if len(starts) > 1 or not goes_on:
-            held = tuple(int(x[starts[-1]]) for x in c)
-            open_ = bool(sizes[-1] > 1)
-        else:
-            open_ = open_ or bool(several[0])
+        again = np.zeros(len(c[0]), bool)
+        again[1:] = (c[0][1:] == c[0][:-1]) & (c[1][1:] == c[1][:-1])
+        again[0] = last == (c[0][0], c[1][0])
+        c = [x[~again] for x in c]
+        if not len(c[0]):
+            continue
+        goes_on = np.zeros(len(c[0]), bool)
+        goes_on[1:] = c[0][1:] == c[0][:-1]
+        goes_on[0] = last is not None and last[0] == c[0][0]
+        keep = goes_on | np.append(goes_on[1:], False)
+        out = [x[keep] for x in c]
+        if goes_on[0] and alone is not None:
+            out = [np.append(v, x) for v, x in zip(alone, out, strict=True)]
+        alone = None if goes_on[-1] else [x[-1:] for x in c]
+        last = (c[0][-1], c[1][-1])
         if len(out[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["token", "node", "place"])
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, renamed: dict) -> DataFrame:
     """(node, set) of the given nodes; their list is sent to the tasks only if it is short."""
     wanted = None
     if nodes.count() <= BROADCAST_ROWS:
@@ -202,114 +222,169 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             for _, _, data, offs in slabs(b):
                 sets = [s for s in shingle_sets(data, offs) if len(s)]
-                ids = np.array([node_of(s) for s in sets], np.int64)
+                ids = np.array([node_of(s, renamed)[0] for s in sets], np.int64)
+                keep = np.ones(len(ids), bool)
                 if wanted is not None:
                     w = wanted.value
                     keep = w[np.minimum(np.searchsorted(w, ids), len(w) - 1)] == ids if len(w) else np.zeros(len(ids), bool)
-                else:
-                    keep = np.ones(len(ids), bool)
-                out = []
                 for i in np.flatnonzero(keep).tolist():
                     if int(ids[i]) not in seen:
-                        if len(seen) >= 500_000:
+                        if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(int(ids[i]))
-                        out.append((int(ids[i]), sets[i].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.binary())], ["node", "shingles"])
+                    else:
+                        keep[i] = False
+                at = np.flatnonzero(keep).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["node", "shingles"])
 
-    got = _texts(docs).mapInArrow(run, "node long, shingles binary")
+    got = _texts(docs).mapInArrow(trimmed(run), "node long, shingles binary")
     if wanted is None:
         got = got.join(nodes.select("node"), "node", "left_semi")
     return got.dropDuplicates(["node"])
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the given ones whose sets link, by exact intersection."""
+def _verify(docs: DataFrame, pairs: DataFrame, percent: int, renamed: dict) -> DataFrame:
+    """Pairs (u, v) of the given (a, b) whose sets link, by exact intersection; a stored table."""
     nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = cut(_sets(docs, nodes))
+    sets = cut(_sets(docs, nodes, renamed))
     both = pairs.select("a", "b").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+    out = cut(both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "u long, v long"))
+    discard(nodes, sets)
+    return out
 
 
-def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links of `percent` or more), text_hash, group.
+def _live(lists: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The lists whose nodes lie in several components: token, node, idx, size, component, and df, the list's length."""
+    low = (1 << 32) - 1
+    tagged = lists.select("token", "node", F.col("place").bitwiseAND(low).alias("idx"), F.shiftright("place", 32).alias("size"))
+    if label is None:
+        tagged = tagged.withColumn("component", F.col("node"))
+    else:
+        tagged = tagged.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
+    return tagged.join(open_, "token")
 
-    `group` tells components apart where ids are repeated or null; it is null without shingles.
 
-    A text without words, or null, has no shingles and stands alone. Copies and texts of equal shingle
-    sets are linked if they have a shingle. Repeated rows are returned each; a row whose doc_id is null
-    never names a component unless all of its component are null. Empty tables give an empty result, and
-    other columns are ignored. Sets are compared by 64-bit shingle hashes.
-    """
-    spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(_common(docs))
-    found = _prefixes(docs, order, percent)
-    base = cut(found.select("doc_id", "n_shingles", "node", "text_hash"))  # prefixes are read once: the texts are cheaper to read again than they are to store
-    t = needed(F.col("size"), percent)
-    postings = found.where(F.size("prefix") > 0).select("node", "n_shingles", F.posexplode("prefix").alias("i", "token"))
-    postings = postings.select("token", "node", (F.shiftleft("n_shingles", 32) + F.col("i") + 1).alias("place"))  # set size, place in its prefix
-    parts = shuffle_parts(spark)
-    lists = cut(postings.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, place long, leader long, leader_place long"))
-    del postings, found
-    release(spark)
-    low = (1 << 32) - 1
-    parts_of = [f(c).alias(p + n) for p, c in (("", "place"), ("leader_", "leader_place")) for n, f in (("idx", lambda c: F.col(c).bitwiseAND(low)), ("size", lambda c: F.shiftright(c, 32)))]
-    lists = lists.select("token", "node", "leader", *parts_of)
-
-    def passes(a: str, b: str) -> Column:
-        """Lengths and the last shared positions still allow the overlap that is needed."""
-        need = F.ceil((F.col(f"{a}_size") + F.col(f"{b}_size")) * percent / (100 + percent))
-        sizes = (F.least(f"{a}_size", f"{b}_size") * 100 >= F.greatest(f"{a}_size", f"{b}_size") * percent)
-        return sizes & (F.col("shared") + F.least(F.col(f"{a}_size") - F.col(f"{a}_last"), F.col(f"{b}_size") - F.col(f"{b}_last")) >= need)
-
-    star = (
-        lists.where("node <> leader").groupBy(F.col("leader").alias("a"), F.col("node").alias("b"))
-        .agg(F.count("*").alias("shared"), F.max("leader_idx").alias("a_last"), F.max("idx").alias("b_last"), F.first("leader_size").alias("a_size"), F.first("size").alias("b_size"))
-        .where(passes("a", "b")).select("a", "b")
+def _overlap(percent: int) -> Column:
+    """Least overlap of sets of a_size and b_size that link."""
+    return F.floor(((F.col("a_size") + F.col("b_size")) * percent + 99 + percent) / (100 + percent))
+
+
+def _passes(percent: int) -> Column:
+    """Lengths and the last shared positions of a and b still allow the overlap that a link needs."""
+    sizes = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
+    need = _overlap(percent)
+    return sizes & (F.col("shared") + F.least(F.col("a_size") - F.col("a_last"), F.col("b_size") - F.col("b_last")) >= need)
+
+
+def _best_leaders(live: DataFrame, tried: DataFrame | None, salt: int, percent: int) -> DataFrame:
+    """(a, b): for each node b the leader a of another component that it shares most lists with, of those not tried."""
+    rank = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "idx", "size", "component")
+    leads = live.groupBy("token").agg(F.min(rank).alias("first"))
+    pairs = (
+        live.join(leads, "token").where(F.col("component") != F.col("first.component"))
+        .groupBy(F.col("first.node").alias("a"), F.col("node").alias("b"))
+        .agg(F.count("*").alias("shared"), F.max("first.idx").alias("a_last"), F.max("idx").alias("b_last"), F.first("first.size").alias("a_size"), F.first("size").alias("b_size"))
+        .where(_passes(percent))
     )
-    star = cut(star)
-    links = cut(_verify(docs, star, percent))
-    label = cut(components(links))
-    release(spark)
+    if tried is not None:
+        pairs = pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    # What is left: lists whose nodes lie in several components. Each node's own l weighs reading against verifying.
-    tagged = lists.select("token", "node", "idx", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
-    live = cut(tagged.join(open_, "token"))
+
+def _cross(lists: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b): the candidate pairs left between components, each node with the prefix length of its own choice."""
+    live = cut(_live(lists, label))
+    t = needed(F.col("size"), percent)
     spare = F.col("size") - t
     reads = [F.sum(F.when(F.col("idx") <= spare + k, F.col("df") - 1).otherwise(0)) for k in range(1, MAX_MATCHES + 1)]
     costs = F.array(*[F.struct((r + r * VERIFY_COST / k).alias("cost"), F.lit(k).alias("l")) for k, r in enumerate(reads, 1)])
     chosen = live.groupBy("node", "size").agg(F.array_min(costs)["l"].alias("l")).select("node", F.least("l", t).cast("int").alias("l"))
-    live = cut(live.join(chosen, "node").where(F.col("idx") <= spare + F.col("l")).select("token", "node", "idx", "size", "component", "l"))
-    x = live.select("token", F.col("node").alias("a"), F.col("idx").alias("ai"), F.col("size").alias("a_size"), F.col("component").alias("ac"), F.col("l").alias("al"))
-    y = live.select("token", F.col("node").alias("b"), F.col("idx").alias("bi"), F.col("size").alias("b_size"), F.col("component").alias("bc"), F.col("l").alias("bl"))
+    kept = live.join(chosen, "node").where(F.col("idx") <= spare + F.col("l")).select("token", "node", "idx", "size", "component", "l")
+    parts = kept.groupBy("token", "component").agg(F.count("*").alias("n"))
+    major = parts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("several")).where("several > 1").drop("several")
+    kept = cut(kept.join(major, "token"))
+    x = kept.where("component <> major").select("token", F.col("node").alias("a"), F.col("idx").alias("ai"), F.col("size").alias("a_size"), F.col("component").alias("ac"), F.col("l").alias("al"))
+    y = kept.select("token", F.col("node").alias("b"), F.col("idx").alias("bi"), F.col("size").alias("b_size"), F.col("component").alias("bc"), F.col("l").alias("bl"), "major")
     # The first l shared shingles of a pair that links leave room for the overlap that it needs.
-    need = F.ceil((F.col("a_size") + F.col("b_size")) * percent / (100 + percent))
+    need = _overlap(percent)
     room = F.least("al", "bl") + F.least(F.col("a_size") - F.col("ai"), F.col("b_size") - F.col("bi")) >= need
     sizes = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
-    able = sizes & room & (F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc"))
-    cross = (
-        x.join(y, "token").where(able).groupBy("a", "b")
-        .agg(F.count("*").alias("shared"), F.max("ai").alias("a_last"), F.max("bi").alias("b_last"), F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"), F.least(F.first("al"), F.first("bl")).alias("l"))
-        .where((F.col("shared") >= F.col("l")) & passes("a", "b")).select("a", "b").join(star, ["a", "b"], "left_anti")
+    once = (F.col("bc") == F.col("major")) | (F.col("a") < F.col("b"))
+
+    def side(low: str, high: str) -> Column:
+        return F.when(F.col("a") < F.col("b"), F.col(low)).otherwise(F.col(high))
+
+    met = x.join(y, "token").where(sizes & room & once & (F.col("ac") != F.col("bc"))).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("al", "bl").alias("l"),
+        side("ai", "bi").alias("a_last"), side("bi", "ai").alias("b_last"), side("a_size", "b_size").alias("a_size"), side("b_size", "a_size").alias("b_size"),
     )
-    cross = cut(cross)
-    release(spark)
+    out = cut(
+        met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l"), *[f(c).alias(c) for f, c in ((F.max, "a_last"), (F.max, "b_last"), (F.first, "a_size"), (F.first, "b_size"))])
+        .where((F.col("shared") >= F.col("l")) & _passes(percent)).select("a", "b")
+    )
+    discard(live, kept)
+    return out
+
+
+def _relabelled(links: DataFrame, old: DataFrame | None) -> DataFrame:
+    label = cut(components(links))
+    if old is not None:
+        discard(old)
+    return label
+
+
+def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links of `percent` or more), text_hash, group.
+
+    `group` tells components apart where ids are repeated or null; it is null without shingles.
+
+    A text without words, or null, has no shingles and stands alone. Copies and texts of equal shingle
+    sets are linked if they have a shingle. Repeated rows are returned each; a row whose doc_id is null
+    never names a component unless all of its component are null. Empty tables give an empty result, and
+    other columns are ignored.
+    """
+    spark = docs.sparkSession
+    base = cut(_nodes(docs))
+    renamed = _clashes(base)
+    if renamed:
+        again = F.create_map(*[F.lit(x) for (n, c), new in renamed.items() for x in (f"{n} {c}", new)])
+        base = base.withColumn("node", F.coalesce(again[F.concat_ws(" ", "node", "node_check")], "node"))
+    order = spark.sparkContext.broadcast(_common(docs))
+    postings = _postings(docs, order, percent, renamed)
+    lists = cut(postings.repartition(shuffle_parts(spark), "token").sortWithinPartitions("token", "node").mapInArrow(trimmed(_shared), "token long, node long, place long"))
+    tried, links, label = None, None, None
+    for salt in count():
+        live = cut(_live(lists, label))
+        best = cut(_best_leaders(live, tried, salt, percent))
+        discard(live)
+        found = _verify(docs, best, percent, renamed)
+        asked, linked = best.count(), found.count()
+        tried = best if tried is None else tried.unionByName(best)
+        links = found if links is None else links.unionByName(found)
+        if linked:
+            label = _relabelled(links, label)
+        if linked * WORTH < asked or not linked:
+            break
+    cross = cut(_cross(lists, label, percent).join(tried, ["a", "b"], "left_anti"))
+    discard(lists)
     if not cross.isEmpty():
-        links = links.union(_verify(docs, cross, percent))
-        label = cut(components(links))
-    named = base.select("doc_id", "n_shingles", "node", "text_hash").join(label, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        label = _relabelled(links.unionByName(_verify(docs, cross, percent, renamed)), label)
+    named = base.select("doc_id", "n_shingles", "node", "text_hash")
+    named = named.withColumn("component", F.lit(None).cast("long")) if label is None else named.join(label, "node", "left")
+    named = named.withColumn("group", F.coalesce("component", "node"))
     least = named.where("node is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
     # Groups may be large: the least doc_id of each is joined back, a skewed join that can be split.
     return named.join(least, "group", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "text_hash", "group")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import cut, slabs
-from .textkit import IS_TERM, LOWER, prefix_sums, rolling, signed, span_hash, word_bounds
+from .textkit import IS_TERM, LOWER, rolling, signed, word_bounds, word_keys
 
 SHORT = 5
 GRAM = 5
@@ -59,7 +59,7 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
 
 def _terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start, end, doc = word_bounds(data, offs, IS_TERM)
-    return start, end, doc, span_hash(prefix_sums(data), start, end)
+    return start, end, doc, word_keys(data, start, end)
 
 
 def _shown(text: str) -> list[bytes]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, release, shuffle_parts, slabs
+from .common import cut, row_key, shuffle_parts, slabs, trimmed
 from .textkit import prefix_sums, signed, span_hash
 
 LENGTH = 200
@@ -227,8 +227,7 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e), pa.array(ids[a:z][d]), pa.array(packed(lo, hi)), pa.array(state)], ["g", "e", "row", "span", "state"])
 
     ranked = "g long, e long, row long, span long, state byte"
-    found = cut(rows.select("row", "text").mapInArrow(grams, ranked).repartition(parts, "g").sortWithinPartitions("g", "e").mapInArrow(_group, "row long, span long"))
-    release(spark)
+    found = cut(rows.select("row", "text").mapInArrow(trimmed(grams), ranked).repartition(parts, "g").sortWithinPartitions("g", "e").mapInArrow(trimmed(_group), "row long, span long"))
     is_open = F.col("span").bitwiseAND(_OPEN) != 0
     open_ = found.where(is_open).groupBy("row").agg(F.collect_list("span").alias("spans"))
 
@@ -250,17 +249,15 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
 
     # A row that stands twice yields its pairs twice; its stretches are `whole` then, so that adds nothing.
     texts = rows.select("row", "text").join(open_, "row").select("row", "text", "spans")
-    sorted_pairs = texts.mapInArrow(pairs, "r1 long, r2 long, row long, lo long, whole boolean").repartition(parts, "r1", "r2").sortWithinPartitions("r1", "r2")
-    single = cut(sorted_pairs.mapInArrow(_repeated, "row long, lo long"))
-    del open_, texts, sorted_pairs
-    release(spark)
+    sorted_pairs = texts.mapInArrow(trimmed(pairs), "r1 long, r2 long, row long, lo long, whole boolean").repartition(parts, "r1", "r2").sortWithinPartitions("r1", "r2")
+    single = cut(sorted_pairs.mapInArrow(trimmed(_repeated), "row long, lo long"))
     spans = found.where(~is_open).select("row", F.shiftright("span", 2).alias("span")).union(single.select("row", F.shiftleft("lo", _BITS).alias("span")))
     return spans.groupBy("row").agg(F.collect_list("span").alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"), F.struct("*").alias("rec"))
+    return docs.select(row_key(docs, F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"), F.struct("*").alias("rec"))
 
 
 def _cover(size: int, spans: list[int], length: int) -> np.ndarray:
@@ -296,7 +293,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = rows.join(_repeat_spans(rows, length), "row", "left").select(F.col("rec.doc_id").cast("long").alias("doc_id"), "text", "spans")
-    return joined.mapInArrow(digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(trimmed(digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -58,7 +60,11 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of bytes start..end; equal bytes give equal hashes wherever they stand."""
+    """Hash of bytes start..end; equal bytes give equal hashes wherever they stand.
+
+    A polynomial modulo 2**64, for spans of a few hundred bytes: from about a thousand on there are
+    patterned strings that any such polynomial takes for each other (`word_keys` does not).
+    """
     _, inv = powers(len(h))
     x = h[end] - h[start]
     x *= inv[start]
@@ -66,6 +72,56 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(x)
 
 
+#: Words of more bytes are keyed by BLAKE2 instead of a loop over their 8-byte pieces.
+_LONG_WORD = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def pieces(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number, zeros after the end; a view of overlapping numbers."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of words. Words of up to 8 bytes of one length have different keys if they differ.
+
+    Longer ones fold in 8 bytes after 8 by a mixing step that is not linear, so no pattern of letters
+    makes two of them alike: unlike a polynomial modulo 2**64, which takes some long words for others
+    whatever its base.
+    """
+    at8, n = pieces(data), end - start
+    key = mix((at8[start] & _MASK[np.minimum(n, 8)]) + n.astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    more = np.flatnonzero(n > 8)
+    for i in more[n[more] > _LONG_WORD].tolist():
+        key[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    more = more[n[more] <= _LONG_WORD]
+    done = 8
+    while len(more):
+        left = n[more] - done
+        key[more] = mix((key[more] ^ (at8[start[more] + done] & _MASK[np.minimum(left, 8)])) * U(0xA0761D6478BD642F) + U(0xE7037ED1A0B428DB))
+        more = more[left > 8]
+        done += 8
+    return key
+
+
+def same_bytes(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether n bytes of x from xs on are those of y from ys on, for many pairs."""
+    same = np.ones(len(n), bool)
+    a, b = pieces(x), pieces(y)
+    for i in np.flatnonzero(n > _LONG_WORD).tolist():
+        same[i] = np.array_equal(x[xs[i] : xs[i] + n[i]], y[ys[i] : ys[i] + n[i]])
+    todo, done = np.flatnonzero(n <= _LONG_WORD), 0
+    while len(todo):
+        left = n[todo] - done
+        mask = _MASK[np.clip(left, 0, 8)]
+        same[todo] = (a[xs[todo] + done] & mask) == (b[ys[todo] + done] & mask)
+        todo = todo[same[todo] & (left > 8)]
+        done += 8
+    return same
+
+
 def word_bounds(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, document index) of every maximal run of word bytes; runs end at document bounds."""
     n = len(data)

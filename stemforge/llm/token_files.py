@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import encoded_groups
-from .common import ensure_checkpoint_dir, shuffle_parts
+from .common import shared_folder, shuffle_parts, trimmed
 
 END_ID = 2
 BLOCK_IDS = 4096
@@ -352,8 +352,7 @@ def write_tokens(docs: DataFrame, path: str, out: str | None = None) -> str:
     """Write the token files to `out`, or a new folder in the shared one; gives the folder."""
     spark: SparkSession = docs.sparkSession
     if out is None:
-        ensure_checkpoint_dir(spark)
-        out = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/token-ids-{uuid.uuid4().hex}"
+        out = f"{shared_folder(spark)}/token-ids-{uuid.uuid4().hex}"
     blocks_of(docs, path).write.option("compression", "uncompressed").parquet(out)
     return out
 
