@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .textkit import mix, powers, span_hash
+from .common import trimmed
+from .textkit import same_bytes, word_keys
 
 # The word pattern of the tokenizer file, and the white space that its normaliser collapses.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -206,10 +208,18 @@ class SegmentTreeBPE:
         plain = [normal(t) if i not in odd else "" for i, t in enumerate(texts)]
         size = np.fromiter(map(len, plain), np.int64, len(plain))
         joined = "\n".join(plain)
-        cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        start, end = pretokens(cp)
-        doc_start = np.concatenate([[0], np.cumsum(size + 1)])
-        which, n_of = self._lookup(cp, start, end)
+        raw = np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
+        if len(raw) == len(joined):  # one byte a character
+            start, end = pretokens(raw)
+            doc_start = np.concatenate([[0], np.cumsum(size + 1)])
+        else:
+            cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            start, end = pretokens(cp)
+            wide = np.where((cp >= 0xD800) & (cp < 0xE000), 1, 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))
+            at = np.concatenate([[0], np.cumsum(wide)])  # first byte of each character
+            start, end = at[start], at[end]
+            doc_start = at[np.minimum(np.concatenate([[0], np.cumsum(size + 1)]), len(cp))]
+        which, n_of = self._lookup(raw, start, end)
         ids_of = np.repeat(self.pool_bound[which] - (np.cumsum(n_of) - n_of), n_of) + np.arange(int(n_of.sum()))
         flat = self.pool[ids_of]
         per_doc = np.searchsorted(start, doc_start)
@@ -219,40 +229,63 @@ class SegmentTreeBPE:
             bound[i + 1 :] += len(odd[i])
         return flat, bound
 
-    pool = np.zeros(0, np.int32)
+    pool = np.zeros(0, np.int32)  # ids of all words met
     pool_bound = np.zeros(1, np.int64)
-    known = np.zeros(0, np.uint64)
+    text = np.zeros(0, np.uint8)  # their bytes
+    text_bound = np.zeros(1, np.int64)
+    known = np.zeros(0, np.uint64)  # sorted keys, and the words they stand for
     known_at = np.zeros(0, np.int64)
 
-    def _lookup(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pool entry and number of ids of each word; words not met before are merged and added."""
-        h = prefix_hash(cp)
-        key = span_hash(h, start, end)
+    def _lookup(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word in the pool and number of ids of each word; words not met before are merged and added.
+
+        A key finds a word, and the bytes decide: words of one key that differ are merged each on its own.
+        """
+        n = end - start
+        key = word_keys(raw, start, end)
         distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > KNOWN_WORDS:
-            self.pool, self.pool_bound, self.known, self.known_at = SegmentTreeBPE.pool, SegmentTreeBPE.pool_bound, SegmentTreeBPE.known, SegmentTreeBPE.known_at
+            for name in ("pool", "pool_bound", "text", "text_bound", "known", "known_at"):
+                setattr(self, name, getattr(SegmentTreeBPE, name))
         at = np.searchsorted(self.known, distinct)
         seen = np.zeros(len(distinct), bool)
         inside = at < len(self.known)
         seen[inside] = self.known[at[inside]] == distinct[inside]
         entry = np.zeros(len(distinct), np.int64)
         entry[seen] = self.known_at[at[seen]]
+        wrong = n != n[first][back]
+        check = np.flatnonzero((n > 8) & ~wrong)
+        wrong[check] = ~same_bytes(raw, start[check], raw, start[first[back[check]]], n[check])
+        old = np.flatnonzero(seen)
+        size, began = n[first[old]], self.text_bound[entry[old]]
+        other = size != self.text_bound[entry[old] + 1] - began
+        fits = np.flatnonzero(~other)
+        other[fits] = ~same_bytes(raw, start[first[old[fits]]], self.text, began[fits], size[fits])
+        if other.any():
+            wrong |= np.isin(back, old[other])
         new = np.flatnonzero(~seen)
         if len(new):
-            s, e = start[first[new]], end[first[new]]
-            n = e - s
-            text = cp[np.repeat(s - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes().decode("utf-32-le", "surrogatepass")
-            cuts = np.cumsum(n).tolist()
-            words = [text[a:b].encode("utf-8", "replace") for a, b in zip([0, *cuts], cuts, strict=False)]
-            ids, bound = self.merge_words(words)
-            entry[new] = len(self.pool_bound) - 1 + np.arange(len(new))
-            self.pool_bound = np.concatenate([self.pool_bound, bound[1:] + len(self.pool)])
-            self.pool = np.concatenate([self.pool, ids])
+            entry[new] = self._add(raw, start[first[new]], n[first[new]])
             self.known = np.insert(self.known, at[new], distinct[new])
             self.known_at = np.insert(self.known_at, at[new], entry[new])
         which = entry[back]
+        if wrong.any():
+            which[wrong] = self._add(raw, start[wrong], n[wrong])
         return which, self.pool_bound[which + 1] - self.pool_bound[which]
 
+    def _add(self, raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Merge words and put them into the pool; gives their places in it."""
+        text = raw[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        cuts = np.cumsum(n).tolist()
+        flat = text.tobytes()
+        ids, bound = self.merge_words([flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)])
+        place = len(self.pool_bound) - 1 + np.arange(len(n))
+        self.pool_bound = np.concatenate([self.pool_bound, bound[1:] + len(self.pool)])
+        self.pool = np.concatenate([self.pool, ids])
+        self.text_bound = np.concatenate([self.text_bound, np.cumsum(n) + len(self.text)])
+        self.text = np.concatenate([self.text, text])
+        return place
+
     def encode(self, text: str) -> list[int]:
         return self.encode_texts([text])[0].tolist()
 
@@ -318,29 +351,18 @@ def pretokens(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-_codes = np.zeros(0, np.uint64)
-
-
-def _code_of() -> np.ndarray:
-    global _codes
-    if not len(_codes):
-        _codes = mix(np.arange(77, 0x110000 + 77, dtype=np.uint64))
-    return _codes
-
-
-def prefix_hash(cp: np.ndarray) -> np.ndarray:
-    p, _ = powers(len(cp) + 1)
-    h = np.zeros(len(cp) + 1, np.uint64)
-    np.cumsum(_code_of()[cp] * p[: len(cp)], out=h[1:])
-    return h
-
-
 _models: dict[str, SegmentTreeBPE] = {}
 
 
 def model(path: str) -> SegmentTreeBPE:
+    """The encoder of a tokenizer file, once a worker. A bare name is one of the public tokenizers' folder there."""
     if path not in _models:
-        _models[path] = SegmentTreeBPE(path)
+        where = path
+        if not Path(path).is_absolute():
+            import public_tokenizers
+
+            where = public_tokenizers.path(path)
+        _models[path] = SegmentTreeBPE(where)
     return _models[path]
 
 
@@ -381,4 +403,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(trimmed(run), schema)

@@ -9,15 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Found in the public tokenizers' folder of the machine that reads it.
 TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_media_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import media
 
@@ -40,7 +35,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
-    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path())
+    return encode_decode(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +54,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
-    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), TOKENIZER))
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

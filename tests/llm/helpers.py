@@ -17,6 +17,15 @@ def words(rng, n, vocab=None):
     return " ".join(rng.choice(vocab) for _ in range(n))
 
 
+def twin_words(n):
+    """A word of n letters and its complement, which every polynomial hash modulo 2**64 takes for each other from 1,024 on."""
+    swap = str.maketrans("ab", "ba")
+    w = "a"
+    while len(w) < n:
+        w += w.translate(swap)
+    return w, w.translate(swap)
+
+
 def sample(seed=1):
     """Copies, near copies, shared passages, short, empty, null and odd texts; ids with gaps; repeated rows."""
     rng = random.Random(seed)
@@ -28,4 +37,6 @@ def sample(seed=1):
     rows += [(400 + i, words(rng, 20) + " " + passage + " " + words(rng, 5)) for i in range(6)]
     rows += [(500, ""), (501, None), (502, "  \n\t "), (503, "a"), (504, "A b"), (505, "a B"), (506, "1234 !!"), (507, "ΑΣ ß ñandú <|endoftext|> don't"), (508, passage), (509, passage + passage)]
     rows += [(600, base[0]), (600, base[0]), (None, base[1]), (None, "nowhere else"), (601, "x" * 3000), (602, "ab" * 1500), (603, words(rng, 3000))]
+    rows += [(610 + i, w) for i, w in enumerate((*twin_words(1024), *twin_words(4096)))]
+    rows += [(620 + i, w + " one two three four") for i, w in enumerate(twin_words(1024))]
     return rows

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from helpers import frame, sample, words
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stemforge.llm import bpe, exact_dedup, jaccard, langid, licenses, lm_score, media, packing, substrings, token_files
 from stemforge.llm.components import components
-from stemforge.llm.queries import tokenizer_path
+from stemforge.llm.queries import TOKENIZER
 
 SPACE = "[^\x20\x09-\x0D]+"
 
@@ -45,9 +46,10 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def library():
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path())
+    return Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
 
 
 def test_media(docs, rows, empty):
@@ -133,6 +135,26 @@ def test_ngram_jaccard(docs, rows, empty):
     assert jaccard.near_components(empty).count() == 0
 
 
+def test_sets_of_one_number_are_told_apart(spark):
+    base = spark.createDataFrame([(1, 7, 70), (2, 7, 71), (3, 8, 80), (4, None, None)], "doc_id long, node long, node_check long")
+    renamed = jaccard._clashes(base)
+    assert set(renamed) == {(7, 70), (7, 71)} and len({*renamed.values(), 7, 8}) == 4
+
+
+def test_postings_stream():
+    """However rows are cut into batches, a token's nodes come once each, and only where there are several."""
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        rows = sorted((int(t), int(n), 5) for t, n in rng.integers(0, 6, (int(rng.integers(0, 25)), 2)))
+        cuts = sorted(rng.integers(0, len(rows) + 1, 4).tolist())
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:z]], pa.int64()) for k in range(3)], ["token", "node", "place"]) for a, z in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        got = [tuple(r.values()) for b in jaccard._shared(iter(batches)) for r in b.to_pylist()]
+        nodes = collections.defaultdict(set)
+        for t, n, _ in rows:
+            nodes[t].add(n)
+        assert got == sorted((t, n, 5) for t, ns in nodes.items() if len(ns) > 1 for n in ns)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 9), (9, 8), (8, 3)] + [(100, i) for i in range(101, 140)] + [(6, 6)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -140,20 +162,20 @@ def test_components(spark):
 
 
 def test_bpe_equals_the_library(docs, rows, library, empty):
-    got = collections.Counter(tuple(r) for r in bpe.encode_decode(docs, tokenizer_path()).collect())
+    got = collections.Counter(tuple(r) for r in bpe.encode_decode(docs, TOKENIZER).collect())
     expected = collections.Counter()
     for i, t in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
         expected[(i, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))] += 1
     assert got == expected
-    assert bpe.encode_decode(empty, tokenizer_path()).count() == 0
+    assert bpe.encode_decode(empty, TOKENIZER).count() == 0
 
 
 def test_bpe_on_odd_text(library):
     rng = random.Random(9)
     pool = "ab'sStTrReEvVlLdDmM 0½²\t\n\x85  ​ 　\x1c\x1fÀéßΣςİǅﬁǺ̧日語😀<|>!?…_-\x00\x7f"
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["<|endoftext|>a<|startoftext|>", "x" * 20000, "ab" * 9000]
-    model = bpe.model(tokenizer_path())
+    model = bpe.model(TOKENIZER)
     ids, bound = model.encode_texts(texts)
     for k, t in enumerate(texts):
         assert ids[bound[k] : bound[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
@@ -206,7 +228,7 @@ def test_license_spans_are_verified(spark):
 
 
 def test_packing(docs, rows, library, empty):
-    got = packing.pack(docs, tokenizer_path(), part_pieces=12).collect()
+    got = packing.pack(docs, TOKENIZER, part_pieces=12).collect()
     expected = collections.Counter()
     for i, t in rows:
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
@@ -225,7 +247,7 @@ def test_packing(docs, rows, library, empty):
         assert at <= 2048
     lengths = np.array([r["length"] for r in got])
     assert packing.lower_bound(lengths) <= len(bins) <= packing.lower_bound(lengths) + 2
-    assert packing.pack(empty, tokenizer_path()).count() == 0
+    assert packing.pack(empty, TOKENIZER).count() == 0
 
 
 def test_lower_bound_is_one():
@@ -254,7 +276,7 @@ def test_lower_bound_is_one():
 
 
 def test_token_files(spark, docs, rows, library, tmp_path, empty):
-    folder = token_files.write_tokens(docs, tokenizer_path(), str(tmp_path / "tokens"))
+    folder = token_files.write_tokens(docs, TOKENIZER, str(tmp_path / "tokens"))
     got = token_files.read_tokens(spark, folder).collect()
     start = 0
     by_start = sorted((r["start"], r["n_tokens"], r["doc_id"] is not None, r["doc_id"]) for r in got)
@@ -267,7 +289,7 @@ def test_token_files(spark, docs, rows, library, tmp_path, empty):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         expected[(i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))] += 1
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == expected
-    assert token_files.read_tokens(spark, token_files.write_tokens(empty, tokenizer_path(), str(tmp_path / "none"))).count() == 0
+    assert token_files.read_tokens(spark, token_files.write_tokens(empty, TOKENIZER, str(tmp_path / "none"))).count() == 0
 
 
 def test_range_coder_round_trips():
