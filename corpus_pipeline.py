@@ -14,7 +14,7 @@ from stemforge.llm.common import BROADCAST_ROWS, cut, ship, table
 from stemforge.llm.exact_dedup import exact_dedup
 from stemforge.llm.jaccard import near_components
 from stemforge.llm.packing import pack
-from stemforge.llm.queries import tokenizer_path
+from stemforge.llm.queries import TOKENIZER
 from stemforge.llm.substrings import clean_texts
 
 
@@ -67,7 +67,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return pack(docs, tokenizer_path())
+    return pack(docs, TOKENIZER)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("passage_dedup", passages), ("packing", packing)]
