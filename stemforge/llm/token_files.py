@@ -1,16 +1,18 @@
 """Token-id files: blocks of ids coded by an adaptive context-mixing range coder.
 
-Orders 1 and 2 each predict an id (the one last seen after the same one or two ids), with a confidence.
-Whether the prediction holds is a binary event whose probability is a logistic mix of the predictors'
-own adaptive counters, with weights chosen by confidence and trained as coding goes on. Otherwise order
-0 codes the id by adaptive distributions over its nibbles. Every block begins with fresh models and
-holds a header, a document table and a checksum, so blocks can be read alone. All arithmetic is on
-integers; blocks are coded side by side in numpy, one lane each.
-
-Block layout, little-endian: "SFT1", uint32 documents, uint32 ids, uint32 crc32 of the ids; for each
-document uint8 id is null, int64 doc_id, uint32 ids here, uint64 ids in earlier blocks, uint32 crc32 of
-those, uint8 document ends here; then the coded bytes. Blocks are rows of a Parquet table (columns part,
-block, first, n_ids, data), so any store that Spark writes to can hold them.
+Three predictors look at an id. Orders 2 and 1 each name the id last seen after the same two ids or one,
+with a confidence; order 0 knows how often each group of 16 ids has come in the block. The id that order 2
+(or, where it has none, order 1) names holds or not: a binary event whose probability is a logistic mix of
+order 2's and order 1's adaptive counters and of order 0's odds for that very id, with weights chosen by
+confidence and trained as coding goes on. An id that was not named is coded by order 0's distribution,
+which is renewed from the counts at growing distances; ids within a group are told apart by 4 flat bits.
+Every block begins with fresh models and holds a header, a document table and a checksum, so blocks can
+be read alone. All arithmetic is on integers; blocks are coded side by side in numpy, one lane each.
+
+Block layout, little-endian: "SFT2", uint32 documents, uint32 ids, uint32 crc32 of the document table and
+the ids; for each document uint8 id is null, int64 doc_id, uint32 ids here, uint64 ids in earlier blocks,
+uint32 crc32 of those, uint8 document ends here; then the coded words of 32 bits. Blocks are rows of a
+Parquet table (columns part, block, first, n_ids, data), so any store that Spark writes to can hold them.
 """
 
 from __future__ import annotations
@@ -33,104 +35,147 @@ END_ID = 2
 BLOCK_IDS = 4096
 #: Blocks coded side by side.
 LANES = 2048
-MAGIC = b"SFT1"
+MAGIC = b"SFT2"
 DOC = np.dtype([("null", "u1"), ("doc_id", "<i8"), ("n", "<u4"), ("before", "<u8"), ("crc", "<u4"), ("ends", "u1")])
 
 _U = np.uint64
-_TOP, _BOT = _U(1 << 56), _U(1 << 48)
 _O1, _O2 = 1 << 10, 1 << 11
 _RATE = 4
 _SQUASH = np.array([min(4095, max(1, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 _STRETCH = np.array([max(-2047, min(2047, round(256 * np.log((p + 0.5) / (4095.5 - p))))) for p in range(4096)], np.int32)
-_CDF_BITS = 10
-_TARGET = np.array([[i if i <= s else (1 << _CDF_BITS) - 16 + i for i in range(17)] for s in range(16)], np.int16)
-#: A literal is three nibbles of adaptive odds and a flat one: its place is a number of so many bits.
-_LITERAL_BITS = 3 * _CDF_BITS + 4
-_STEPS = [_U(1 << b) for b in range(56, 0, -8)]
+#: Order 0 counts groups of 16 ids; its odds add up to 2**16. A count weighs as much as 8 groups not yet seen.
+_GROUPS, _ODDS, _SEEN = 1 << 12, 16, 8
+_FLAG_BITS, _ID_BITS = 12, _ODDS + 4
+_LOW32 = _U(0xFFFFFFFF)
+#: What becomes of a confidence, by (id held) * 4 + confidence; of a low one that did not hold, a new id's first.
+_STEP = np.array([0, 0, -1, -1, 1, 1, 1, 0], np.int32)
+_WIPE = np.array([True, True, False, False, False, False, False, False])
+#: Lanes whose order-0 odds are renewed at once.
+_RENEW = 32
+
+
+def _renewals(n: int) -> list[int]:
+    """After how many ids order 0's odds are renewed: twice as many each time, every 1024 in the end."""
+    out, t = [], 32
+    while t < n:
+        out.append(t)
+        t += min(t, 1024)
+    return out
+
+
+def _up_to(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Place of the last entry in each sorted row of 64 that is at most the value."""
+    found = (rows <= value).view(np.uint64)  # one byte a comparison
+    total = found[:, 0].copy()
+    for k in range(1, 8):
+        total += found[:, k]
+    return ((total * _U(0x0101010101010101)) >> _U(56)).astype(np.int64) - 1
 
 
 class _Lanes:
-    """Model and coder state of blocks that are coded side by side. `n` are their ids, longest first."""
+    """Model state of blocks that are coded side by side. `n` are their ids, longest first.
+
+    Arrays of two rows have order 1 first, then order 2; those of three add order 0.
+    """
 
     def __init__(self, n: np.ndarray):
         k = len(n)
         self.k = k
-        self.lane = np.arange(k)
-        self.o1 = np.zeros(k * _O1, np.int32)  # predicted id << 2 | confidence
-        self.o2 = np.zeros(k * _O2, np.int32)
-        self.prev, self.prev2 = np.zeros(k, np.int32), np.zeros(k, np.int32)
-        self.counters = np.full((k * 24, 1), 1024, np.int32).ravel()  # 8 of order 2, 8 of order 1, 8 of past events
-        self.past = np.zeros(k, np.int32)
-        self.weights = np.full((3, k * 4), 24000, np.int32)
-        start = (np.arange(17) << (_CDF_BITS - 4)).astype(np.int16)
-        self.cdf = [np.tile(start, (k * c, 1)) for c in (1, 16, 256)]
-        self.low, self.range = np.zeros(k, _U), np.full(k, (1 << 64) - 1, _U)
+        lane = np.arange(k)
+        self.lane, self.base = lane, lane * _GROUPS  # a lane's first group
+        self.table = np.zeros(k * (_O1 + _O2), np.int32)  # id last seen << 2 | confidence
+        self.begin = np.stack([lane * _O1, k * _O1 + lane * _O2])
+        self.at = self.begin.copy()
+        self.mixed = np.zeros(k, np.uint32)
+        self.counters = np.full(k * 16, 1024, np.int32)  # 8 of each order
+        self.slot = np.stack([lane * 16, lane * 16 + 8])
+        self.weights = np.full(k * 12, 22000, np.int32)
+        self.gates = lane * 4 + np.arange(3)[:, None] * (4 * k)
+        self.counts = np.zeros(k * _GROUPS, np.uint16)
+        #: Sum of the odds of the groups before each, modulo 2**16, and those of every 64th group.
+        self.sums, self.coarse = np.zeros(k * _GROUPS + 1, np.uint16), np.zeros((k, 64), np.uint16)
+        self.since: list[np.ndarray] = []
+        self.due = _renewals(int(n[0]))[::-1]
+        self.t = 0
+        self.renew()
 
     def shrink(self, k: int) -> None:
         """Only the first k lanes go on."""
         self.k = k
-        self.lane = self.lane[:k]
-        for name in ("prev", "prev2", "past", "low", "range"):
-            setattr(self, name, getattr(self, name)[:k])
+        for name in ("lane", "base", "begin", "at", "mixed", "slot", "gates"):
+            setattr(self, name, getattr(self, name)[..., :k])
+
+    def renew(self) -> None:
+        """Count the groups seen since and derive the odds of all groups anew: whole numbers, none under 1."""
+        for at in self.since:
+            np.add.at(self.counts, at, np.uint16(1))
+        self.since = []
+        unit = ((1 << _ODDS) - _GROUPS << 8) // (_SEEN * self.t + _GROUPS)
+        each, first = np.uint16(_SEEN * unit >> 8), np.uint16((unit >> 8) + 1)
+        for a in range(0, self.k, _RENEW):
+            z = min(a + _RENEW, self.k)
+            odds = self.counts[a * _GROUPS : z * _GROUPS].reshape(z - a, _GROUPS) * each
+            odds += first
+            sums = self.sums[a * _GROUPS : z * _GROUPS].reshape(z - a, _GROUPS)
+            np.add.accumulate(odds[:, :-1], axis=1, out=sums[:, 1:])
+            self.coarse[a:z] = sums[:, ::64]
+
+    def find(self, lane: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The group (of all lanes' groups) in whose odds each value falls: of 64 times 64, two rows are looked through."""
+        value = value.astype(np.uint16)[:, None]
+        row = lane * 64 + _up_to(self.coarse.take(lane, axis=0), value)
+        return row * 64 + _up_to(self.sums[:-1].reshape(-1, 64).take(row, axis=0), value)
 
     def predict(self) -> None:
-        h1 = (self.prev * -1640531527).view(np.uint32) >> np.uint32(22)
-        h2 = ((self.prev * -2048144789) ^ (self.prev2 * -1028477379)).view(np.uint32)
-        h2 = (h2 ^ (h2 >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(21)
-        self.at1, self.at2 = self.lane * _O1 + h1, self.lane * _O2 + h2
-        self.e1, self.e2 = self.o1.take(self.at1), self.o2.take(self.at2)
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.id1 = self.e1 >> 2
-        self.guess = np.where(self.c2 > 0, self.e2 >> 2, self.id1)
-        agree = self.guess == self.id1
-        base = self.lane * 24
-        self.slots = np.stack([base + self.c2 * 2 + agree, base + 8 + self.c1 * 2 + agree, base + 16 + self.past])
+        """The named id, and the chance (of 4096) that it holds."""
+        self.e = self.table.take(self.at)
+        self.c = c = self.e & 3
+        self.named = self.e >> 2
+        self.guess = np.where(c[1] > 0, self.named[1], self.named[0])
+        self.slots = self.slot + c * 2
+        self.slots += self.guess == self.named[0]
         self.odds = self.counters.take(self.slots)
-        self.inputs = _STRETCH.take(self.odds)
-        self.gate = self.lane * 4 + self.c2
-        self.w = self.weights.take(self.gate, axis=1)
-        dot = (self.inputs * self.w).sum(0) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        group = (self.guess >> 4) + self.base
+        odds = self.sums.take(group + 1)
+        odds -= self.sums.take(group)
+        odds >>= 4
+        self.x = np.empty((3, self.k), np.int32)
+        self.x[:2] = _STRETCH.take(self.odds)
+        self.x[2] = _STRETCH.take(odds)
+        self.gate = self.gates + c[1]
+        self.w = self.weights.take(self.gate)
+        dot = np.add.reduce(self.x * self.w, axis=0, dtype=np.int32)
+        dot >>= 16
+        dot += 2047
+        self.p = _SQUASH.take(dot, mode="clip")
 
     def learn(self, hit: np.ndarray, ids: np.ndarray) -> None:
-        err = (hit.astype(np.int32) << 12) - self.p
-        self.weights[:, self.gate] = np.clip(self.w + ((self.inputs * err) >> 7), -(1 << 19), 1 << 19)
-        self.counters[self.slots] = self.odds + (((hit.astype(np.int32) * 4095) - self.odds) >> _RATE)
-        self.past = ((self.past << 1) | hit) & 7
-        for table, at, e, c, guess in ((self.o1, self.at1, self.e1, self.c1, self.id1), (self.o2, self.at2, self.e2, self.c2, self.e2 >> 2)):
-            same = (guess == ids) & (c > 0)
-            table[at] = np.where(same, e - c + np.minimum(c + 1, 3), np.where(c > 1, e - 1, (ids << 2) | 1))
-        self.prev2, self.prev = self.prev, ids
-
-    def narrow(self, at: np.ndarray | slice, low: np.ndarray, size: np.ndarray, bits: int) -> None:
-        r = self.range[at] >> _U(bits)
-        self.low[at] += r * low.astype(_U)
-        self.range[at] = r * size.astype(_U)
-
-    def shift(self, out) -> None:
-        """Give out (or take in) the leading bytes that are settled: `out` gets lanes, their low ends and how many bytes."""
-        at, lo = self.lane, self.low
-        same = lo ^ (lo + self.range)
-        n = sum((same < step).astype(np.int64) for step in _STEPS)
-        out(at, lo, n)
-        by = (8 * n).astype(_U)
-        self.low, self.range = lo << by, self.range << by
-        while True:  # a range that straddles a border is cut to end there
-            at = np.flatnonzero(self.range < _BOT)
-            if not len(at):
-                return
-            lo, rg = self.low[at], self.range[at]
-            same = (lo ^ (lo + rg)) < _TOP
-            rg = np.where(same, rg, (~lo + _U(1)) & (_BOT - _U(1)))
-            out(at, lo, np.ones(len(at), np.int64))
-            self.low[at], self.range[at] = lo << _U(8), rg << _U(8)
-
-    def nibble(self, level: int, ctx: np.ndarray) -> np.ndarray:
-        return self.cdf[level].take(ctx, axis=0)
-
-    def adapt(self, level: int, ctx: np.ndarray, rows: np.ndarray, sym: np.ndarray) -> None:
-        rows += (_TARGET.take(sym, axis=0) - rows) >> _RATE
-        self.cdf[level][ctx] = rows
+        err = hit * np.int32(4096)
+        goal = err - hit
+        err -= self.p
+        self.x *= err
+        self.x >>= 9
+        self.w += self.x
+        self.weights[self.gate] = self.w
+        if self.t & 15 == 15:  # no product of a weight and an input overflows in between
+            np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
+        goal = goal - self.odds
+        goal >>= _RATE
+        self.odds += goal
+        self.counters[self.slots] = self.odds
+        seen = (self.named == ids) * np.int8(4) + self.c
+        now = self.e + _STEP.take(seen)
+        np.copyto(now, (ids << 2) | 1, where=_WIPE.take(seen))
+        self.table[self.at] = now
+        self.since.append(self.base + (ids >> 4))
+        mixed = ids.view(np.uint32) * np.uint32(0x9E3779B1)
+        np.add(self.begin[0], mixed >> np.uint32(22), out=self.at[0])
+        np.add(self.begin[1], ((self.mixed ^ mixed) * np.uint32(0x85EBCA77)) >> np.uint32(21), out=self.at[1])
+        self.mixed = (mixed >> np.uint32(13)) | (mixed << np.uint32(19))
+        self.t += 1
+        if self.due and self.t == self.due[-1]:
+            self.due.pop()
+            self.renew()
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -143,46 +188,60 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for j, i in enumerate(order.tolist()):
         ids[: n[j], j] = blocks[i]
     s = _Lanes(n)
-    width = int(n[0]) * 7 + 16
-    buf = np.zeros(len(n) * width, np.uint8)
-    fill = np.zeros(len(n), np.int64)
-    seven = np.arange(7)
-
-    def out(at, lo, count):
-        buf[(at * width + fill[at])[:, None] + seven] = lo.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :7]
-        fill[at] += count
+    width = int(n[0]) + 4
+    words = np.zeros(len(n) * width, np.uint32)
+    fill = np.arange(len(n)) * width  # the next word of each lane
+    low, size = np.zeros(len(n), _U), np.full(len(n), (1 << 64) - 1, _U)
+
+    def carry(at: np.ndarray) -> None:
+        """Add one to what the lanes have given out."""
+        at = fill[at] - 1
+        while len(at):
+            words[at] += np.uint32(1)
+            at = at[words[at] == 0] - 1
 
     live = np.searchsorted(-n, -np.arange(int(n[0])), "left")  # lanes with more than t ids
-    ends = {}
     for t in range(int(n[0])):
         k = int(live[t])
         if k < s.k:
-            ends.update({j: int(s.low[j]) for j in range(k, s.k)})
             s.shrink(k)
         now = ids[t, :k]
         s.predict()
         hit = s.guess == now
-        s.narrow(slice(0, k), np.where(hit, 0, s.p), np.where(hit, s.p, 4096 - s.p), 12)
-        lit = np.flatnonzero(~hit)
-        if len(lit):
-            x = now[lit]
-            ctx, j = lit, np.arange(len(lit))
-            low, size = np.zeros(len(lit), np.int64), np.ones(len(lit), np.int64)
-            for level, bits in ((0, 12), (1, 8), (2, 4)):
-                sym = (x >> bits) & 15
-                rows = s.nibble(level, ctx)
-                a = rows[j, sym].astype(np.int64)
-                low = (low << _CDF_BITS) + size * a
-                size *= rows[j, sym + 1] - a
-                s.adapt(level, ctx, rows, sym)
-                ctx = ctx * 16 + sym
-            s.narrow(lit, (low << 4) + size * (x & 15), size, _LITERAL_BITS)
+        lo, sz = low[:k], size[:k]
+        chance = (sz >> _U(_FLAG_BITS)) * s.p.astype(_U)
+        miss = np.flatnonzero(~hit)
+        up = lo[miss]
+        part = chance[miss]
+        rest = sz[miss] - part
+        np.copyto(sz, chance)
+        if len(miss):
+            x = now[miss]
+            group = (x >> 4) + s.base[miss]
+            begin = s.sums.take(group)
+            odds = (s.sums.take(group + 1) - begin).astype(np.int32)
+            begin = (begin.astype(np.int32) << 4) + (x & 15) * odds
+            unit = rest >> _U(_ID_BITS)
+            sum_ = up + part
+            over = sum_ < up
+            up = sum_ + unit * begin.astype(_U)
+            over |= up < sum_
+            lo[miss] = up
+            sz[miss] = unit * odds.astype(_U)
+            if over.any():
+                carry(miss[over])
         s.learn(hit, now)
-        s.shift(out)
-    ends.update({j: int(s.low[j]) for j in range(s.k)})
+        out = np.flatnonzero(sz <= _LOW32)
+        if len(out):
+            x = lo[out]
+            words[fill[out]] = x >> _U(32)
+            fill[out] += 1
+            lo[out] = x << _U(32)
+            sz[out] <<= _U(32)
+    words[fill], words[fill + 1] = low >> _U(32), low & _LOW32
     coded: list[bytes] = [b""] * len(blocks)
     for j, i in enumerate(order.tolist()):
-        coded[i] = buf[j * width : j * width + fill[j]].tobytes() + ends.get(j, 0).to_bytes(8, "big")
+        coded[i] = words[j * width : fill[j] + 2].astype("<u4").tobytes() if n[j] else b""
     return coded
 
 
@@ -193,55 +252,49 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     if not len(n) or not n[0]:
         return out
     ids = np.zeros((int(n[0]), len(n)), np.int32)
-    width = max(map(len, coded)) + 16
-    raw = np.zeros((len(n), width), np.uint8)
+    width = max(map(len, coded)) // 4 + 4
+    words = np.zeros((len(n), width), _U)
     for j, i in enumerate(order.tolist()):
-        raw[j, : len(coded[i])] = np.frombuffer(coded[i], np.uint8)
+        own = np.frombuffer(coded[i], "<u4")
+        words[j, : len(own)] = own
     s = _Lanes(n)
-    code = raw[:, :8].copy().view(">u8").ravel().astype(_U)
-    fill = np.full(len(n), 8, np.int64)
-    flat, eight = raw.ravel(), np.arange(8)
-
-    def take(at, lo, count):
-        ahead = flat.take((at * width + np.minimum(fill[at], width - 8))[:, None] + eight).view(">u8").ravel().astype(_U)
-        by = (8 * count).astype(_U)
-        code[at] = np.where(count > 0, (code[at] << by) | (ahead >> (_U(64) - np.maximum(by, _U(8)))), code[at])
-        fill[at] += count
-
+    code, size = (words[:, 0] << _U(32)) | words[:, 1], np.full(len(n), (1 << 64) - 1, _U)
+    fill, last = np.arange(len(n)) * width + 2, np.arange(1, len(n) + 1) * width - 1
+    words = words.ravel()
     live = np.searchsorted(-n, -np.arange(int(n[0])), "left")
     for t in range(int(n[0])):
         k = int(live[t])
         if k < s.k:
             s.shrink(k)
         s.predict()
-        hit = (code[:k] - s.low) // (s.range >> _U(12)) < s.p.astype(_U)
-        s.narrow(slice(0, k), np.where(hit, 0, s.p), np.where(hit, s.p, 4096 - s.p), 12)
+        at, sz = code[:k], size[:k]
+        chance = (sz >> _U(_FLAG_BITS)) * s.p.astype(_U)
+        hit = at < chance
         now = s.guess.copy()
-        lit = np.flatnonzero(~hit)
-        if len(lit):
-            x, ctx, j = np.zeros(len(lit), np.int64), lit, np.arange(len(lit))
-            value = np.minimum((code[lit] - s.low[lit]) // (s.range[lit] >> _U(_LITERAL_BITS)), _U((1 << _LITERAL_BITS) - 1)).astype(np.int64)
-            low, size = np.zeros(len(lit), np.int64), np.ones(len(lit), np.int64)
-            rest, unit = value, np.full(len(lit), 1 << _LITERAL_BITS, np.int64)
-            for level in range(3):
-                rows = s.nibble(level, ctx)
-                unit >>= _CDF_BITS  # what one step of this level's odds is worth
-                sym = (rows[:, 1:16] <= (rest // unit).astype(np.int16)[:, None]).sum(1)
-                a = rows[j, sym].astype(np.int64)
-                own = rows[j, sym + 1] - a
-                low = (low << _CDF_BITS) + size * a
-                size *= own
-                rest = rest - a * unit
-                unit *= own
-                s.adapt(level, ctx, rows, sym)
-                ctx = ctx * 16 + sym
-                x = x * 16 + sym
-            last = rest // size
-            s.narrow(lit, (low << 4) + size * last, size, _LITERAL_BITS)
-            now[lit] = x * 16 + last
+        miss = np.flatnonzero(~hit)
+        part = chance[miss]
+        rest = sz[miss] - part
+        np.copyto(sz, chance)
+        if len(miss):
+            left = at[miss] - part
+            unit = rest >> _U(_ID_BITS)
+            value = np.minimum(left // unit, _U((1 << _ID_BITS) - 1)).astype(np.int32)
+            group = s.find(miss, value >> 4)
+            begin = s.sums.take(group)
+            odds = (s.sums.take(group + 1) - begin).astype(np.int32)
+            begin = begin.astype(np.int32) << 4
+            low4 = (value - begin) // odds
+            now[miss] = ((group.astype(np.int32) & (_GROUPS - 1)) << 4) + low4
+            at[miss] = left - unit * (begin + low4 * odds).astype(_U)
+            sz[miss] = unit * odds.astype(_U)
         s.learn(hit, now)
         ids[t, :k] = now
-        s.shift(take)
+        more = np.flatnonzero(sz <= _LOW32)
+        if len(more):
+            place = fill[more]
+            at[more] = (at[more] << _U(32)) | words.take(np.minimum(place, last[more]))
+            fill[more] = place + 1
+            sz[more] <<= _U(32)
     for j, i in enumerate(order.tolist()):
         out[i] = ids[: n[j], j]
     return out
@@ -286,7 +339,8 @@ def blocks_of(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int =
                     room -= n
                 groups.append(own)
                 head = np.array(docs_here, DOC)
-                heads.append(MAGIC + np.array([len(head), len(own), zlib.crc32(own.astype("<u4").tobytes())], "<u4").tobytes() + head.tobytes())
+                listed = head.tobytes()
+                heads.append(MAGIC + np.array([len(head), len(own), zlib.crc32(own.astype("<u4").tobytes(), zlib.crc32(listed))], "<u4").tobytes() + listed)
             for a in range(0, len(groups), LANES):
                 coded = encode_blocks(groups[a : a + LANES])
                 n = [len(g) for g in groups[a : a + LANES]]
@@ -313,7 +367,7 @@ def blocks_of(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int =
         yield from cut(True)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, BLOCK_ROWS)
+    return rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id").mapInArrow(trimmed(run), BLOCK_ROWS)
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
@@ -335,7 +389,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                 out = []
                 for part, first, head, ids, crc in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), heads, decode_blocks(coded, sizes), crcs, strict=True):
                     raw = ids.astype("<u4").tobytes()
-                    if zlib.crc32(raw) != crc:
+                    if zlib.crc32(raw, zlib.crc32(head.tobytes())) != crc:
                         raise ValueError("checksum of a block of token ids does not hold")
                     pos = 0
                     for null, doc, n, before, sofar, ends in head.tolist():
@@ -345,7 +399,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.int64()] * 4), strict=True)], ["part", "doc_id", "begin", "n_tokens", "ids_crc32"])
 
-    return blocks.select("part", "first", "data").mapInArrow(run, "part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    return blocks.select("part", "first", "data").mapInArrow(trimmed(run), "part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
 
 
 def write_tokens(docs: DataFrame, path: str, out: str | None = None) -> str:
