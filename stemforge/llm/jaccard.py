@@ -10,9 +10,11 @@ Links only matter by the components they form, and copies of one shingle set are
 takes the posting lists whose nodes are not all in one component yet and lets a list's leader, its node of
 the least hash that round, stand for it; each node is verified against the one leader that it shares most
 lists with. A round is linear in the lists. When a round links little, the pairs that are left, between a
-node outside the largest component of a list and any node of another component there, are enumerated and
-verified, so a group of near copies never becomes all its pairs. Which share of the links a round finds
-depends on the data; the enumeration alone would find them all.
+node outside the largest component of a list and any node of another component there, are enumerated by
+their multi-match prefixes, so a group of near copies never becomes all its pairs. A bitmap of each set, in
+which every shingle flips one bit, bounds how much two sets differ: by it the enumeration drops pairs that
+cannot link before they are rows. Which share of the links a round finds depends on the data; the
+enumeration alone would find them all.
 
 Words and shingles are compared by 64-bit keys that no pattern of words can make alike. Of a link each side
 needs hundreds of them, and a set is known by two such numbers, 128 bits.
@@ -79,8 +81,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles (sorted) and the class of each, 1 and up by frequency."""
+SIGNATURE = tuple(f"g{k}" for k in range(8))
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """512 bits as 8 numbers: each shingle flips one, so two sets differ in as many shingles as bits, at least."""
+    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def _nodes_and_tokens(docs: DataFrame) -> DataFrame:
+    """One pass over the texts: a row of each document, and rows (token, n) of how often shingles come.
+
+    Documents: doc_id, n_shingles, node, node_check, text_hash, g0 to g7; the other columns of each kind are null.
+    """
+    names = ["doc_id", "n_shingles", "node", "node_check", "text_hash", *SIGNATURE, "token", "n"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -88,21 +103,32 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         def counted():
             t, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= 3
-            return pa.RecordBatch.from_arrays([pa.array(signed(t[keep])), pa.array(n[keep])], ["token", "n"])
+            keep = n >= 3  # rarer ones of so many shingles are not among the commonest
+            none = pa.nulls(int(keep.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none] * (len(names) - 2) + [pa.array(signed(t[keep])), pa.array(n[keep])], names)
 
         for b in batches:
-            for _, _, data, offs in slabs(b):
-                got = shingle_sets(data, offs)
-                held += got
-                size += sum(map(len, got))
+            for a, z, data, offs in slabs(b):
+                sets = shingle_sets(data, offs)
+                named = [node_of(s) if len(s) else (None, None) for s in sets]
+                bits = np.stack([signature(s) for s in sets], 1)
+                none = pa.nulls(z - a, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*named, strict=True)), b.column(2).slice(a, z - a), *map(pa.array, bits), none, none], names)
+                held += sets
+                size += sum(map(len, sets))
                 if size >= 1_500_000:
                     yield counted()
                     held, size = [], 0
         if held:
             yield counted()
 
-    found = cut(_texts(docs).mapInArrow(trimmed(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON))
+    rows = _texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(trimmed(run), ", ".join(f"{c} long" for c in names))
+
+
+def _common(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles (sorted) and the class of each, 1 and up by frequency; COMMON of them at most."""
+    found = cut(tokens.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON))
     got = found.toArrow()
     discard(found)
     token, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
@@ -135,20 +161,6 @@ def needed(n: int | Column, percent: int) -> int | Column:
     return -(-n * percent // 100) if isinstance(n, int) else F.floor((n * percent + 99) / 100)
 
 
-def _nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, node_check, text_hash of every row."""
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a, z, data, offs in slabs(b):
-                sets = shingle_sets(data, offs)
-                named = [node_of(s) if len(s) else (None, None) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*named, strict=True)), b.column(2).slice(a, z - a)], ["doc_id", "n_shingles", "node", "node_check", "text_hash"])
-
-    rows = _texts(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(trimmed(run), "doc_id long, n_shingles long, node long, node_check long, text_hash long")
-
-
 def _clashes(base: DataFrame) -> dict[tuple[int, int], int]:
     """New numbers for sets whose number another set has: about one in 10**20 pairs of sets."""
     several = base.where("node is not null").groupBy("node").agg(F.min("node_check").alias("lo"), F.max("node_check").alias("hi")).where("lo <> hi").select("node")
@@ -243,10 +255,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, renamed: dict) -> DataFrame:
     return got.dropDuplicates(["node"])
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, percent: int, renamed: dict) -> DataFrame:
+def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of the given (a, b) whose sets link, by exact intersection; a stored table."""
-    nodes = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = cut(_sets(docs, nodes, renamed))
     both = pairs.select("a", "b").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -259,9 +269,7 @@ def _verify(docs: DataFrame, pairs: DataFrame, percent: int, renamed: dict) -> D
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["u", "v"])
 
-    out = cut(both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "u long, v long"))
-    discard(nodes, sets)
-    return out
+    return cut(both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "u long, v long"))
 
 
 def _live(lists: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -269,9 +277,8 @@ def _live(lists: DataFrame, label: DataFrame | None) -> DataFrame:
     low = (1 << 32) - 1
     tagged = lists.select("token", "node", F.col("place").bitwiseAND(low).alias("idx"), F.shiftright("place", 32).alias("size"))
     if label is None:
-        tagged = tagged.withColumn("component", F.col("node"))
-    else:
-        tagged = tagged.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return tagged.withColumn("component", F.col("node"))  # every list has several nodes
+    tagged = tagged.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
     return tagged.join(open_, "token")
 
@@ -283,28 +290,33 @@ def _overlap(percent: int) -> Column:
 
 def _passes(percent: int) -> Column:
     """Lengths and the last shared positions of a and b still allow the overlap that a link needs."""
+    return F.col("shared") + F.least(F.col("a_size") - F.col("a_last"), F.col("b_size") - F.col("b_last")) >= _overlap(percent)
+
+
+def _alike(percent: int) -> Column:
+    """Sizes and signatures of a and b (their columns begin with a_ and b_) allow a link."""
     sizes = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
-    need = _overlap(percent)
-    return sizes & (F.col("shared") + F.least(F.col("a_size") - F.col("a_last"), F.col("b_size") - F.col("b_last")) >= need)
+    differ = sum((F.bit_count(F.col(f"a_{g}").bitwiseXOR(F.col(f"b_{g}"))) for g in SIGNATURE[1:]), F.bit_count(F.col(f"a_{SIGNATURE[0]}").bitwiseXOR(F.col(f"b_{SIGNATURE[0]}"))))
+    return sizes & (differ <= F.col("a_size") + F.col("b_size") - 2 * _overlap(percent))
+
 
+def _sided(nodes: DataFrame, side: str) -> DataFrame:
+    """Columns of nodes under the names of one side of a pair: a, a_size, a_g0 and so on."""
+    return nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", *SIGNATURE)])
 
-def _best_leaders(live: DataFrame, tried: DataFrame | None, salt: int, percent: int) -> DataFrame:
-    """(a, b): for each node b the leader a of another component that it shares most lists with, of those not tried."""
-    rank = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "idx", "size", "component")
+
+def _best_leaders(live: DataFrame, nodes: DataFrame, tried: DataFrame | None, salt: int, percent: int) -> DataFrame:
+    """(a, b): for each node the leader of another component that it shares most lists with, of those not tried."""
+    rank = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "component")
     leads = live.groupBy("token").agg(F.min(rank).alias("first"))
-    pairs = (
-        live.join(leads, "token").where(F.col("component") != F.col("first.component"))
-        .groupBy(F.col("first.node").alias("a"), F.col("node").alias("b"))
-        .agg(F.count("*").alias("shared"), F.max("first.idx").alias("a_last"), F.max("idx").alias("b_last"), F.first("first.size").alias("a_size"), F.first("size").alias("b_size"))
-        .where(_passes(percent))
-    )
+    pairs = live.join(leads, "token").where(F.col("component") != F.col("first.component")).groupBy(F.col("first.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     if tried is not None:
         pairs = pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(_sided(nodes, "a"), "a").join(_sided(nodes, "b"), "b").select("a", "b", _alike(percent).alias("alike"))
 
 
-def _cross(lists: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
+def _cross(lists: DataFrame, nodes: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
     """(a, b): the candidate pairs left between components, each node with the prefix length of its own choice."""
     live = cut(_live(lists, label))
     t = needed(F.col("size"), percent)
@@ -312,22 +324,20 @@ def _cross(lists: DataFrame, label: DataFrame | None, percent: int) -> DataFrame
     reads = [F.sum(F.when(F.col("idx") <= spare + k, F.col("df") - 1).otherwise(0)) for k in range(1, MAX_MATCHES + 1)]
     costs = F.array(*[F.struct((r + r * VERIFY_COST / k).alias("cost"), F.lit(k).alias("l")) for k, r in enumerate(reads, 1)])
     chosen = live.groupBy("node", "size").agg(F.array_min(costs)["l"].alias("l")).select("node", F.least("l", t).cast("int").alias("l"))
-    kept = live.join(chosen, "node").where(F.col("idx") <= spare + F.col("l")).select("token", "node", "idx", "size", "component", "l")
+    kept = live.join(chosen, "node").where(F.col("idx") <= spare + F.col("l")).select("token", "node", "idx", "component", "l")
     parts = kept.groupBy("token", "component").agg(F.count("*").alias("n"))
     major = parts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("several")).where("several > 1").drop("several")
     kept = cut(kept.join(major, "token"))
-    x = kept.where("component <> major").select("token", F.col("node").alias("a"), F.col("idx").alias("ai"), F.col("size").alias("a_size"), F.col("component").alias("ac"), F.col("l").alias("al"))
-    y = kept.select("token", F.col("node").alias("b"), F.col("idx").alias("bi"), F.col("size").alias("b_size"), F.col("component").alias("bc"), F.col("l").alias("bl"), "major")
+    x = kept.where("component <> major").select("token", F.col("node").alias("a"), F.col("idx").alias("ai"), F.col("component").alias("ac"), F.col("l").alias("al")).join(_sided(nodes, "a"), "a")
+    y = kept.select("token", F.col("node").alias("b"), F.col("idx").alias("bi"), F.col("component").alias("bc"), F.col("l").alias("bl"), "major").join(_sided(nodes, "b"), "b")
     # The first l shared shingles of a pair that links leave room for the overlap that it needs.
-    need = _overlap(percent)
-    room = F.least("al", "bl") + F.least(F.col("a_size") - F.col("ai"), F.col("b_size") - F.col("bi")) >= need
-    sizes = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
+    room = F.least("al", "bl") + F.least(F.col("a_size") - F.col("ai"), F.col("b_size") - F.col("bi")) >= _overlap(percent)
     once = (F.col("bc") == F.col("major")) | (F.col("a") < F.col("b"))
 
     def side(low: str, high: str) -> Column:
         return F.when(F.col("a") < F.col("b"), F.col(low)).otherwise(F.col(high))
 
-    met = x.join(y, "token").where(sizes & room & once & (F.col("ac") != F.col("bc"))).select(
+    met = x.join(y, "token").where((F.col("ac") != F.col("bc")) & once & room & _alike(percent)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("al", "bl").alias("l"),
         side("ai", "bi").alias("a_last"), side("bi", "ai").alias("b_last"), side("a_size", "b_size").alias("a_size"), side("b_size", "a_size").alias("b_size"),
     )
@@ -357,31 +367,36 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     other columns are ignored.
     """
     spark = docs.sparkSession
-    base = cut(_nodes(docs))
+    seen = cut(_nodes_and_tokens(docs))
+    order = spark.sparkContext.broadcast(_common(seen.where("token is not null").select("token", "n")))
+    base = seen.where("token is null").drop("token", "n")
     renamed = _clashes(base)
     if renamed:
         again = F.create_map(*[F.lit(x) for (n, c), new in renamed.items() for x in (f"{n} {c}", new)])
         base = base.withColumn("node", F.coalesce(again[F.concat_ws(" ", "node", "node_check")], "node"))
-    order = spark.sparkContext.broadcast(_common(docs))
     postings = _postings(docs, order, percent, renamed)
     lists = cut(postings.repartition(shuffle_parts(spark), "token").sortWithinPartitions("token", "node").mapInArrow(trimmed(_shared), "token long, node long, place long"))
+    shared = cut(lists.select("node").distinct())
+    sets = cut(_sets(docs, shared, renamed))
+    nodes = cut(base.join(shared, "node").select("node", F.col("n_shingles").alias("size"), *SIGNATURE).dropDuplicates(["node"]))
     tried, links, label = None, None, None
     for salt in count():
         live = cut(_live(lists, label))
-        best = cut(_best_leaders(live, tried, salt, percent))
+        best = cut(_best_leaders(live, nodes, tried, salt, percent))
         discard(live)
-        found = _verify(docs, best, percent, renamed)
+        found = _verify(sets, best.where("alike"), percent)
         asked, linked = best.count(), found.count()
-        tried = best if tried is None else tried.unionByName(best)
+        tried = best.drop("alike") if tried is None else tried.unionByName(best.drop("alike"))
         links = found if links is None else links.unionByName(found)
         if linked:
             label = _relabelled(links, label)
-        if linked * WORTH < asked or not linked:
+        if linked * WORTH <= asked:
             break
-    cross = cut(_cross(lists, label, percent).join(tried, ["a", "b"], "left_anti"))
+    cross = cut(_cross(lists, nodes, label, percent).join(tried, ["a", "b"], "left_anti"))
     discard(lists)
     if not cross.isEmpty():
-        label = _relabelled(links.unionByName(_verify(docs, cross, percent, renamed)), label)
+        label = _relabelled(links.unionByName(_verify(sets, cross, percent)), label)
+    discard(sets, nodes, shared)
     named = base.select("doc_id", "n_shingles", "node", "text_hash")
     named = named.withColumn("component", F.lit(None).cast("long")) if label is None else named.join(label, "node", "left")
     named = named.withColumn("group", F.coalesce("component", "node"))
