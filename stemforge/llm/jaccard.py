@@ -273,13 +273,13 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _live(lists: DataFrame, label: DataFrame | None) -> DataFrame:
-    """The lists whose nodes lie in several components: token, node, idx, size, component, and df, the list's length."""
+    """The lists whose nodes lie in several components: token, node, idx, size, component."""
     low = (1 << 32) - 1
     tagged = lists.select("token", "node", F.col("place").bitwiseAND(low).alias("idx"), F.shiftright("place", 32).alias("size"))
     if label is None:
         return tagged.withColumn("component", F.col("node"))  # every list has several nodes
     tagged = tagged.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
+    open_ = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     return tagged.join(open_, "token")
 
 
@@ -318,7 +318,8 @@ def _best_leaders(live: DataFrame, nodes: DataFrame, tried: DataFrame | None, sa
 
 def _cross(lists: DataFrame, nodes: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
     """(a, b): the candidate pairs left between components, each node with the prefix length of its own choice."""
-    live = cut(_live(lists, label))
+    live = _live(lists, label)
+    live = cut(live.join(live.groupBy("token").agg(F.count("*").alias("df")), "token"))
     t = needed(F.col("size"), percent)
     spare = F.col("size") - t
     reads = [F.sum(F.when(F.col("idx") <= spare + k, F.col("df") - 1).otherwise(0)) for k in range(1, MAX_MATCHES + 1)]
