@@ -323,7 +323,7 @@ def test_lm_counts_grow_with_the_input(spark):
     texts = ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(30)]
     rows = lm_score.blocks(lm_score._rows(frame(spark, list(enumerate(texts)))))
     docs = {r["block"]: lm_score.texts_of(bytes(r["docs"])) for r in rows.collect()}
-    assert len(lm_score.block_keys(sum(docs.values(), []))[0]) > 1 << 19
+    assert len(lm_score.block_keys(lm_score.Words(sum(docs.values(), [])))[0]) > 1 << 19
     got = lm_score.context_counts(rows, 5).toArrow()
     train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
     tails = collections.Counter((t[i - 5 : i], t[i]) for t in train for i in range(5, len(t)))
@@ -332,7 +332,7 @@ def test_lm_counts_grow_with_the_input(spark):
         after[c][ord(x)] = m
     assert set(got["block"].to_pylist()) == set(docs)
     for block, mine in docs.items():
-        key, _ = lm_score.block_keys(mine)
+        key = lm_score.block_keys(lm_score.Words(mine))[0]
         odds = lm_score.found_odds(key, got.filter(pc.equal(got["block"], block)), 5)
         text = mine[0].column("text").to_pylist()[0]
         for i in range(1000, 1200):
@@ -345,45 +345,90 @@ def test_lm_counts_grow_with_the_input(spark):
 
 
 def test_lm_weights_last_a_whole_document():
-    """Against mixing bit after bit, with weights that are never reset within a document."""
+    """Against mixing bit after bit, with weights refined after each token and never reset within a document."""
     rng = np.random.default_rng(4)
-    sizes = [1500, 1, 700]
-    bound = np.concatenate([[0], np.cumsum(sizes)])
-    s = rng.integers(97, 123, bound[-1]).astype(np.uint8)
+    size = rng.integers(1, 9, 40)
+    begin = np.cumsum(size) - size
+    bound = np.array([0, 300, 301, 420])
+    token = rng.integers(0, 40, bound[-1])
     odds = rng.normal(size=(50, 8)).astype(np.float32)
-    place = rng.integers(0, 50, (lm_score.ORDERS, len(s)))
+    place = rng.integers(0, 50, (int(size.sum()), lm_score.ORDERS)).astype(np.int32)
     expected = []
     for a, z in zip(bound[:-1], bound[1:], strict=True):
-        w, total = np.full((8, lm_score.ORDERS), lm_score.FIRST_WEIGHT), 0.0
-        for i in range(a, z):
-            for j in range(8):
-                x = odds[place[:, i], j].astype(float)
-                p = 1 / (1 + math.exp(-(w[j] @ x)))
-                total += math.log10(p)
-                w[j] += lm_score.LEARNING_RATE * (1 - p) * x
+        w, total = np.full((lm_score.ORDERS, 8), lm_score.FIRST_WEIGHT), 0.0
+        for e in token[a:z]:
+            step = np.zeros_like(w)
+            for i in range(begin[e], begin[e] + size[e]):
+                for j in range(8):
+                    x = odds[place[i], j].astype(float)
+                    p = 1 / (1 + math.exp(-(w[:, j] @ x)))
+                    total += math.log10(p)
+                    step[:, j] += lm_score.LEARNING_RATE * (1 - p) * x
+            w += step
         expected.append(total)
-    assert np.allclose(lm_score.log10_scores(s, bound, odds, place), expected, rtol=1e-3)
+    assert np.allclose(lm_score.log10_scores(token, bound, begin, size, odds, place), expected, rtol=1e-3)
 
 
 def test_lm_word_context():
-    """The word so far is told from others however long it is."""
-    s = np.frombuffer(b"xabcdefg yabcdefg ", np.uint8)
-    word = list(lm_score.keys(s, np.array([0, len(s)])))[-1]
+    """The word so far is told from others however long it is; no context reaches back over the word's start."""
+    s = np.frombuffer(b"xabcdefg yabcdefg xabcdefh ", np.uint8)
+    found = list(lm_score.keys(s, np.array([0, 9, 18, 27])))
+    word = found[-1]
     assert word[7] != word[16] and word[0] >> np.uint64(8) == word[9] >> np.uint64(8)
+    assert all((k[:7] == k[18:25]).all() and k[7] != k[25] and k[7] >> np.uint64(8) == k[25] >> np.uint64(8) for k in found)
 
 
 def test_lm_probabilities_sum_to_one():
-    """Over all values of the next byte, given the same history."""
+    """Over all values of a byte, given the same history and the counts of one context for each order."""
     rng = np.random.default_rng(8)
-    odds = rng.normal(size=(lm_score.ORDERS, 1 << lm_score.SLOT_BITS)).astype(np.float32)
     history = np.frombuffer(b"some history ", np.uint8)
-    streams = np.concatenate([np.append(history, np.uint8(v)) for v in range(256)])
-    bound = np.arange(257) * (len(history) + 1)
-    whole = 10 ** lm_score.log10_scores(streams, bound, odds)
-    before = 10 ** lm_score.log10_scores(history, np.array([0, len(history)]), odds)[0]
+    counts = rng.integers(0, 50, (lm_score.ORDERS, 256))
+    key = np.concatenate([(np.uint64(k) << np.uint64(62)) | np.arange(256, dtype=np.uint64) for k in range(lm_score.ORDERS)])
+    odds = lm_score.path_odds(lm_score.path_counts(key, counts.ravel()))
+    begin, size = np.append(np.arange(256), 256), np.append(np.ones(256, int), len(history))
+    place = np.concatenate([np.arange(256)[:, None], history[:, None]]) + 256 * np.arange(lm_score.ORDERS)
+    token = np.stack([np.full(256, 256), np.arange(256)], 1).ravel()
+    whole = 10 ** lm_score.log10_scores(token, np.arange(257) * 2, begin, size, odds, place.astype(np.int32))
+    before = 10 ** lm_score.log10_scores(np.array([256]), np.array([0, 1]), begin, size, odds, place.astype(np.int32))[0]
     assert abs(whole.sum() / before - 1) < 1e-3
 
 
+def test_lm_score_is_that_of_plain_counting(spark):
+    """The whole score on a small table, against one that counts and mixes bit by bit."""
+    rng = random.Random(5)
+    rows = [(i, words(rng, rng.randint(0, 12))) for i in range(30)] + [(40, None), (41, words(rng, 3) + " " + "q" * 300)]
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(frame(spark, rows)).collect()}
+
+    def padded(t, i):
+        return [(o, ("\0" * 5 + t[:i])[-k:] if o < 3 else t[:i]) for o, k in enumerate((*lm_score.LENGTHS, 0))]
+
+    tokens = {i: [w + " " for w in re.findall(SPACE, low(t))] + ["\n"] for i, t in rows}
+    seen = collections.defaultdict(collections.Counter)
+    for i, ts in tokens.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for t in ts:
+                for k in range(len(t)):
+                    for c in padded(t, k):
+                        seen[c][ord(t[k])] += 1
+    for i, ts in tokens.items():
+        w, total = np.full((lm_score.ORDERS, 8), lm_score.FIRST_WEIGHT), 0.0
+        for t in ts:
+            step = np.zeros_like(w)
+            for k in range(len(t)):
+                for j in range(8):
+                    x = []
+                    for c in padded(t, k):
+                        same = sum(n for y, n in seen[c].items() if y >> 7 - j == ord(t[k]) >> 7 - j)
+                        below = sum(n for y, n in seen[c].items() if y >> 8 - j == ord(t[k]) >> 8 - j)
+                        x.append(math.log((same + 0.4) / (below - same + 0.4)))
+                    x = np.array(x)
+                    p = 1 / (1 + math.exp(-max(-10, min(10, w[:, j] @ x))))
+                    total += math.log10(p)
+                    step[:, j] += lm_score.LEARNING_RATE * (1 - p) * x
+            w += step
+        assert abs(got[i] - total) < 1e-3 * max(1, -total), (i, got[i], total)
+
+
 def covered(texts, n):
     c = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     for t in texts:
