@@ -41,8 +41,8 @@ MAX_MATCHES = 8
 COMMON = 100_000
 #: A verification costs as much as reading so many postings.
 VERIFY_COST = 16
-#: Rounds of leaders go on while one of so many verified pairs links.
-WORTH = 10
+#: Rounds of leaders go on while one of so many nodes that found a leader links.
+WORTH = 50
 _IS_WORD = ~IS_SPACE
 _CHECK = np.uint64(0x5851F42D4C957F2D)
 #: Sets remembered by a task, to give each out once.
@@ -223,40 +223,45 @@ def _shared(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["token", "node", "place"])
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, renamed: dict) -> DataFrame:
-    """(node, set) of the given nodes; their list is sent to the tasks only if it is short."""
-    wanted = None
-    if nodes.count() <= BROADCAST_ROWS:
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(nodes.select("node").toArrow()["node"].to_numpy()))
+def _sets(docs: DataFrame, kept: DataFrame, renamed: dict) -> DataFrame:
+    """(node, set) of the given nodes (node, doc_id, text_hash), from the row that each names.
+
+    Only those rows are cut into shingles. Their list is sent to the tasks if it is short, and else joined.
+    """
+    rows = _texts(docs).withColumn("text_hash", F.xxhash64("text"))
+    named = F.xxhash64("doc_id", "text_hash")
+    if kept.count() <= BROADCAST_ROWS:
+        some = docs.sparkSession.sparkContext.broadcast(np.sort(kept.select(named.alias("k")).toArrow()["k"].to_numpy()))
+    else:
+        some = None
+        rows = rows.join(kept.select("doc_id", "text_hash"), rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"]), "left_semi")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
+            if some is not None and len(b):
+                w, k = some.value, b.column(1).to_numpy()
+                b = b.filter(pa.array(w[np.minimum(np.searchsorted(w, k), len(w) - 1)] == k if len(w) else np.zeros(len(k), bool)))
+            ids, sets = [], []
             for _, _, data, offs in slabs(b):
-                sets = [s for s in shingle_sets(data, offs) if len(s)]
-                ids = np.array([node_of(s, renamed)[0] for s in sets], np.int64)
-                keep = np.ones(len(ids), bool)
-                if wanted is not None:
-                    w = wanted.value
-                    keep = w[np.minimum(np.searchsorted(w, ids), len(w) - 1)] == ids if len(w) else np.zeros(len(ids), bool)
-                for i in np.flatnonzero(keep).tolist():
-                    if int(ids[i]) not in seen:
+                for s in shingle_sets(data, offs):
+                    node = node_of(s, renamed)[0] if len(s) else None
+                    if node is not None and node not in seen:  # rows that repeat id and text
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen.add(int(ids[i]))
-                    else:
-                        keep[i] = False
-                at = np.flatnonzero(keep).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array([sets[i].tobytes() for i in at], pa.binary())], ["node", "shingles"])
+                        seen.add(node)
+                        ids.append(node)
+                        sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    got = _texts(docs).mapInArrow(trimmed(run), "node long, shingles binary")
-    if wanted is None:
-        got = got.join(nodes.select("node"), "node", "left_semi")
-    return got.dropDuplicates(["node"])
+    return rows.select("text", named.alias("k")).mapInArrow(trimmed(run), "node long, shingles binary")
 
 
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of the given (a, b) whose sets link, by exact intersection; a stored table."""
+    """Pairs (u, v) of the given (a, b) whose sets link, by exact intersection; a stored table.
+
+    A set may be there twice, from rows that repeat an id and a text: its links are then given twice.
+    """
     both = pairs.select("a", "b").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -377,9 +382,10 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         base = base.withColumn("node", F.coalesce(again[F.concat_ws(" ", "node", "node_check")], "node"))
     postings = _postings(docs, order, percent, renamed)
     lists = cut(postings.repartition(shuffle_parts(spark), "token").sortWithinPartitions("token", "node").mapInArrow(trimmed(_shared), "token long, node long, place long"))
-    shared = cut(lists.select("node").distinct())
-    sets = cut(_sets(docs, shared, renamed))
-    nodes = cut(base.join(shared, "node").select("node", F.col("n_shingles").alias("size"), *SIGNATURE).dropDuplicates(["node"]))
+    first = F.min(F.struct("doc_id", "text_hash"))  # any row of a node will do
+    same = [F.first(c).alias("size" if c == "n_shingles" else c) for c in ("n_shingles", *SIGNATURE)]
+    nodes = cut(base.join(lists.select("node").distinct(), "node").groupBy("node").agg(first.alias("row"), *same).select("node", "size", *SIGNATURE, "row.*"))
+    sets = cut(_sets(docs, nodes.select("node", "doc_id", "text_hash"), renamed))
     tried, links, label = None, None, None
     for salt in count():
         live = cut(_live(lists, label))
@@ -397,7 +403,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     discard(lists)
     if not cross.isEmpty():
         label = _relabelled(links.unionByName(_verify(sets, cross, percent)), label)
-    discard(sets, nodes, shared)
+    discard(sets, nodes)
     named = base.select("doc_id", "n_shingles", "node", "text_hash")
     named = named.withColumn("component", F.lit(None).cast("long")) if label is None else named.join(label, "node", "left")
     named = named.withColumn("group", F.coalesce("component", "node"))
