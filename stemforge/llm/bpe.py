@@ -31,6 +31,8 @@ SPACES = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 GROUP_CHARS = 5_000_000
 #: Distinct words remembered by a worker; all are forgotten when it is full.
 KNOWN_WORDS = 1_000_000
+#: Words found by one look are so many powers of two at most.
+SLOT_BITS = 19
 
 
 def byte_chars() -> list[str]:
@@ -219,11 +221,12 @@ class SegmentTreeBPE:
             at = np.concatenate([[0], np.cumsum(wide)])  # first byte of each character
             start, end = at[start], at[end]
             doc_start = at[np.minimum(np.concatenate([[0], np.cumsum(size + 1)]), len(cp))]
-        which, n_of = self._lookup(raw, start, end)
-        ids_of = np.repeat(self.pool_bound[which] - (np.cumsum(n_of) - n_of), n_of) + np.arange(int(n_of.sum()))
-        flat = self.pool[ids_of]
-        per_doc = np.searchsorted(start, doc_start)
-        bound = np.concatenate([[0], np.cumsum(n_of)])[per_doc]
+        first, n_of = self._lookup(raw, start, end)
+        ends = np.concatenate([[0], np.cumsum(n_of)])
+        ids_of = np.repeat(first - ends[:-1], n_of)
+        ids_of += np.arange(len(ids_of))
+        flat = self.pool.take(ids_of)
+        bound = ends[np.searchsorted(start, doc_start)]
         for i in sorted(odd, reverse=True):
             flat = np.concatenate([flat[: bound[i]], odd[i], flat[bound[i] :]])
             bound[i + 1 :] += len(odd[i])
@@ -236,42 +239,48 @@ class SegmentTreeBPE:
     known = np.zeros(0, np.uint64)  # sorted keys, and the words they stand for
     known_at = np.zeros(0, np.int64)
 
+    slot_key = np.zeros(1, np.uint64)  # the word last met of each slot: most words are found here at once
+    slot_word = np.zeros(1, np.int32)
+
     def _lookup(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word in the pool and number of ids of each word; words not met before are merged and added.
+        """Where in the pool each word's ids begin, and how many they are; words not met before are merged and added.
 
-        A key finds a word, and the bytes decide: words of one key that differ are merged each on its own.
+        A key finds a word, and the bytes decide: a word that only shares its key with one in the pool is
+        merged on its own.
         """
-        n = end - start
-        key = word_keys(raw, start, end)
-        distinct, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_WORDS or len(self.slot_key) == 1:
             for name in ("pool", "pool_bound", "text", "text_bound", "known", "known_at"):
                 setattr(self, name, getattr(SegmentTreeBPE, name))
-        at = np.searchsorted(self.known, distinct)
-        seen = np.zeros(len(distinct), bool)
-        inside = at < len(self.known)
-        seen[inside] = self.known[at[inside]] == distinct[inside]
-        entry = np.zeros(len(distinct), np.int64)
-        entry[seen] = self.known_at[at[seen]]
-        wrong = n != n[first][back]
-        check = np.flatnonzero((n > 8) & ~wrong)
-        wrong[check] = ~same_bytes(raw, start[check], raw, start[first[back[check]]], n[check])
-        old = np.flatnonzero(seen)
-        size, began = n[first[old]], self.text_bound[entry[old]]
-        other = size != self.text_bound[entry[old] + 1] - began
-        fits = np.flatnonzero(~other)
-        other[fits] = ~same_bytes(raw, start[first[old[fits]]], self.text, began[fits], size[fits])
-        if other.any():
-            wrong |= np.isin(back, old[other])
-        new = np.flatnonzero(~seen)
-        if len(new):
-            entry[new] = self._add(raw, start[first[new]], n[first[new]])
-            self.known = np.insert(self.known, at[new], distinct[new])
-            self.known_at = np.insert(self.known_at, at[new], entry[new])
-        which = entry[back]
+            self.slot_key, self.slot_word = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
+        n = end - start
+        key = word_keys(raw, start, end)
+        slot = (key >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+        which = self.slot_word.take(slot)
+        miss = np.flatnonzero(self.slot_key.take(slot) != key)
+        if len(miss):
+            distinct, first, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            at = np.searchsorted(self.known, distinct)
+            seen = np.zeros(len(distinct), bool)
+            inside = at < len(self.known)
+            seen[inside] = self.known[at[inside]] == distinct[inside]
+            entry = np.zeros(len(distinct), np.int32)
+            entry[seen] = self.known_at[at[seen]]
+            new = np.flatnonzero(~seen)
+            if len(new):
+                entry[new] = self._add(raw, start[miss[first[new]]], n[miss[first[new]]])
+                self.known = np.insert(self.known, at[new], distinct[new])
+                self.known_at = np.insert(self.known_at, at[new], entry[new])
+            which[miss] = entry[back]
+            slot = slot[miss[first]]
+            self.slot_key[slot], self.slot_word[slot] = distinct, entry
+        began = self.text_bound.take(which)
+        wrong = self.text_bound.take(which + 1) - began != n
+        check = np.flatnonzero((n > 8) & ~wrong)  # shorter words of one length have keys of their own
+        wrong[check] = ~same_bytes(raw, start[check], self.text, began[check], n[check])
         if wrong.any():
             which[wrong] = self._add(raw, start[wrong], n[wrong])
-        return which, self.pool_bound[which + 1] - self.pool_bound[which]
+        first = self.pool_bound.take(which)
+        return first, self.pool_bound.take(which + 1) - first
 
     def _add(self, raw: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Merge words and put them into the pool; gives their places in it."""
