@@ -153,3 +153,18 @@ def slabs(batch: pa.RecordBatch, column: str = "text", limit: int = SLAB_BYTES)
         b = min(n, max(b, a + 1))
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
+
+
+def overlapped(batch: pa.RecordBatch, limit: int, overlap: int, column: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slabs of pieces of texts: (row of each piece, its first byte in its text, bytes, offsets).
+
+    A text of more than `limit` bytes is cut at multiples of `limit`; a piece goes on for `overlap` bytes into
+    the next, so every string of up to `overlap` + 1 bytes is in the piece in which it starts.
+    """
+    for a, z, data, offs in slabs(batch, column, limit):
+        if len(data) <= limit:
+            yield np.arange(a, z), np.zeros(z - a, np.int64), data, offs
+            continue
+        for first in range(0, len(data), limit):  # one long text
+            piece = data[first : first + limit + overlap]
+            yield np.array([a]), np.array([first]), piece, np.array([0, len(piece)], np.int64)

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, row_key, shuffle_parts, slabs, trimmed
+from .common import cut, overlapped, row_key, shuffle_parts, trimmed
 from .textkit import prefix_sums, signed, span_hash
 
 LENGTH = 200
-#: Text bytes ranked at once; the arrays of a slab take about a hundred times as much.
+#: Text bytes ranked at once, and of a longer text's pieces; the arrays of a slab take about a hundred times as much.
 SLAB = 1 << 19
 
 
@@ -212,7 +212,7 @@ def _with_end(rows):
     yield None
 
 
-def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
+def _repeat_spans(rows: DataFrame, length: int, slab: int) -> DataFrame:
     """rows: row (key), text. Gives (row, spans): packed runs of window starts that repeat; not every row is there."""
     spark = rows.sparkSession
     half = length // 2
@@ -221,10 +221,10 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
     def grams(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            for a, z, data, offs in slabs(b, limit=SLAB):
+            for rows_, first, data, offs in overlapped(b, slab, length - 1):
                 d, g, e, lo, hi = occurrences(data, offs, length)
                 g, state = settle(g, e)
-                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e), pa.array(ids[a:z][d]), pa.array(packed(lo, hi)), pa.array(state)], ["g", "e", "row", "span", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(e), pa.array(ids[rows_][d]), pa.array(packed(lo + first[d], hi + first[d])), pa.array(state)], ["g", "e", "row", "span", "state"])
 
     ranked = "g long, e long, row long, span long, state byte"
     found = cut(rows.select("row", "text").mapInArrow(trimmed(grams), ranked).repartition(parts, "g").sortWithinPartitions("g", "e").mapInArrow(trimmed(_group), "row long, span long"))
@@ -234,18 +234,21 @@ def _repeat_spans(rows: DataFrame, length: int) -> DataFrame:
     def pairs(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans, ids = b.column(2), b.column(0).to_numpy()
-            for a, z, data, offs in slabs(b, limit=SLAB):
+            for rows_, first, data, offs in overlapped(b, slab, length - 1):
                 h = prefix_sums(data)
-                part = spans.slice(a, z - a)
-                own = np.repeat(np.arange(z - a), pa.compute.list_value_length(part).to_numpy())
+                part = spans.slice(int(rows_[0]), len(rows_))
+                own = np.repeat(np.arange(len(rows_)), pa.compute.list_value_length(part).to_numpy())
                 flat = part.flatten().to_numpy()
-                lo, hi = (x + offs[own] for x in unpacked(flat >> 2))
+                start = unpacked(flat >> 2)[0]
+                here = (start >= first[own]) & (start < first[own] + slab)  # of a text in pieces
+                own, flat = own[here], flat[here]
+                lo, hi = (x - first[own] + offs[own] for x in unpacked(flat >> 2))
                 whole = (flat & _WHOLE) != 0
                 n = hi - lo + 1
                 p = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 who = np.repeat(own, n)
                 r1, r2 = span_hash(h, p, p + half), span_hash(h, p + half, p + length)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(r1)), pa.array(signed(r2)), pa.array(ids[a:z][who]), pa.array(p - offs[who]), pa.array(np.repeat(whole, n))], ["r1", "r2", "row", "lo", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(r1)), pa.array(signed(r2)), pa.array(ids[rows_][who]), pa.array(p - offs[who] + first[who]), pa.array(np.repeat(whole, n))], ["r1", "r2", "row", "lo", "whole"])
 
     # A row that stands twice yields its pairs twice; its stretches are `whole` then, so that adds nothing.
     texts = rows.select("row", "text").join(open_, "row").select("row", "text", "spans")
@@ -260,21 +263,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row_key(docs, F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"), F.struct("*").alias("rec"))
 
 
-def _cover(size: int, spans: list[int], length: int) -> np.ndarray:
-    lo, hi = unpacked(np.array(spans, np.int64))
-    edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+def _runs(spans: list[int], length: int) -> tuple[list[int], list[int]]:
+    """First bytes and ends of the maximal runs that spans of window starts cover."""
+    lo, hi = unpacked(np.sort(np.array(spans, np.int64)))
+    end = np.maximum.accumulate(hi + length)
+    fresh = np.flatnonzero(np.append(True, lo[1:] > end[:-1]))
+    return lo[fresh].tolist(), end[np.append(fresh[1:] - 1, len(end) - 1)].tolist()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def _without(raw: bytes, begin: list[int], end: list[int]) -> bytes:
+    return b"".join(raw[a:z] for a, z in zip([0, *end], [*begin, len(raw)], strict=True))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, slab: int = SLAB) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row a document.
 
     Removes each byte covered by a string of `length` bytes that also starts anywhere else, in the same
     or another document, judged on the input. A null text counts as empty; texts under `length` bytes
     stay whole. Repeated rows repeat each other's strings, so their long texts go in all of them. A null
-    doc_id is carried through, empty tables give an empty result, extra columns are ignored.
+    doc_id is carried through, empty tables give an empty result, extra columns are ignored. A text of more
+    than `slab` bytes is ranked in pieces that overlap.
     """
     rows = _keyed(docs.select("doc_id", "text"))
 
@@ -282,21 +290,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             out = []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = left = text.encode()
-                gone = runs = 0
-                if spans:
-                    cover = _cover(len(raw), spans, length)
-                    gone, runs = int(cover.sum()), int(cover[0]) + int((cover[1:] & ~cover[:-1]).sum())
-                    left = np.frombuffer(raw, np.uint8)[~cover].tobytes()
+                raw = text.encode()
+                begin, end = _runs(spans, length) if spans else ([], [])
+                gone, runs, left = sum(end) - sum(begin), len(begin), _without(raw, begin, end)
                 out.append((len(raw), gone, runs, hashlib.sha256(left).hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = rows.join(_repeat_spans(rows, length), "row", "left").select(F.col("rec.doc_id").cast("long").alias("doc_id"), "text", "spans")
+    joined = rows.join(_repeat_spans(rows, length, slab), "row", "left").select(F.col("rec.doc_id").cast("long").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(trimmed(digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def clean_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def clean_texts(docs: DataFrame, length: int = LENGTH, slab: int = SLAB) -> DataFrame:
     """`docs` with the repeats of `remove_repeats` taken out of text; n_chars, if there, is counted anew.
 
     Bytes of a character that is cut in two go with it. A null text stays null; no row is dropped.
@@ -308,12 +313,11 @@ def clean_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out = []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if spans:
-                    raw = np.frombuffer(text.encode(), np.uint8)
-                    text = raw[~_cover(len(raw), spans, length)].tobytes().decode("utf-8", "ignore")
+                    text = _without(text.encode(), *_runs(spans, length)).decode("utf-8", "ignore")
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rec", "left"])
 
-    joined = rows.join(_repeat_spans(rows.select("row", "text"), length), "row", "left").select(F.col("rec").dropFields("text").alias("rec") if len(docs.columns) > 1 else F.col("rec"), "text", "spans", F.col("rec.text").isNull().alias("none"))
+    joined = rows.join(_repeat_spans(rows.select("row", "text"), length, slab), "row", "left").select(F.col("rec").dropFields("text").alias("rec") if len(docs.columns) > 1 else F.col("rec"), "text", "spans", F.col("rec.text").isNull().alias("none"))
     got = joined.mapInArrow(lambda it: ((pa.RecordBatch.from_arrays([*x.columns, y.column(3)], ["rec", "left", "none"])) for y in it for x in kept([y])), _clean_schema(joined))
     text = F.when(~F.col("none"), F.col("left"))
     return got.select(*[text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("rec").getField(c).alias(c) for c in docs.columns])

@@ -439,9 +439,9 @@ def covered(texts, n):
         yield m
 
 
-@pytest.mark.parametrize("length", [200, 20])
-def test_suffix_dedup(docs, rows, length, empty):
-    got = collections.Counter(tuple(r) for r in substrings.remove_repeats(docs, length).collect())
+@pytest.mark.parametrize(("length", "slab"), [(200, 1 << 19), (20, 1 << 19), (200, 700), (20, 64)])
+def test_suffix_dedup(docs, rows, length, slab, empty):
+    got = collections.Counter(tuple(r) for r in substrings.remove_repeats(docs, length, slab).collect())
     raw = [(t or "").encode() for _, t in rows]
     expected = collections.Counter()
     for (i, _), b, m in zip(rows, raw, covered(raw, length), strict=True):
