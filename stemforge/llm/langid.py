@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slabs
+from .common import cut, discard, slabs, trimmed
 
 DIMS = 4096
 #: Most labelled rows that the classifiers are fitted on.
@@ -149,17 +149,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, trainable: Column, sample: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on at most `sample` distinct labelled texts, as many of each language as there are, if need be."""
-    rows = docs.where(trainable & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.col("text").cast("string").alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return LanguageModel(np.zeros((0, DIMS), np.float32), [])
-    each = max(1, sample // len(counts))
+    """Fit on at most `sample` distinct labelled texts, the same number of each language if it has as many.
+
+    Texts are drawn by a hash among the distinct ones of their language, so copies change nothing and no
+    language is lost, but for those beyond the `sample` languages of most texts.
+    """
+    rows = docs.where(trainable & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    counts = cut(rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample))
+    each = max(1, sample // max(1, counts.count()))
     space = 1 << 30
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(space, int(space * 2 * each / n) + 1))).otherwise(limit)
-    drawn = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(space)) < limit).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    shares = counts.select("lang", F.least(F.lit(space), F.floor(space * 2 * each / F.col("n")) + 1).alias("limit"))  # one row a language
+    drawn = rows.join(shares, "lang").where(F.pmod("h", F.lit(space)) < F.col("limit")).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(batches):
         for b in batches:
@@ -171,21 +171,24 @@ def fit(docs: DataFrame, trainable: Column, sample: int = SAMPLE_ROWS) -> Langua
     seen = drawn.mapInArrow(run, "lang string, h long, x binary").where("x is not null")
     ranked = seen.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x"))), 1, each).alias("rows"))  # about 2 * each rows a language
     got = ranked.select("lang", F.explode("rows").alias("r")).select("lang", "r.x").orderBy("lang", "x").toArrow()
+    discard(counts)
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
     return LanguageModel(x, got.column("lang").to_pylist())
 
 
-def _predict(m: LanguageModel, b: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
-    """Predictions of each slab of a batch: (first row, end row, languages, scores)."""
+def _predict(m: LanguageModel, b: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """Predictions of each slab of a batch: (first row, end row, languages, scores, whether there is a letter)."""
     at = b.schema.get_field_index(column)
     for a, z, data, offs in slabs(b, column):
         langs, score = m.predict(features(data, offs))
         letters = ((data | 32) >= 97) & ((data | 32) <= 122)
         some = np.concatenate([[0], np.cumsum(letters)])[offs]
-        for i in np.flatnonzero(some[1:] == some[:-1]).tolist():
-            if not has_letter(b.column(at)[a + i].as_py()):
+        lettered = some[1:] > some[:-1]
+        for i in np.flatnonzero(~lettered).tolist():
+            lettered[i] = has_letter(b.column(at)[a + i].as_py())
+            if not lettered[i]:
                 langs[i], score[i] = UNDETERMINED, 0.0
-        yield a, z, langs, score
+        yield a, z, langs, score, lettered
 
 
 def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -199,27 +202,25 @@ def classify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, z, langs, score in _predict(shared.value, b, "text"):
+            for a, z, langs, score, _ in _predict(shared.value, b, "text"):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def determined(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of `docs`, all columns as they are, with a letter to tell a language by.
 
-    A fitted model gives every text with letters a language, so only letterless and null texts go; they alone
-    go too if nothing was learned.
+    The operator rejects what has no letter: those rows and null texts go, whatever was learned. A fitted
+    model gives every text with letters one of its languages, and none of them is unwanted. Repeated rows
+    share their fate; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, z, langs, _ in _predict(shared.value, b, "text"):
-                keep = [v != UNDETERMINED for v in langs]
-                if shared.value.families is None:
-                    keep = [has_letter(t) for t in b.column(b.schema.get_field_index("text")).slice(a, z - a).to_pylist()]
-                yield b.slice(a, z - a).filter(pa.array(keep, pa.bool_()))
+            for a, z, _, _, lettered in _predict(shared.value, b, "text"):
+                yield b.slice(a, z - a).filter(pa.array(lettered, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
