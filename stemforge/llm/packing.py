@@ -3,14 +3,15 @@
 Pieces are dealt out over partitions and each is packed best-fit decreasing. Dual feasible functions
 give a lower bound on the bins that a partition's pieces need; a partition that meets it is certified
 and done, but for its emptiest bin. Partitions with a gap give up the pieces of their bins that are not full, these are dealt out
-anew over fewer partitions, and best-fit decreasing runs again, until no gap is left or one partition's
-worth remains. Only lengths and keys move, never ids or texts.
+anew over half as many partitions at most, and best-fit decreasing runs again, until no gap is left or one
+partition's worth remains. Only lengths and keys move, never ids or texts.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoded_groups
-from .common import cut, shuffle_parts
+from .common import cut, shuffle_parts, trimmed
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that one packing task takes.
 PART_PIECES = 50_000
-MAX_ROUNDS = 6
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -90,27 +90,36 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), PIECES)
 
 
 def _pack(capacity: int):
-    """Packs all rows of one partition (row, length): adds bin, offset and whether the bound is met."""
+    """Packs rows (row, length, part) sorted by part, one part after the other: adds bin, offset and whether the bound is met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        rows = pa.Table.from_batches(got)
-        lengths, part = rows["length"].to_numpy(), rows["part"].to_numpy()
-        for p in np.unique(part):
-            at = np.flatnonzero(part == p)
-            bins, offs, used = best_fit_decreasing(lengths[at], capacity)
-            tight = used == lower_bound(lengths[at], capacity)
-            load = np.bincount(bins, weights=lengths[at], minlength=used).astype(np.int64)
+        held: list[pa.RecordBatch] = []  # rows of the part that is open
+
+        def packed():
+            rows = pa.Table.from_batches(held)
+            lengths, part = rows["length"].to_numpy(), rows["part"].to_numpy()
+            bins, offs, used = best_fit_decreasing(lengths, capacity)
+            tight = used == lower_bound(lengths, capacity)
+            load = np.bincount(bins, weights=lengths, minlength=used).astype(np.int64)
             # of a certified partition the emptiest bin alone goes on, to be filled up with those of others
             done = (tight & (bins != load.argmin())) | (load[bins] == capacity)
-            out = [pa.array(rows["row"].to_numpy()[at]), pa.array(lengths[at]), pa.array(part[at]), pa.array(bins), pa.array(offs), pa.array(done)]
-            yield pa.RecordBatch.from_arrays(out, ["row", "length", "part", "bin", "offset", "done"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["row"].to_numpy(), lengths, part, bins, offs, done)], ["row", "length", "part", "bin", "offset", "done"])
+
+        for b in batches:
+            part = b.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if z > a and held and held[-1].column(2)[0].as_py() != part[a]:
+                    yield packed()
+                    held = []
+                if z > a:
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield packed()
 
     return run
 
@@ -129,14 +138,14 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, part_pieces: int
     todo = cuts.select("row", "length")
     left = todo.count()
     done = None
-    for k in range(MAX_ROUNDS):
+    for k in count():
         parts = max(1, -(-left // part_pieces))
         tasks = min(parts, max(1, shuffle_parts(docs.sparkSession)))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(parts)))
-        packed = cut(dealt.repartition(tasks, "part").mapInArrow(_pack(capacity), PACKED).withColumn("seq", F.lit(k)))
+        packed = cut(dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(trimmed(_pack(capacity)), PACKED).withColumn("seq", F.lit(k)))
         again = packed.where("not done")
         n = again.count()
-        final = parts == 1 or k + 1 == MAX_ROUNDS or n == 0
+        final = parts == 1 or n == 0
         closed = packed if final else packed.where("done")
         done = closed if done is None else done.unionByName(closed)
         if final:
