@@ -2,8 +2,9 @@
 
 Every input task fills memtables and flushes each as a run sorted by digest, one row a digest, so a
 group of copies of any size leaves a task as one row a run. Runs are dealt out by digest. Each index
-shard takes the runs in, keeps a Bloom filter with each, and compacts them: the smallest identifier of
-a digest stays and its counts add up. Digests that have copies are hits, and the texts of hits are
+shard sorts what comes in, looks it up in the runs it has by their Bloom filters, settles what is there
+already, keeps the rest as a run with a filter of its own, and compacts runs when there are many: the
+smallest identifier of a digest stays and its counts add up. Digests that have copies are hits, and the texts of hits are
 compared byte for byte with the text that stays; texts that differ are grouped by the texts themselves.
 """
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts
+from .common import cut, shuffle_parts, trimmed
 
 MEMTABLE_ROWS = 65_536
 #: Runs of a shard that are merged into one.
@@ -52,7 +53,7 @@ class Run:
     """Sorted digests with the smallest identifier and the count of each, and a filter."""
 
     def __init__(self, digests: np.ndarray, idents: np.ndarray, counts: np.ndarray):
-        self.digests, self.idents, self.counts = digests, idents, counts
+        self.digests, self.idents, self.counts = digests, np.array(idents), np.array(counts)
         self.filter = Bloom(heads(digests))
 
     def find(self, digests: np.ndarray) -> np.ndarray:
@@ -85,14 +86,23 @@ def merge(runs: list[Run]) -> Run:
 
 
 class LsmIndex:
-    """Size-tiered runs, merged when there are `fanout` of them. Only lookups ask the filters."""
+    """Runs that share no digest. A new run is first looked up in the others, whose filters are asked: what they
+    have is settled there, what is left of the run is kept beside them. `fanout` runs are merged into one."""
 
     def __init__(self, fanout: int = FANOUT):
         self.runs: list[Run] = []
         self.fanout = fanout
 
     def add(self, run: Run) -> None:
-        self.runs.append(run)
+        for old in self.runs:
+            at = old.find(run.digests)
+            hit = at >= 0
+            if hit.any():
+                old.idents[at[hit]] = np.minimum(old.idents[at[hit]], run.idents[hit])
+                old.counts[at[hit]] += run.counts[hit]
+                run = Run(run.digests[~hit], run.idents[~hit], run.counts[~hit])
+        if len(run.digests):
+            self.runs.append(run)
         if len(self.runs) >= self.fanout:
             self.runs = [merge(self.runs)]
 
@@ -170,15 +180,15 @@ def compact_shard(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(keys: DataFrame) -> DataFrame:
     """keys: digest binary, ident long. One row a digest: digest, smallest ident, n."""
-    runs = keys.select("digest", "ident").mapInArrow(flush_runs, SCHEMA)
-    return runs.repartition(shuffle_parts(keys.sparkSession), "digest").mapInArrow(compact_shard, SCHEMA)
+    runs = keys.select("digest", "ident").mapInArrow(trimmed(flush_runs), SCHEMA)
+    return runs.repartition(shuffle_parts(keys.sparkSession), "digest").mapInArrow(trimmed(compact_shard), SCHEMA)
 
 
 def sha256_bytes(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column], Column] = sha256_bytes) -> DataFrame:
+def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column], Column] = sha256_bytes, broadcast: int = BROADCAST_DIGESTS, hot_rows: int = 1000, salt_rows: int = SALT_ROWS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after no change; a null text counts as empty. Of equal texts the row
@@ -187,6 +197,8 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column
     a group of null ids only has keep_id null. A row is kept when its doc_id is keep_id, so rows that
     repeat the same id and text are all marked alike. Empty tables give an empty result; other columns
     are ignored. `digest` may be any deterministic function of the text; a weak one costs time, not truth.
+    Up to `broadcast` digests of hits are sent to the tasks; more are joined, those of over `hot_rows` rows
+    (or a thousandth of all) apart from the others, and `salt_rows` copies of one text are compared in a task.
     """
     largest = {"largest": True, "smallest": False}[keep]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
@@ -198,14 +210,18 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column
     total, n_copies = narrow.count(), copies.count()
 
     # A digest with over a thousandth of all rows is one of a thousand at most: those are broadcast.
-    limit = max(1000, total // 1000)
-    hot = F.broadcast(copies.where(F.col("group_size") > limit))
-    dealt = narrow.drop("ident")
-    out = dealt.join(hot, "digest").unionByName(dealt.join(hot.select("digest"), "digest", "left_anti").join(index.where(F.col("group_size") <= limit), "digest"))
+    limit = max(hot_rows, total // 1000)
+    hot, cold = F.broadcast(copies.where(F.col("group_size") > limit)), F.col("group_size") <= limit
 
-    hits = rows.join(F.broadcast(copies) if n_copies <= BROADCAST_DIGESTS else copies, "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("group_size") / SALT_ROWS)))
+    def with_groups(left: DataFrame, groups: DataFrame) -> DataFrame:
+        """`left` joined with the groups of its digests, the hot ones apart."""
+        return left.join(hot, "digest").unionByName(left.join(hot.select("digest"), "digest", "left_anti").join(groups.where(cold), "digest"))
+
+    out = with_groups(narrow.drop("ident"), index)
+    hits = rows.join(F.broadcast(copies), "digest") if n_copies <= broadcast else with_groups(rows, copies)
+    hits = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("group_size") / salt_rows)))
     stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("text").alias("kept_text"), F.first("group_size").alias("size"))
-    stays = stays.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / SALT_ROWS) - 1))).drop("size")
+    stays = stays.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / salt_rows) - 1))).drop("size")
     differ = cut(hits.join(stays, ["digest", "salt"]).where(F.col("text") != F.col("kept_text")).select("digest").distinct())
     if not differ.isEmpty():  # one digest of several texts
         mixed = rows.join(differ, "digest")

@@ -68,6 +68,30 @@ def test_media(docs, rows, empty):
     assert media.fingerprint(media.store_wav(empty)).count() == 0
 
 
+def test_landmarks_by_definition():
+    """Against a plain restatement: a transform a frame, peaks one by one, pairs one by one."""
+    rng = random.Random(11)
+    n = media.UNIT
+    for size in (1, 30, 400):
+        item = media.pad(words(rng, size).encode())
+        frames = [item[i * n : (i + 2) * n].ljust(2 * n, bytes([128])) for i in range(len(item) // n)]
+        levels, bins = [], []
+        for f in frames:
+            power = np.abs(np.fft.rfft((np.frombuffer(f, np.uint8).astype(np.float32) - 128) * np.hanning(2 * n).astype(np.float32))) ** 2
+            best = [lo + int(power[lo:hi].argmax()) for lo, hi in media.BANDS]
+            bins.append(best)
+            levels.append([int(math.log2(power[b] + 1) * 16) for b in best])
+        peaks = []
+        for t in range(len(frames)):
+            for k in range(len(media.BANDS)):
+                before = [levels[u][k] for u in range(max(0, t - media.NEAR), t)]
+                after = [levels[u][k] for u in range(t + 1, min(len(frames), t + media.NEAR + 1))]
+                if all(levels[t][k] > x for x in before) and all(levels[t][k] >= x for x in after):
+                    peaks.append((t, bins[t][k]))
+        pairs = [(t << 24) | (f << 16) | (g << 8) | (u - t) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 1 + media.FANOUT] if u - t <= media.REACH]
+        assert media.landmarks([item])[0].tolist() == sorted(pairs)
+
+
 def test_landmarks_do_not_depend_on_neighbours():
     rng = random.Random(5)
     items = [media.pad(words(rng, n).encode()) for n in (5, 300, 40, 900)]
@@ -76,10 +100,10 @@ def test_landmarks_do_not_depend_on_neighbours():
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
-@pytest.mark.parametrize("weak", [False, True])
-def test_exact_dedup(docs, rows, keep, weak):
+@pytest.mark.parametrize(("weak", "bounds"), [(False, {}), (True, {}), (False, {"broadcast": 0, "hot_rows": 2, "salt_rows": 2}), (True, {"broadcast": 0, "hot_rows": 2, "salt_rows": 2})])
+def test_exact_dedup(docs, rows, keep, weak, bounds):
     digest = (lambda t: F.substring(F.unhex(F.sha2(t, 256)), 1, 1)) if weak else exact_dedup.sha256_bytes
-    got = collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_dedup(docs, keep, digest).collect())
+    got = collections.Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_dedup(docs, keep, digest, **bounds).collect())
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[t or ""].append(i)
@@ -101,6 +125,7 @@ def test_lsm_index_merges_runs():
             old = seen.get(k, (10**9, 0))
             seen[k] = (min(old[0], i), old[1] + 1)
         index.add(exact_dedup.Run(d, ids, np.ones(len(d), np.int64)))
+        assert sum(len(r.digests) for r in index.runs) == len(seen)  # no digest is in two runs
     ident, count = index.lookup(np.array(sorted(seen), "S3"))
     assert [(int(a), int(b)) for a, b in zip(ident, count, strict=True)] == [seen[k] for k in sorted(seen)]
     assert len(index.compact().digests) == len(seen)
@@ -201,6 +226,25 @@ def test_language_id(spark, empty):
     assert langid.determined(docs, model).columns == docs.columns and langid.determined(docs, model).count() == len(rows) - 3
 
 
+def test_language_of_few_texts_is_learned(spark):
+    """A language whose rows are copies of few texts stays a language."""
+    rng = random.Random(4)
+    few = [words(rng, 30, "le la les des une est pour dans avec sur".split()) for _ in range(3)]
+    docs = spark.range(152_000).selectExpr("id as doc_id", "if(id < 2000, 'en', 'fr') as lang")
+    text = F.when(F.col("lang") == "fr", F.element_at(F.array(*map(F.lit, few)), (F.col("doc_id") % 3 + 1).cast("int"))).otherwise(F.concat_ws(" ", F.lit("the and of to that with"), F.col("doc_id"), F.lit("which this from have")))
+    docs = docs.withColumn("text", text)
+    model = langid.fit(docs, F.lit(True))
+    assert {c for w in model.within.values() for c in w.classes} == {"en", "fr"}
+    got = langid.classify(docs.where("doc_id % 5000 = 0 or doc_id = 1"), model).collect()
+    assert {r["lang_pred"] for r in got if r["doc_id"] >= 2000} == {"fr"} and {r["lang_pred"] for r in got if r["doc_id"] < 2000} == {"en"}
+
+
+def test_a_learned_und_rejects_nothing(spark):
+    docs = frame(spark, [(i, "some words here", "und") for i in range(5)] + [(9, "77", "und")])
+    model = langid.fit(docs, F.lit(True))
+    assert sorted(r["doc_id"] for r in langid.determined(docs, model).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_license_scan(spark, empty):
     mit = next(x for k, x in licenses.TEMPLATES if k == "mit")
     rows = [(1, "Released under the MIT License, and CC-BY-NC too; under the mit license"), (2, None), (3, "apache license version 2 apache license version 2"), (4, "x " + mit + " y"), (5, " ".join(w for j, w in enumerate(mit.split()) if j % 17 != 9)), (6, "under the mit"), (7, "ccé by nc"), (8, "nothing"), (8, "nothing")]
