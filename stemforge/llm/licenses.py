@@ -1,25 +1,23 @@
 """Licence scan by diagonal voting.
 
-Rolling hashes of k words of each text are joined with those of licence templates. Hits of one text and
-template that share the offset (text position minus template position) lie on one diagonal; diagonals
-are counted, neighbouring ones (a word inserted or left out) are merged, and each span is aligned with its
-template word by word: it counts when the words matched in order cover enough of the template, and when
-the words that tell licences apart agree. A phrase of up to SHORT words is one k-gram of
-its own length: each hit is a place where its words stand consecutively.
+The rolling hashes of all k-word grams of every text are joined by Spark with those of licence templates.
+Hits of one text and template that share the offset (text position minus template position) lie on one
+diagonal; diagonals are counted, neighbouring ones (a word inserted or left out) are merged. Texts with
+passages are then read again and each span is aligned with its template word by word: it counts when the
+words matched in order cover enough of the template, and when the words that tell licences apart agree.
+A phrase of up to SHORT words is one k-gram of its own length: each hit whose words are the phrase's is a
+place where its words stand consecutively.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, slabs
+from .common import BROADCAST_ROWS, cut, row_key, slabs, trimmed
 from .textkit import IS_TERM, LOWER, rolling, signed, word_bounds, word_keys
 
 SHORT = 5
@@ -62,27 +60,26 @@ def _terms(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, doc, word_keys(data, start, end)
 
 
-def _shown(text: str) -> list[bytes]:
+def shown(text: str) -> list[bytes]:
     data, start, end, _, _ = terms(text)
     raw = data.tobytes()
     return [raw[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)]
 
 
 def template_rows(phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
-    """(template, label, is base, its words, k, position, hash, words of the k-gram)."""
+    """(template, base, k, tpos, h) of every k-gram of the phrases and templates."""
     out = []
-    for t, (text, label, base) in enumerate([(p, lab, True) for p, lab in phrases] + [(x, lab, False) for lab, x in templates]):
-        data, start, end, doc, words = terms(text)
+    for t, (text, base) in enumerate([(p, True) for p, _ in phrases] + [(x, False) for _, x in templates]):
+        _, _, _, doc, words = terms(text)
         k = len(words) if len(words) <= SHORT else GRAM
         at, h = rolling(words, doc, k)
-        shown = data.tobytes()
-        out += [(t, label, base, len(words), k, int(i), int(x), " ".join(shown[start[j] : end[j]].decode() for j in range(i, i + k))) for i, x in zip(at.tolist(), signed(h).tolist(), strict=True)]
+        out += [(t, base, k, int(i), int(x)) for i, x in zip(at.tolist(), signed(h).tolist(), strict=True)]
     return out
 
 
-def matched(template: list[str], span: list[str]) -> int:
+def matched(template: list[bytes], span: list[bytes]) -> int:
     """Words of the longest common subsequence, one bit a template word."""
-    places: dict[str, int] = {}
+    places: dict[bytes, int] = {}
     for i, w in enumerate(template):
         places[w] = places.get(w, 0) | 1 << i
     full = (1 << len(template)) - 1
@@ -93,108 +90,112 @@ def matched(template: list[str], span: list[str]) -> int:
     return len(template) - open_.bit_count()
 
 
-def cover(label: str, template: list[str], span: list[str], inner: list[str]) -> float:
+def cover(label: str, template: list[bytes], span: list[bytes], inner: list[bytes]) -> float:
     """Share of the template's words that `span` has in order; 0 if a mark is missing or, in `inner`, too much."""
     for mark, needs, bars in MARKS:
-        if label == needs and mark in template and mark not in span or label == bars and mark not in template and mark in inner:
+        word = mark.encode()
+        if label == needs and word in template and word not in span or label == bars and word not in template and word in inner:
             return 0.0
     return matched(template, span) / len(template)
 
 
-TEMPLATE_SCHEMA = "template int, label string, base boolean, words int, k int, tpos long, h long, gram string"
+TEMPLATE_SCHEMA = "template int, base boolean, k int, tpos long, h long"
+#: Most hashes in a cell; a text with more has several.
+CELL = 1 << 17
+
+
+def gram_hashes(rows: DataFrame, ks: list[int], cell: int = CELL) -> DataFrame:
+    """rows: row, text. Gives (row, k, first, hashes): the hashes of all grams of k words, in order from word `first` on."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for a, z, raw, offs in slabs(b, "text"):
+                start, end, doc, words = _terms(LOWER[raw], offs)
+                n = z - a
+                for k in ks:
+                    at, h = rolling(words, doc, k)
+                    size = np.bincount(doc[at], minlength=n)
+                    if (size <= cell).all():
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a:z]), pa.array(np.full(n, k, np.int32)), pa.array(np.zeros(n, np.int64)), _lists(signed(h), size)], ["row", "k", "first", "hashes"])
+                        continue
+                    ends = np.cumsum(size)
+                    for d in range(n):
+                        own = signed(h[ends[d] - size[d] : ends[d]])
+                        cells = [own[c : c + cell] for c in range(0, len(own), cell)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), ids[a + d])), pa.array(np.full(len(cells), k, np.int32)), pa.array(np.arange(len(cells)) * cell), _lists(np.concatenate([*cells, own[:0]]), np.array([len(c) for c in cells], np.int64))], ["row", "k", "first", "hashes"])
+
+    return rows.mapInArrow(trimmed(run), "row long, k int, first long, hashes array<bigint>")
+
 
+def _lists(flat: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
+
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row a document.
 
     Words are runs of digits, letters and non-ASCII characters after lowering A-Z; null counts as empty.
     Base places are all places of the phrases, overlapping ones too; first_word and last_word are null
     without one, the base labels are then empty and the score is the best cover of a verified passage, or 0. Repeated
-    rows are scanned and returned each. Empty tables give an empty result; extra columns are ignored.
+    rows are scanned and returned each. Empty tables give an empty result; extra columns are ignored. Up to
+    `broadcast` places and passages are sent to the tasks; more are joined.
     """
     spark: SparkSession = docs.sparkSession
-    rows = template_rows(phrases, templates)
-    ks = sorted({r[4] for r in rows})
-    kinds = [(lab, [w.decode() for w in _shown(x)]) for x, lab in [*phrases, *((x, lab) for lab, x in templates)]]
-    reach = max((len(w) for _, w in kinds), default=0) + SLACK
-    wanted = {k: np.unique(np.array([r[6] for r in rows if r[4] == k], np.int64)) for k in ks}
-
-    def run(batches):
-        for b in batches:
-            for a, z, raw, offs in slabs(b, "text"):
-                data = LOWER[raw]
-                start, end, doc, words = _terms(data, offs)
-                n = z - a
-                count = np.bincount(doc, minlength=n)
-                first = np.cumsum(count) - count
-                found = []
-                for k in ks:  # only hashes that some template has leave the task
-                    at, h = rolling(words, doc, k)
-                    h = signed(h)
-                    hit = np.flatnonzero(wanted[k][np.minimum(np.searchsorted(wanted[k], h), len(wanted[k]) - 1)] == h)
-                    found += [(int(i), int(x), k) for i, x in zip(at[hit], h[hit], strict=True)]
-                found.sort()
-                shown = data.tobytes()
-                hits, near = [[] for _ in range(n)], [[] for _ in range(n)]
-                for i, x, k in found:
-                    hits[doc[i]].append({"pos": i - int(first[doc[i]]), "h": x, "gram": " ".join(shown[start[j] : end[j]].decode() for j in range(i, i + k))})
-                    lo, hi = int(first[doc[i]]), int(first[doc[i]] + count[doc[i]])
-                    a_, z_ = max(lo, i - reach) - lo, min(hi, i + k + reach) - lo
-                    if near[doc[i]] and a_ <= near[doc[i]][-1][1]:
-                        near[doc[i]][-1][1] = max(z_, near[doc[i]][-1][1])
-                    else:
-                        near[doc[i]].append([a_, z_])
-                for d in np.unique(doc[[i for i, _, _ in found]]) if found else ():
-                    lo = int(first[d])
-                    near[d] = [{"at": a_, "words": " ".join(shown[start[j] : end[j]].decode() for j in range(lo + a_, lo + z_))} for a_, z_ in near[d]]
-                around = pa.list_(pa.struct([("at", pa.int64()), ("words", pa.string())]))
-                kind = pa.list_(pa.struct([("pos", pa.int64()), ("h", pa.int64()), ("gram", pa.string())]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, n), pa.array(count.astype(np.int64)), pa.array(hits, kind), pa.array(near, around)], ["doc_id", "n_words", "hits", "near"])
-
-    hit = T.StructType([T.StructField("pos", T.LongType()), T.StructField("h", T.LongType()), T.StructField("gram", T.StringType())])
-    around = T.StructType([T.StructField("at", T.LongType()), T.StructField("words", T.StringType())])
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit)), T.StructField("near", T.ArrayType(around))])
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-    found = cut(found.withColumn("row", F.monotonically_increasing_id()))  # the row number holds once it is stored
-
-    known = F.broadcast(spark.createDataFrame(rows, TEMPLATE_SCHEMA))  # a fixed number of templates
-    votes = (
-        found.select("row", F.explode("hits").alias("x")).select("row", "x.*").join(known, ["h", "gram"])
-        .groupBy("row", "template", "label", "base", "words", "k", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-        .agg(F.count("*").alias("votes"), F.min("pos").alias("a"), F.max("pos").alias("b"))
-    )
-    places = votes.where("base").groupBy("row").agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set"))
+    grams = template_rows(phrases, templates)
+    kinds = [(lab, shown(x)) for x, lab in [*phrases, *((x, lab) for lab, x in templates)]]
+    known = F.broadcast(spark.createDataFrame(grams, TEMPLATE_SCHEMA))  # a fixed number of templates
+    key = row_key(docs, F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("row"))
+
+    hashed = gram_hashes(rows.select("row", "text"), sorted({r[2] for r in grams}))
+    exploded = hashed.select("row", "k", "first", F.posexplode("hashes").alias("i", "h"))
+    hits = cut(exploded.join(known, ["h", "k"]).select("row", "template", "base", "tpos", (F.col("first") + F.col("i")).alias("pos")).distinct())  # rows alike hit alike
+    votes = hits.groupBy("row", "template", "base", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("a"), F.max("pos").alias("b"))
     along = Window.partitionBy("row", "template").orderBy("a", "diagonal")
     fresh = (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) <= SLACK) & (F.col("a") - F.lag("b").over(along) <= GAP)
     passages = (
         votes.where("not base").withColumn("new", F.when(fresh, 0).otherwise(1)).withColumn("passage", F.sum("new").over(along))
         .groupBy("row", "template", "passage").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
-        .groupBy("row").agg(F.collect_list(F.struct("template", "low", "high")).alias("passages"))
     )
+    places = votes.where("base").select("row", "template", F.col("diagonal").alias("low"), F.col("diagonal").alias("high"))
+    spans = cut(places.unionByName(passages.select(*places.columns)).groupBy("row").agg(F.collect_list(F.struct("template", "low", "high")).alias("spans")))
+    few = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= broadcast
 
     def verify(batches):
         for b in batches:
-            best, labels = [], []
-            for passages, near in zip(b.column("passages").to_pylist(), b.column("near").to_pylist(), strict=True):
-                at = [x["at"] for x in near]
-                words = [x["words"].split(" ") for x in near]
-                got = []
-                for x in passages:
+            out = []
+            for row, text, found in zip(b.column("row").to_pylist(), b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                words = shown(text or "")
+                at, base, labels, best = [], set(), set(), 0.0
+                for x in found:
                     label, template = kinds[x["template"]]
-                    i = max(bisect_right(at, max(x["low"], 0)) - 1, 0)  # hits of a passage stand in one stretch
-                    lo, hi = x["low"] - at[i], x["high"] - at[i] + len(template)
-                    got.append((cover(label, template, words[i][max(lo - SLACK, 0) : hi + SLACK], words[i][max(lo, 0) : hi]), label))
-                best.append(max(c for c, _ in got))
-                labels.append(sorted({label for c, label in got if c >= COVER}))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(best, pa.float64()), pa.array(labels, pa.list_(pa.string()))], ["row", "cover", "set"])
-
-    spans = passages.join(found.select("row", "near"), "row").mapInArrow(verify, "row long, cover double, set array<string>")
-    none = F.array().cast("array<string>")
-    out = found.drop("hits", "near").join(places, "row", "left").join(spans, "row", "left")
-    base = F.coalesce("base_set", none)
+                    lo, hi = max(x["low"], 0), x["high"] + len(template)
+                    if x["template"] < len(phrases):
+                        if words[lo:hi] == template:
+                            at.append(lo)
+                            base.add(label)
+                        continue
+                    c = cover(label, template, words[max(lo - SLACK, 0) : hi + SLACK], words[lo:hi])
+                    best = max(best, c)
+                    if c >= COVER:
+                        labels.add(label)
+                out.append((row, len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if at else best))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kind = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kind, strict=True)], ["row", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+
+    texts = rows.select("row", "text").join(F.broadcast(spans) if few else spans, "row").select("row", "text", "spans")
+    verified = texts.mapInArrow(trimmed(verify), "row long, n_base long, first_word long, last_word long, base_labels string, labels string, score double").dropDuplicates(["row"])
+
+    def counted(batches):
+        for b in batches:
+            for a, z, raw, offs in slabs(b, "text"):
+                n = np.bincount(word_bounds(LOWER[raw], offs, IS_TERM)[2], minlength=z - a)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(n)], ["doc_id", "row", "n_words"])
+
+    out = rows.mapInArrow(trimmed(counted), "doc_id long, row long, n_words long").join(verified, "row", "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
-        F.array_join(F.array_sort(base), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, F.coalesce("set", none))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("cover", F.lit(0.0))).alias("score"),
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )

@@ -248,19 +248,61 @@ def test_a_learned_und_rejects_nothing(spark):
 def test_license_scan(spark, empty):
     mit = next(x for k, x in licenses.TEMPLATES if k == "mit")
     rows = [(1, "Released under the MIT License, and CC-BY-NC too; under the mit license"), (2, None), (3, "apache license version 2 apache license version 2"), (4, "x " + mit + " y"), (5, " ".join(w for j, w in enumerate(mit.split()) if j % 17 != 9)), (6, "under the mit"), (7, "ccé by nc"), (8, "nothing"), (8, "nothing")]
-    got = collections.Counter(tuple(r)[:-1] for r in licenses.scan(frame(spark, rows)).collect())
+    long = "y " * 9000 + "under the mit license " + mit + " z" * 20_000
+    rows.append((9, long))
+    found = [licenses.scan(frame(spark, rows), broadcast=n).collect() for n in (licenses.BROADCAST_ROWS, 0)]
+    got = collections.Counter(tuple(r)[:-1] for r in found[0])
+    assert got == collections.Counter(tuple(r)[:-1] for r in found[1])
     expected = collections.Counter()
     word = "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
     for i, t in rows:
         w = re.findall(word, low(t))
         places = [(s, lab) for p, lab in licenses.PHRASES for s in range(len(w)) if w[s : s + len(p.split())] == p.split()]
         base = sorted({x for _, x in places})
-        labels = sorted(set(base) | ({"mit"} if i in (4, 5) else set()))
+        labels = sorted(set(base) | ({"mit"} if i in (4, 5, 9) else set()))
         expected[(i, len(w), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(base), ",".join(labels))] += 1
     assert got == expected
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_score_by_definition(spark):
+    """Against the longest common subsequence of each template and the text around its only passage."""
+
+    def lcs(x, y):
+        best = [0] * (len(y) + 1)
+        for a in x:
+            row = [0]
+            for j, b in enumerate(y):
+                row.append(best[j] + 1 if a == b else max(best[j + 1], row[-1]))
+            best = row
+        return best[-1]
+
+    rng = random.Random(6)
+    rows = []
+    for i, (_, x) in enumerate(licenses.TEMPLATES[:8]):
+        w = x.split()
+        for j in sorted(rng.sample(range(8, len(w) - 8), 2), reverse=True):  # a word changed, another left out
+            w[j : j + 1] = rng.choice((["odd"], []))
+        rows.append((i, words(rng, 30) + " " + " ".join(w) + " " + words(rng, 30)))
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        y = [v.decode() for v in licenses.shown(t)]
+        assert licenses.TEMPLATES[i][0] in got[i]["labels"].split(",")
+        own = {k: [v.decode() for v in licenses.shown(s)] for k, s in licenses.TEMPLATES if k in got[i]["labels"].split(",")}
+        best = 1 if got[i]["n_base"] else max(lcs(s, y) / len(s) for s in own.values())
+        assert abs(got[i]["score"] - best) < 1e-9
+
+
+def test_gram_hashes_in_cells(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b"), (3, None)], "row long, text string")
+    whole = {(r["row"], r["k"]): r["hashes"] for r in licenses.gram_hashes(texts, [2, 3]).collect()}
+    parts = collections.defaultdict(list)
+    for r in sorted(licenses.gram_hashes(texts, [2, 3], cell=3).collect(), key=lambda r: r["first"]):
+        assert len(parts[r["row"], r["k"]]) == r["first"]
+        parts[r["row"], r["k"]] += r["hashes"]
+    assert all(parts[k] == v for k, v in whole.items()) and len(whole[1, 3]) == 6
+
+
 def test_license_spans_are_verified(spark):
     text = dict((k, x) for k, x in licenses.TEMPLATES)
     mit = text["mit"].split()
