@@ -28,13 +28,21 @@ def _without(docs: DataFrame, dropped: DataFrame, text_key) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go; which language the classifier tells never drops a document."""
+    """Documents without letters go; which language the classifier tells never drops a document.
+
+    A null text has no letter and goes; null ids and columns stay as they are; rows that repeat share their
+    fate; an empty table stays empty; columns besides text, lang and doc_id are carried through.
+    """
     ship(spark)
     return langid.determined(docs, langid.fit(docs, ~langid.held_out(F.col("doc_id"))))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of the largest doc_id stays, and one row of rows repeated with id and text."""
+    """Of equal texts the row of the largest doc_id stays, and one row of rows repeated with id and text.
+
+    Null texts are equal to empty ones. A null doc_id stays only where no row of the text has one. An empty
+    table stays empty; other columns are carried through, those of the row that stays.
+    """
     ship(spark)
     found = cut(exact_dedup(docs, keep="largest").select("doc_id", "kept", F.col("text_sha256").alias("__text_key")))
     key = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
@@ -50,7 +58,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id stays, nulls last, then of the least text hash.
 
-    Rows alike in id and text, of which the stage before leaves one, share their fate.
+    Rows alike in id and text, of which the stage before leaves one, share their fate. Texts without words,
+    null ones too, have no near duplicates and stay. An empty table stays empty; other columns are carried through.
     """
     ship(spark)
     found = cut(near_components(docs).where("group is not null").select("group", "doc_id", F.col("text_hash").alias("__text_key")))
@@ -60,12 +69,21 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 200 bytes that stand more than once are taken out of the texts."""
+    """Bytes of strings of 200 bytes that stand more than once are taken out of the texts; no row goes.
+
+    All places of a string go, so none is preferred. n_chars is counted anew; a null text stays null; rows
+    that repeat repeat each other's strings. An empty table stays empty; other columns are carried through.
+    """
     ship(spark)
     return clean_texts(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null text is empty, so its piece is the end id alone; null ids and repeated rows are packed as they are;
+    pieces of equal length take places in any order; an empty table gives none; other columns are not read.
+    """
     ship(spark)
     return pack(docs, TOKENIZER)
 
