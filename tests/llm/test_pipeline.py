@@ -1,16 +1,45 @@
 """Stages of the corpus pipeline, each on what its predecessor kept."""
 
+import collections
 import re
 
+import numpy as np
+import pytest
 from helpers import frame, sample
+from test_operators_llm import covered, shingles
 
 import corpus_pipeline
+from stemforge.llm import bpe
+from stemforge.llm.queries import TOKENIZER
 
 
-def test_stages(spark, tmp_path):
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def near_groups(texts):
+    """Group of each text by the definition: pairs of sets, one by one."""
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                group[find(a)] = find(b)
+    return [find(x) for x in range(len(texts))]
+
+
+@pytest.mark.parametrize("columns", [COLUMNS, None])
+def test_stages(spark, tmp_path, columns):
+    """Each stage against its definition, on what the stage before kept; with further columns of clashing names too."""
     rows = sample(7)
     rows = [(i, t, "de" if i is None or i % 2 else "en") for i, t in rows]
-    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = frame(spark, rows)
+    docs = docs.select(*columns) if columns else docs
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "exact_dedup", "near_dedup", "passage_dedup", "packing"]
     kept = {}
@@ -20,18 +49,33 @@ def test_stages(spark, tmp_path):
         after = spark.read.parquet(str(tmp_path / name))
         if name != "packing":
             assert after.columns == docs.columns
-            kept[name] = after.collect()
+            kept[name] = [(r["doc_id"], r["text"]) for r in after.collect()]
         docs = after
-    letters = [t for _, t, _ in rows if t and re.search(r"[^\W\d_]", t)]
-    assert sorted(r["text"] for r in kept["language_id"]) == sorted(letters)
-    assert sorted(r["text"] for r in kept["exact_dedup"]) == sorted(set(letters))
+    letters = [(i, t) for i, t, _ in rows if t and re.search(r"[^\W\d_]", t)]
+    assert collections.Counter(kept["language_id"]) == collections.Counter(letters)
     last = {}
-    for i, t, _ in rows:
-        if t in set(letters) and i is not None:
-            last[t] = max(i, last.get(t, i))
-    assert all(last.get(r["text"]) == r["doc_id"] for r in kept["exact_dedup"])
-    assert len(kept["near_dedup"]) < len(kept["exact_dedup"]) and len(kept["passage_dedup"]) == len(kept["near_dedup"])
-    assert docs.select("doc_id").distinct().count() == len({r["doc_id"] for r in kept["passage_dedup"]})
+    for i, t in letters:
+        last[t] = max((x for x in (i, last.get(t)) if x is not None), default=None)
+    assert sorted(kept["exact_dedup"], key=str) == sorted(((i, t) for t, i in last.items()), key=str)
+    groups = collections.defaultdict(list)
+    for g, row in zip(near_groups([t for _, t in kept["exact_dedup"]]), kept["exact_dedup"], strict=True):
+        groups[g].append(row)
+    assert len(kept["near_dedup"]) == len(groups)
+    for own in groups.values():
+        ids = [i for i, _ in own if i is not None]
+        stays = [r for r in own if r in kept["near_dedup"]]
+        assert len(stays) == 1 and stays[0][0] == min(ids, default=None)
+    texts = [t.encode() for _, t in kept["near_dedup"]]
+    cleaned = [(i, np.frombuffer(b, np.uint8)[~m].tobytes().decode("utf-8", "ignore")) for (i, _), b, m in zip(kept["near_dedup"], texts, covered(texts, 200), strict=True)]
+    assert collections.Counter(kept["passage_dedup"]) == collections.Counter(cleaned)
+    packed, total = docs.collect(), collections.Counter()
+    for r in packed:
+        total[r["doc_id"]] += r["length"]
+    model = bpe.model(TOKENIZER)
+    expected = collections.Counter()
+    for i, t in cleaned:
+        expected[i] += len(model.encode(t)) + 1
+    assert total == expected
 
 
 def test_language_stage_without_labels(spark):
@@ -50,6 +94,6 @@ def test_near_stage_keeps_one_of_each_group(spark):
 
 def test_empty_table(spark):
     docs = frame(spark, [(0, "x")]).where("doc_id = 1").select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES[:4]:
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "unused")
         assert docs.count() == 0
