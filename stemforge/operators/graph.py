@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.etymology import chain_edges
 from ..functions.morphology import affix_separable, formation_type
 from ..functions.text import cognate_key, field_key
+from .store import stored
 
 
 def unordered(a: Column, b: Column) -> tuple[Column, Column]:
@@ -118,22 +119,32 @@ def entry_fields(entries: DataFrame, domains: str = "subject_domains", limit: in
 
 
 def ancestors(edges: DataFrame, start: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(start, ancestor, depth) along from -> to edges, by a recursive query; depth bounds cycles.
+    """(start, ancestor, depth) along child -> parent edges, a level at a time; depth bounds cycles.
 
-    edges: child, parent. start: node.
+    edges: child, parent. start: node. Only the last level's ends are joined with the edges, and levels are
+    stored, so no limit of rows and no growing plan bounds the walk. It ends when a level is empty.
     """
-    spark = edges.sparkSession
-    edges.select("child", "parent").createOrReplaceTempView("__walk_edges")
-    start.select("node").createOrReplaceTempView("__walk_start")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(start, ancestor, depth) AS (
-            SELECT node, node, 0 FROM __walk_start
-            UNION ALL
-            SELECT w.start, e.parent, w.depth + 1 FROM walk w JOIN __walk_edges e ON w.ancestor = e.child WHERE w.depth < {int(max_depth)}
-        ) SELECT * FROM walk
-        """
-    )
+    up = edges.select(F.col("child").alias("ancestor"), "parent")
+    level = stored(start.select(F.col("node").alias("start"), F.col("node").alias("ancestor")))
+    out = level.withColumn("depth", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        level = stored(level.join(up, "ancestor").select("start", F.col("parent").alias("ancestor")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
+    return out
+
+
+def with_ends(edges: DataFrame, nodes: DataFrame, source: str, target: str, key: str = "id", shown: str = "form") -> DataFrame:
+    """Edges whose ends are both nodes, with what is shown of each: columns source_shown and target_shown."""
+    a = nodes.select(F.col(key).alias(source), F.col(shown).alias("source_shown"))
+    b = nodes.select(F.col(key).alias(target), F.col(shown).alias("target_shown"))
+    return edges.join(a, source).join(b, target)
+
+
+def sets_of(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, members): the distinct members of each key, in order; meant for keys with few of them."""
+    return rows.select(key, member).distinct().groupBy(key).agg(F.array_sort(F.collect_list(member)).alias("members"))
 
 
 def bridges(compounds: DataFrame, island_of: DataFrame) -> DataFrame:

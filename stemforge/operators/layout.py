@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import fractal_noise, gaussian, unit_scale
+from .order import numbered
+from .store import stored
 
 # Pull of each kind of edge, spacing of discs, world side, height range, sea level, spread of an island.
 EDGE_WEIGHTS = {"compound": 3.0, "semantic": 0.3, "etymology": 0.5, "field": 0.1}
@@ -52,13 +54,41 @@ def world_fit(rows: DataFrame, x: str = "x", z: str = "z", size: float = 370.0)
     return joined.withColumns({x: (F.col(x) - (F.col("__x0") + F.col("__x1")) / 2) * scale, z: (F.col(z) - (F.col("__z0") + F.col("__z1")) / 2) * scale}).drop(*b.columns)
 
 
-def nearest(points: DataFrame, k: int = 3, key: str = "id", x: str = "x", z: str = "z", block: int = 0) -> DataFrame:
-    """The k nearest other points of each; ties by key. Meant for cluster positions, some hundreds of points."""
-    a = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(z).alias("az"))
-    b = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(z).alias("bz"))
-    d = F.hypot(F.col("ax") - F.col("bx"), F.col("az") - F.col("bz"))
-    pairs = a.join(b, F.col("a") != F.col("b")).select("a", "b", d.alias("d"))
-    best = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, k).alias("near"))
+def nearest(points: DataFrame, k: int = 3, key: str = "id", x: str = "x", z: str = "z") -> DataFrame:
+    """The k nearest other points of each (all, if there are fewer); ties by key.
+
+    Points meet in grid cells and the eight around them. A point is done when its k-th neighbour is no
+    farther than a cell is wide, as all points that near are in those cells; for the others the cells become
+    twice as wide, until nine of them hold everything. Cells begin with about two points each, so points
+    spread over the plane meet a few others only; many points in one spot meet each other.
+    """
+    at = stored(points.select(F.col(key).alias("a"), F.col(x).cast("double").alias("ax"), F.col(z).cast("double").alias("az")))
+    ends = at.agg(F.count("*").alias("n"), F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("az").alias("z0"), F.max("az").alias("z1")).first()
+    n = ends["n"]
+    span = max(ends["x1"] - ends["x0"], ends["z1"] - ends["z0"]) if n else 0.0
+    width = span / max(1.0, (n / 2) ** 0.5) if span else 1.0
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    todo, done = at, None
+    while True:
+        cx, cz = F.floor((F.col("ax") - ends["x0"]) / width), F.floor((F.col("az") - ends["z0"]) / width)
+        b = at.select(F.col("a").alias("b"), F.col("ax").alias("bx"), F.col("az").alias("bz"), cx.alias("cx"), cz.alias("cz"))
+        asked = todo.withColumn("c", F.explode(around)).withColumn("cx", cx + F.col("c.i")).withColumn("cz", cz + F.col("c.j")).drop("c")
+        d = F.hypot(F.col("ax") - F.col("bx"), F.col("az") - F.col("bz"))
+        pairs = asked.join(b, ["cx", "cz"]).where(F.col("a") != F.col("b")).select("a", "ax", "az", F.struct(d.alias("d"), "b").alias("near"))
+        best = pairs.groupBy("a", "ax", "az").agg(F.slice(F.array_sort(F.collect_list("near")), 1, k).alias("near"))
+        if width > span:  # nine cells hold everything
+            return _ranked(best if done is None else done.unionByName(best.select("a", "near")))
+        found = stored(todo.join(best, ["a", "ax", "az"], "left"))
+        safe = (F.size("near") >= k) & (F.element_at("near", -1)["d"] <= width)
+        closed = found.where(safe).select("a", "near")
+        done = closed if done is None else done.unionByName(closed)
+        todo = found.where(~F.coalesce(safe, F.lit(False))).drop("near")
+        if todo.isEmpty():
+            return _ranked(done)
+        width *= 2
+
+
+def _ranked(best: DataFrame) -> DataFrame:
     return best.select("a", F.posexplode("near").alias("i", "n")).select("a", (F.col("i") + 1).alias("rank"), F.col("n.b").alias("b"), F.col("n.d").alias("d"))
 
 
@@ -117,7 +147,7 @@ def height_stats(rows: DataFrame, column: str = "height") -> DataFrame:
 def nudge(positions: DataFrame, edges: DataFrame, passes: int = 10, weight: Column | None = None) -> DataFrame:
     """Pull the ends of edges together; all pulls of a pass see the same positions, so no order matters.
 
-    edges: a, b, kind. An edge under length 1 pulls nothing and no pull is over 5.
+    edges: a, b, kind. An edge under length 1 pulls nothing and no pull is over 5. Every pass is stored.
     """
     w = weight if weight is not None else F.coalesce(F.create_map(*[F.lit(x) for kv in EDGE_WEIGHTS.items() for x in kv])[F.col("kind")], F.lit(0.1))
     both = edges.select("a", "b", (w * 0.02).alias("w")).union(edges.select(F.col("b"), F.col("a"), (w * 0.02).alias("w")))
@@ -128,12 +158,14 @@ def nudge(positions: DataFrame, edges: DataFrame, passes: int = 10, weight: Colu
         d = F.hypot(F.col("bx") - F.col("ax"), F.col("bz") - F.col("az"))
         part = both.join(p, "a").join(q, "b").withColumn("d", d).where("d >= 1").withColumn("pull", F.least(F.col("w") * F.col("d"), F.lit(5.0)) / F.col("d"))
         moves = part.groupBy(F.col("a").alias("id")).agg(F.sum((F.col("bx") - F.col("ax")) * F.col("pull")).alias("mx"), F.sum((F.col("bz") - F.col("az")) * F.col("pull")).alias("mz"))
-        now = now.join(moves, "id", "left").select(*[(F.col(c) + F.coalesce(f"m{c}", F.lit(0.0))).alias(c) if c in ("x", "z") else c for c in now.columns])
+        now = stored(now.join(moves, "id", "left").select(*[(F.col(c) + F.coalesce(f"m{c}", F.lit(0.0))).alias(c) if c in ("x", "z") else c for c in now.columns]))
     return now
 
 
 def separate(discs: DataFrame, passes: int = 500, spacing: float = SPACING) -> DataFrame:
-    """Push overlapping discs apart until none overlap: a sequential rule over some hundreds of discs, in one task."""
+    """Push overlapping discs apart until none overlap, or `passes` are over: a sequential rule over some hundreds
+    of discs, in one task. `overlaps` tells what is left.
+    """
 
     def push(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = list(parts)
@@ -178,11 +210,28 @@ def reduced(vectors: DataFrame, k: int = 3, vector: str = "vector") -> DataFrame
 
 
 def fallback_positions(clusters: DataFrame, order: Column, spacing: float = 25.0) -> DataFrame:
-    """Grid places for clusters without a position, numbered among themselves; others keep theirs."""
+    """Grid places for clusters without a position, numbered among themselves in a total order; others keep theirs."""
     from ..functions.geometry import grid_place
 
-    n = F.count("*").over(Window.partitionBy())
-    nth = F.row_number().over(Window.partitionBy(F.col("x").isNull()).orderBy(order)) - 1
-    rows = clusters.withColumn("__n", n).withColumn("__i", nth)
+    bare = F.col("x").isNull() | F.col("z").isNull()
+    total = F.broadcast(clusters.agg(F.count("*").alias("__n")))  # one row
     gx, gz = grid_place(F.col("__i"), F.col("__n"), spacing)
-    return rows.withColumn("z", F.coalesce("z", gz)).withColumn("x", F.coalesce("x", gx)).drop("__n", "__i")
+    placed = numbered(clusters.where(bare), order, name="__i").crossJoin(total).withColumn("z", F.coalesce("z", gz)).withColumn("x", F.coalesce("x", gx))
+    return clusters.where(~bare).unionByName(placed.select(*clusters.columns))
+
+
+def attach_positions(clusters: DataFrame, layout: DataFrame, key: str = "cluster") -> DataFrame:
+    """Clusters with `position` (x, z, height) from a layout table by root id; null where it has none."""
+    place = F.struct("x", "z", F.col("island_height").alias("height"))
+    return clusters.join(layout.select(F.col("root_id").alias(key), place.alias("position")), key, "left")
+
+
+def vector_counts(words: DataFrame, vectors: DataFrame, group: str = "cluster") -> DataFrame:
+    """One row: words with and without a vector, groups with any, and groups without one."""
+    found = words.select("id", group).join(word_vectors(words, vectors).select("id", F.lit(True).alias("hit")), "id", "left")
+    hit = F.coalesce("hit", F.lit(False))
+    groups = found.groupBy(group).agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"))
+    return groups.agg(
+        F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("misses"), F.lit(0)).alias("misses"),
+        F.count_if(F.col("hits") > 0).alias("placed"), F.count_if(F.col("hits") == 0).alias("missing"),
+    )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 _LOCAL = (1 << 33) - 1
 
 
@@ -13,9 +14,10 @@ def numbered(rows: DataFrame, *order: Column, name: str = "n") -> DataFrame:
     """Adds 0, 1, 2, ... in the given order, which should be total.
 
     Rows are dealt out by ranges of the order and sorted within; a range's numbers begin after all rows of
-    the ranges before it, a table of one row a range. Ranges are kept, as both parts must see the same ones.
+    the ranges before it, a table of one row a range. Ranges are stored, as both parts must see the same ones
+    even if an executor is lost in between.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
     part = F.shiftright("__id", 33)
     sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__size"))
     before = sizes.select("__part", (F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).alias("__before"))
