@@ -41,7 +41,7 @@ def read_templates(spark: SparkSession, paths: list[str]) -> DataFrame:
     parts = []
     for i, p in enumerate(paths):
         rows = spark.read.schema(f"word string, etymology_templates {schemas.TEMPLATES}").option("mode", "FAILFAST").json(p)
-        parts.append(rows.withColumn("ord", F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line"))))
+        parts.append(rows.withColumn("ord", F.struct(F.lit(i).alias("file"), F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -67,7 +67,7 @@ def read_vectors(spark: SparkSession, path: str, limit: int | None = 200_000) ->
     """word, vector from the text form of word vectors: a header line, then a word and its numbers."""
     lines = text_lines(spark, path)
     cols = F.split(F.rtrim("value"), " ")
-    rows = lines.where(F.size(cols) > 2).select("ord", cols[0].alias("word"), F.transform(F.slice(cols, 2, 100_000), lambda x: x.cast("float")).alias("vector"))
+    rows = lines.where(F.size(cols) > 2).select("ord", cols[0].alias("word"), F.transform(F.slice(cols, F.lit(2), F.size(cols) - 1), lambda x: x.cast("float")).alias("vector"))
     return rows if limit is None else rows.orderBy("ord").limit(limit)
 
 
@@ -75,10 +75,21 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.ENTRIES).parquet(path)
 
 
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """Clusters of a nested export, one row each, in order."""
-    doc = spark.read.option("multiLine", True).json(path)
-    return doc.select(F.posexplode("clusters").alias("ord", "c")).select("ord", "c.*")
+def read_document(spark: SparkSession, path: str, cluster: str) -> DataFrame:
+    """Clusters of an export that `export_document` has written: ord and the fields of `cluster`, a struct type."""
+    rows = spark.read.schema(f"ord long, cluster {cluster}").json(path)
+    return rows.where("ord is not null").select("ord", "cluster.*")
+
+
+def read_head(spark: SparkSession, path: str, stats: str, layout: str = "struct<algorithm:string>") -> DataFrame:
+    """The head of such an export: version, stats and layout (null without one)."""
+    return spark.read.schema(f"version int, stats {stats}, layout {layout}").json(path).where("version is not null")
+
+
+def read_whole_document(spark: SparkSession, path: str, cluster: str) -> DataFrame:
+    """Clusters of a document that is one JSON object, with their place in it."""
+    doc = spark.read.schema(f"version int, clusters array<{cluster}>").option("multiLine", True).json(path)
+    return doc.select(F.posexplode("clusters").alias("ord", "c")).select(F.col("ord").cast("long").alias("ord"), "c.*")
 
 
 def read_responses(spark: SparkSession, path: str, schema: str) -> DataFrame:

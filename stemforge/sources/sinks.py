@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def rebuild(rows: DataFrame, path: str) -> None:
-    """Replace a table as a whole."""
-    rows.write.mode("overwrite").parquet(path)
+    """Replace a table as a whole, also by rows that are read from it.
+
+    The new table is written beside the old one and takes its place when it is complete.
+    """
+    sc = rows.sparkSession.sparkContext
+    new, old = (sc._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path.rstrip('/')}.new", path))
+    fs = old.getFileSystem(sc._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").parquet(new.toString())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{path} could not be replaced; the new table is in {new.toString()}")
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -20,11 +29,22 @@ def dry_run(rows: DataFrame) -> None:
     rows.write.format("noop").mode("overwrite").save()
 
 
-def put(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Key-value table after an upsert: the new value of a key replaces the old one."""
-    return old.join(new, "key", "left_anti").unionByName(new.groupBy("key").agg(F.max("value").alias("value")))
+def put(old: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
+    """Key-value table after an upsert: of a key's new values the last one in `order` replaces the old one."""
+    last = new.groupBy("key").agg(F.max_by("value", order).alias("value"))
+    return old.join(new, "key", "left_anti").select("key", "value").unionByName(last)
+
 
+def export_document(clusters: DataFrame, stats: DataFrame, path: str, layout: dict[str, str | int] | None = None, version: int = 3) -> None:
+    """A nested document as compact JSON lines: a head (version, stats, layout if given), then a line a cluster.
 
-def export_clusters(clusters: DataFrame, path: str, version: int = 3) -> None:
-    """Compact JSON lines, one a cluster, each with the version; a reader joins them by `ord`."""
-    clusters.select(F.to_json(F.struct(F.lit(version).alias("version"), F.struct("*").alias("cluster"))).alias("value")).write.mode("overwrite").text(path)
+    clusters: ord and the fields of a cluster. stats: one row. Lines are written side by side by many tasks;
+    `read_document` puts them in order again.
+    """
+    fields = [c for c in clusters.columns if c != "ord"]
+    parts = [F.lit(version).alias("version"), F.struct(*stats.columns).alias("stats")]
+    if layout is not None:
+        parts.append(F.struct(*[F.lit(v).alias(k) for k, v in layout.items()]).alias("layout"))
+    head = stats.select(F.to_json(F.struct(*parts)).alias("value"))
+    lines = clusters.select(F.to_json(F.struct("ord", F.struct(*fields).alias("cluster"))).alias("value"))
+    head.unionByName(lines).write.mode("overwrite").text(path)
