@@ -29,9 +29,25 @@ def json_length(text: Column) -> Column:
 
 
 def distinct_by(arr: Column, key: Callable[[Column], Column]) -> Column:
-    """Items whose key has not stood before; order is kept."""
-    keys = F.transform(arr, key)
-    return F.filter(arr, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    """Items whose key has not stood before; order is kept, and items without a key go.
+
+    Keys are sorted with their places, so the cost is that of a sort. One-item arrays bind what is computed
+    once, as a lambda would compute it again for each item.
+    """
+
+    def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), then), F.lit(0))
+
+    def of(items: Column) -> Column:
+        order = F.array_sort(F.filter(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))), lambda p: p["k"].isNotNull()))
+
+        def firsts(s: Column) -> Column:
+            fresh = F.filter(s, lambda p, j: (j == 0) | (F.get(s, j - 1)["k"] != p["k"]))
+            return F.transform(F.array_sort(F.transform(fresh, lambda p: p["i"])), lambda i: F.get(items, i))
+
+        return bound(order, firsts)
+
+    return bound(arr, of)
 
 
 def distinct_ci(arr: Column) -> Column:
@@ -77,14 +93,44 @@ def all_form_of(senses: Column) -> Column:
 # --- landed service responses ---------------------------------------------------------------------
 
 
+#: Landed corpus hits; the items of a context are JSON text: a word, or a list whose second item is one.
+HITS = "array<struct<ctx_:array<string>,meta_:struct<date_:string,newspaper:string,title:string,textClass:string,author:string,bibl:string>>>"
+#: Hits whose context is a list of text before, marked tokens and text after, as JSON text.
+MARKED_HITS = HITS.replace("ctx_:array<string>", "ctx_:string")
+_TOKENS = "array<struct<w:string,ws:string>>"
+
+
+def context_words(items: Column) -> Column:
+    """Words of a context whose items are words or lists with the word in second place; other items go."""
+    word = lambda t: F.when(F.left(F.trim(t), F.lit(1)) == "[", F.get_json_object(t, "$[1]")).when(F.left(F.trim(t), F.lit(1)) != "{", t)
+    return F.filter(F.transform(items, word), lambda w: w.isNotNull())
+
+
+def corpus_response(hits: Column, corpus: Column, total: Column) -> Column:
+    """(examples, stats) of marked hits: sentences with all that is told of them, and how many there are."""
+
+    def example(h: Column) -> Column:
+        m = h["meta_"]
+        text = lambda c: F.coalesce(m[c], F.lit(""))
+        tokens = F.from_json(F.get_json_object(h["ctx_"], "$[1]"), _TOKENS)
+        return F.struct(
+            F.coalesce(spaced_sentence(tokens), F.lit("")).alias("sentence"), text("title").alias("source"), text("date_").alias("date"), text("author").alias("author"),
+            text("newspaper").alias("newspaper"), text("bibl").alias("bibl"), text("textClass").alias("textclass"),
+        )
+
+    examples = F.filter(F.transform(hits, example), lambda x: x["sentence"] != "")
+    stats = F.struct(F.coalesce(corpus, F.lit("")).alias("corpus"), total.alias("total_occurrences"), F.size(examples).alias("examples_returned"))
+    return F.struct(examples.alias("examples"), stats.alias("stats"))
+
+
 def corpus_examples(hits: Column, limit: int = 8) -> Column:
-    """Sentences of the first hits; a hit's source is its newspaper, else its title. Empty ones go."""
+    """Sentences of the first hits (of type HITS); a hit's source is its newspaper, else its title. Empty ones go."""
 
     def example(h: Column) -> Column:
-        meta = h["meta"]
-        sentence = tidy_punctuation(F.trim(F.array_join(h["tokens"], " ")))
+        meta = h["meta_"]
+        sentence = tidy_punctuation(F.trim(F.array_join(context_words(h["ctx_"]), " ")))
         source = F.coalesce(F.nullif(meta["newspaper"], F.lit("")), F.nullif(meta["title"], F.lit("")))
-        return F.struct(sentence.alias("sentence"), source.alias("source"), date_prefix(meta["date"]).alias("date"), meta["textClass"].alias("genre"))
+        return F.struct(sentence.alias("sentence"), source.alias("source"), F.nullif(date_prefix(meta["date_"]), F.lit("")).alias("date"), F.nullif(meta["textClass"], F.lit("")).alias("genre"))
 
     return F.filter(F.transform(F.slice(hits, 1, limit), example), lambda x: x["sentence"] != "")
 

@@ -9,6 +9,7 @@ from .arrays import distinct_by, first
 from .text import WORD_CHARS, clean_form, stage_key
 from .vocab import MODERN, MODERN_NAME, NO_FORMS, STAGE_NAMES, stage_depth, stage_name
 
+# Template names of inheritance and of borrowing.
 INHERITED = ["inh", "inh+", "der"]
 BORROWED = ["bor", "bor+", "lbor", "slbor"]
 

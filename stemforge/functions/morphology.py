@@ -27,6 +27,7 @@ SUFFIXES = {
         "en": "infinitive", "n": "infinitive",
     },
 }
+# The agent suffix with its function, and words that keep what looks like a suffix.
 AGENT = ("er", "→ NOUN (m, agent/tool)")
 KEEP_ER = [
     "wasser", "fenster", "butter", "winter", "sommer", "wetter", "zimmer", "hammer", "muster", "alter", "kloster",

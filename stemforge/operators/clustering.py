@@ -121,15 +121,22 @@ def clusters(words: DataFrame, min_size: int = 1) -> DataFrame:
 
 
 def documents(found: DataFrame) -> DataFrame:
-    """Nested cluster documents: root, words with urls, links, compounds."""
+    """Nested cluster documents: root, words with urls, links, compounds and, where attached, the position.
+
+    `components` of a cluster, if there, maps its compounds to the words of their parts.
+    """
+    more = ["position"] if "position" in found.columns else []
     words = F.transform("words", lambda w: F.struct(
         w["id"].alias("id"), w["lemma"].alias("lemma"), w["pos"].alias("pos"), w["cefr_level"].alias("cefr_level"),
         F.when(F.size(w["segments"]) > 1, w["segments"]).alias("segments"),
         F.create_map(F.lit("wiktionary"), source_url("https://de.wiktionary.org/wiki/", w["lemma"]), F.lit("dwds"), source_url("https://www.dwds.de/wb/", w["lemma"])).alias("source_urls"),
     ))
-    compounds = F.transform(F.filter("words", lambda w: w["parts"].isNotNull()), lambda w: F.struct(w["id"].alias("compound_wort_id"), F.array_join(w["parts"], "·").alias("split_display")))
+    parts_of = F.col("components") if "components" in found.columns else F.lit(None).cast("map<string,array<string>>")
+    compounds = F.transform(F.filter("words", lambda w: w["parts"].isNotNull()), lambda w: F.struct(
+        w["id"].alias("compound_wort_id"), F.coalesce(parts_of[w["id"]], F.array().cast("array<string>")).alias("component_wort_ids"), F.array_join(w["parts"], "·").alias("split_display"),
+    ))
     root = F.struct(F.col("cluster").alias("id"), "form", F.col("chain").alias("etymology_chain"), "cognates", "borrowing_info", source_url("https://www.dwds.de/wb/etymwb/", F.col("basic_word")).alias("dwds_etymology"))
-    return found.select("root_key", root.alias("wurzel"), words.alias("words"), F.transform("words", lambda w: F.struct(F.col("cluster").alias("wurzel_id"), w["id"].alias("wort_id"))).alias("links"), compounds.alias("compounds"))
+    return found.select("root_key", root.alias("wurzel"), words.alias("words"), F.transform("words", lambda w: F.struct(F.col("cluster").alias("wurzel_id"), w["id"].alias("wort_id"))).alias("links"), compounds.alias("compounds"), *more)
 
 
 def cluster_stats(found: DataFrame) -> DataFrame:
@@ -159,3 +166,21 @@ def size_at_least(found: DataFrame, k: int, arr: str = "words") -> DataFrame:
 def word_of(arr: Column, value: Column, field: str = "compound_wort_id") -> Column:
     """First compound of a cluster that names the word."""
     return F.try_element_at(F.filter(arr, lambda c: c[field] == value), F.lit(1))
+
+
+def instance_lists(rows: DataFrame, kind: str, key: str, default: str = "default", size: int = 10_000) -> DataFrame:
+    """(kind, batch, keys): keys of each kind in order, in lists of at most `size`; a missing kind is the default one.
+
+    A kind may hold most of all rows, so its rows are numbered over ranges and no list takes them all.
+    """
+    typed = rows.select(F.coalesce(kind, F.lit(default)).alias("kind"), F.col(key).alias("key"))
+    placed = numbered(typed, F.col("kind"), F.col("key"))
+    first = placed.groupBy("kind").agg(F.min("n").alias("first"))  # one row a kind
+    batch = F.floor((F.col("n") - F.col("first")) / size)
+    lists = placed.join(first, "kind").groupBy("kind", batch.alias("batch")).agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("items"))
+    return lists.select("kind", "batch", F.transform("items", lambda x: x["key"]).alias("keys"))
+
+
+def capped(found: DataFrame, k: int, order: str = "first_ord") -> DataFrame:
+    """The first k clusters, largest first as they are numbered."""
+    return found.orderBy(F.desc("size"), order).limit(k)

@@ -11,6 +11,8 @@ from ..functions.arrays import merge_maps
 def first_wins(rows: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """One row a key, the first in `order`; a partial aggregate, so equal keys shrink before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
+    if rest == [order]:
+        return rows.groupBy(*keys).agg(F.min(order).alias(order))
     best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("r"))
     return best.select(*keys, *[F.col("r")[c].alias(c) for c in rest])
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import all_form_of, distinct_ci, first, first_given, flat_field, or_empty, usage_labels, words_of, zip_short
+from .. import schemas
+from ..functions.arrays import all_form_of, distinct_by, distinct_ci, first, first_given, flat_field, or_empty, usage_labels, words_of, zip_short
 from ..functions.text import entry_key, gender_keyword, html_fragment, listed, pos_keyword, scalar, squash_space, token_ok
 from ..functions.vocab import REGISTER_TAGS, base_upos, record_upos
 
@@ -19,6 +20,7 @@ def template_gender(heads: Column) -> Column:
 
 
 def template_auxiliary(heads: Column) -> Column:
+    # Fixed value: what a heading says of it.
     pattern = r"(?i)\bauxiliary\s+(haben|sein)\b"
 
     def one(h: Column) -> Column:
@@ -29,6 +31,7 @@ def template_auxiliary(heads: Column) -> Column:
 
 
 def template_verb_class(heads: Column) -> Column:
+    # Fixed value: what a heading says of it.
     pattern = r"(?i)\bclass\s+(\d+)\s+(strong|weak|mixed)\b"
 
     def one(h: Column) -> Column:
@@ -153,3 +156,35 @@ def base_entries(articles: DataFrame) -> DataFrame:
     )
     folded = folded.where(F.size("t") > 0).withColumn("upos", base_upos(F.coalesce("pos", F.lit(""))))
     return folded.select(entry_key(F.col("word"), F.col("upos")).alias("id"), F.col("word").alias("lemma"), F.col("upos").alias("pos"), "gender", F.slice(distinct_ci(F.col("t")), 1, 8).alias("translations"), F.slice(F.array_distinct("e"), 1, 5).alias("examples"), F.col("n").alias("senses"))
+
+
+def response_entries(lines: DataFrame) -> DataFrame:
+    """Raw records (ord, value: JSON text) in the form of a service's answer: senses, forms, sounds as they are.
+
+    A synonym may be a word or an object that has one. Lines that are no object go.
+    """
+    r = F.from_json("value", schemas.RESPONSE)
+
+    def sense(s: Column) -> Column:
+        word = lambda v: F.when(F.left(F.trim(v), F.lit(1)) == "{", F.get_json_object(v, "$.word")).otherwise(v)
+        lists = {c: F.coalesce(s[c], F.array().cast(t)) for c, t in (("glosses", "array<string>"), ("raw_glosses", "array<string>"), ("tags", "array<string>"), ("links", "array<array<string>>"), ("synonyms", "array<string>"))}
+        lists["synonyms"] = F.transform(lists["synonyms"], word)
+        return F.struct(*[v.alias(k) for k, v in lists.items()])
+
+    rows = lines.where(F.left(F.trim("value"), F.lit(1)) == "{").select("ord", r.alias("r")).where("r is not null")
+    none = lambda c, t: F.coalesce(F.col(f"r.{c}"), F.array().cast(t))
+    return rows.select(
+        "ord", F.coalesce("r.word", F.lit("")).alias("word"), F.coalesce("r.pos", F.lit("")).alias("pos"), "r.etymology_number", F.transform(F.coalesce("r.senses", F.array()), sense).alias("senses"),
+        none("forms", "array<struct<form:string,tags:array<string>>>").alias("forms"), "r.etymology_text", none("sounds", "array<struct<ipa:string,ogg_url:string,mp3_url:string>>").alias("sounds"),
+    )
+
+
+def word_response(entries: DataFrame) -> DataFrame:
+    """One answer a word: all senses in order, forms once each, etymologies joined by "; ", null without one."""
+    parts = F.array_sort(F.collect_list(F.struct("ord", "senses", "forms", "etymology_text")))
+    folded = entries.groupBy("word").agg(parts.alias("p"))
+    texts = F.filter(F.transform("p", lambda x: x["etymology_text"]), lambda t: t.isNotNull() & (t != ""))
+    return folded.select(
+        "word", F.flatten(F.transform("p", lambda x: x["senses"])).alias("senses"),
+        distinct_by(F.flatten(F.transform("p", lambda x: x["forms"])), lambda f: f["form"]).alias("forms"), F.nullif(F.array_join(texts, "; "), F.lit("")).alias("etymology"),
+    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import match_score, prefix_like
@@ -85,11 +87,23 @@ def coverage(rows: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return got.select("*", *[F.floor(100 * F.col(n) / F.greatest(F.lit(1), F.col("total"))).cast("long").alias(f"{n}_pct") for n in conditions])
 
 
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters with diacritics, and the letters they stand on, by the decomposition of Unicode."""
+    marked, plain = [], []
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]):
+        parts = [x for x in unicodedata.normalize("NFD", c.lower()) if not unicodedata.combining(x)]
+        if len(parts) == 1 and parts[0] != c and c == c.lower():
+            marked.append(c)
+            plain.append(parts[0])
+    return "".join(marked), "".join(plain)
+
+
+ACCENTS = _plain_letters()
 
 
 def fold_accents(s: Column) -> Column:
-    return F.translate(F.lower(s), *ACCENTS)
+    """Lower case without diacritics: composed letters by table, combining marks dropped."""
+    return F.regexp_replace(F.translate(F.lower(s), *ACCENTS), r"\p{Mn}", "")
 
 
 def token_index(rows: DataFrame, key: str, field: str) -> DataFrame:
@@ -98,6 +112,29 @@ def token_index(rows: DataFrame, key: str, field: str) -> DataFrame:
     return tokens.groupBy("token", key).agg(F.count("*").alias("n")).withColumn("field", F.lit(field))
 
 
+def index_after(index: DataFrame, touched: DataFrame, rows: DataFrame, key: str, field: str) -> DataFrame:
+    """The index after inserts, updates and deletes: entries of touched keys go, those of `rows` come in.
+
+    touched: the keys that were inserted, updated or deleted. rows: their present rows, none for deleted ones.
+    """
+    kept = index.join(touched.select(key).distinct(), key, "left_anti").select(*index.columns)
+    return kept.unionByName(token_index(rows, key, field).select(*index.columns))
+
+
+def largest(rows: DataFrame, size: str, k: int, *ties: str) -> DataFrame:
+    """Spot check: the k rows of greatest size, ties in the order of the given columns."""
+    return rows.orderBy(F.desc(size), *ties).limit(k)
+
+
+def progress(rows: DataFrame, name: str, conditions: dict[str, Column] | None = None) -> tuple[DataFrame, Observation]:
+    """`rows`, and counts that fill in as they are processed: all of them, and those that meet each condition.
+
+    Wherever `rows` are written in full, `observation.get` then has the counts; nothing is read twice.
+    """
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in (conditions or {}).items()]), seen
+
+
 def token_search(index: DataFrame, tokens: list[str], key: str) -> DataFrame:
     """Keys that hold every token."""
     wanted = index.where(F.col("token").isin(tokens))

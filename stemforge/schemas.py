@@ -18,6 +18,12 @@ RECORD = (
     f"etymology_templates {TEMPLATES}, etymology_text string, hyphenation string, wikidata array<string>, wikipedia array<string>, "
     "literal_meaning string, derived array<struct<word:string>>, related array<struct<word:string>>, proverbs array<struct<word:string>>"
 )
+#: A record as a service answers with it; a synonym that is an object is kept as JSON text.
+RESPONSE = (
+    "word string, pos string, etymology_number int, "
+    "senses array<struct<glosses:array<string>,raw_glosses:array<string>,tags:array<string>,links:array<array<string>>,synonyms:array<string>>>, "
+    "forms array<struct<form:string,tags:array<string>>>, etymology_text string, sounds array<struct<ipa:string,ogg_url:string,mp3_url:string>>"
+)
 ENTRIES = (
     "id string, lemma string, pos string, gender string, ipa string, audio_url string, syllabification string, etymology string, "
     "translations array<string>, definitions_de array<struct<nr:string,text:string,labels:array<string>>>, "
