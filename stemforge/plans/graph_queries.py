@@ -66,18 +66,6 @@ def shared_ancestor(spark, sf_dir):
     return graph.shared_target(Tables(spark, sf_dir).nation, "n_nationkey", "n_regionkey")
 
 
-@query("""
-    WITH w AS (SELECT string_split(p_name, ' ')[2] AS word, max(p_partkey) AS part_id FROM part GROUP BY 1), c AS (SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS part, unnest([0, 1]) AS position FROM part)
-    SELECT id AS compound, CAST(position AS BIGINT) AS position, part_id AS component FROM c JOIN w ON w.word = c.part
-""")
-def compound_edges(spark, sf_dir):
-    """Words of a part's name that are the second word of some part; the last such part counts."""
-    part = Tables(spark, sf_dir).part
-    words = part.groupBy(F.split("p_name", " ")[1].alias("part")).agg(F.max("p_partkey").alias("component"))
-    rows = part.select(F.col("p_partkey").alias("compound"), F.posexplode(F.split("p_name", " ")).alias("position", "part"))
-    return rows.join(words, "part").select("compound", F.col("position").cast("long").alias("position"), "component")
-
-
 @query("""
     WITH w AS (SELECT string_split(p_name, ' ')[2] AS word, max(p_partkey) AS k FROM part GROUP BY 1), i AS (SELECT p_partkey AS word_id, p_brand AS island FROM part)
     SELECT p_partkey AS compound, k AS component, a.island AS from_island, b.island AS to_island FROM part JOIN w ON w.word = string_split(p_name, ' ')[2] JOIN i a ON a.word_id = p_partkey JOIN i b ON b.word_id = k WHERE a.island <> b.island

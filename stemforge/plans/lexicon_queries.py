@@ -132,33 +132,6 @@ def root_text_ladder(spark, sf_dir):
     return rows.select("id", F.when(root.isNotNull(), text.stage_key(root["lang"], root["form"])).alias("root_key"))
 
 
-@query("""
-    WITH c AS (SELECT c_custkey, arg_min(o_orderkey, o_orderkey) AS k, list(o_orderkey ORDER BY o_orderkey) AS os FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
-    SELECT c.c_custkey AS id, len(os) AS size, os[1] AS first_word, os[len(os)] AS last_word FROM c
-""")
-def cluster_doc(spark, sf_dir):
-    """Nested documents of customers and their orders, flattened again for comparison."""
-    t = Tables(spark, sf_dir)
-    docs = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_custkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("words"))
-    return clustering.size_at_least(docs, 1).select("id", F.size("words").cast("long").alias("size"), F.element_at("words", 1)["o_orderkey"].alias("first_word"), F.element_at("words", -1)["o_orderkey"].alias("last_word"))
-
-
-@query("SELECT o_custkey AS id, arg_min(o_orderkey, row(o_orderpriority, o_orderkey)) AS basic FROM orders GROUP BY o_custkey")
-def basic_word(spark, sf_dir):
-    return Tables(spark, sf_dir).orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min_by("o_orderkey", F.struct("o_orderpriority", "o_orderkey")).alias("basic"))
-
-
-@query("""
-    WITH n AS (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey) SELECT o_custkey AS id, arg_min(o_orderkey, row(-coalesce(lines, 0), o_orderkey)) AS richest FROM orders LEFT JOIN n ON l_orderkey = o_orderkey GROUP BY o_custkey
-""")
-def richest_chain(spark, sf_dir):
-    """Of each customer the order with most lines, the first of equal ones."""
-    t = Tables(spark, sf_dir)
-    n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"))
-    rows = t.orders.join(n, "o_orderkey", "left")
-    return rows.groupBy(F.col("o_custkey").alias("id")).agg(F.min_by("o_orderkey", F.struct(-F.coalesce("lines", F.lit(0)), "o_orderkey")).alias("richest"))
-
-
 @query(f"""
     WITH {_TOKENS} SELECT lemma, concat('https://www.dwds.de/wb/', replace(url_encode(lemma), '%2F', '/')) AS url FROM lex
 """)

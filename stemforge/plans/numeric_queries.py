@@ -162,7 +162,7 @@ def pca_layout(spark, sf_dir):
 
 @query()
 def refined_layout(spark, sf_dir):
-    """Nudge along edges, separate, fit into the world."""
+    """Nudge along edges as often as the operator does, separate, fit into the world."""
     p = _positions(Tables(spark, sf_dir)).withColumn("radius", F.lit(3.0))
     edges = p.select(F.col("id").alias("a")).join(p.select(F.col("id").alias("b")), F.col("a") < F.col("b")).withColumn("kind", F.lit("compound"))
-    return layout.world_fit(layout.separate(layout.nudge(p, edges, passes=2)))
+    return layout.world_fit(layout.separate(layout.nudge(p, edges)))

@@ -103,13 +103,13 @@ def point_lookup_fallback(spark, sf_dir):
 
 @query("""
     WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}]+')) AS form FROM documents WHERE text IS NOT NULL),
-         first AS (SELECT form, min(doc_id) AS doc_id FROM tokens GROUP BY form)
-    SELECT form, lower(form) AS entry_id, doc_id FROM first WHERE form <> lower(form) AND lower(form) IN (SELECT form FROM first)
+         first AS MATERIALIZED (SELECT form, min(doc_id) AS doc_id FROM tokens GROUP BY form), capital AS (SELECT form, lower(form) AS entry_id, doc_id FROM first WHERE form <> lower(form))
+    SELECT form, entry_id, doc_id FROM capital SEMI JOIN (SELECT form AS entry_id FROM first) USING (entry_id)
 """)
 def forms_index(spark, sf_dir):
     """Capitalised tokens as forms of the lower-case token, the first document of each form."""
     tokens = Tables(spark, sf_dir).documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"))).alias("form"))
-    first = merge.first_wins(tokens.withColumn("ord", F.col("doc_id")), ["form"]).select("form", "doc_id")
+    first = merge.first_wins(tokens, ["form"], "doc_id")
     forms = first.where(F.col("form") != F.lower("form")).withColumn("entry_id", F.lower("form"))
     return forms.join(first.select(F.col("form").alias("entry_id")), "entry_id", "left_semi").select("form", "entry_id", "doc_id")
 
@@ -218,9 +218,8 @@ def gloss_fallback(spark, sf_dir):
 """)
 def ordered_dedup(spark, sf_dir):
     """Tokens of each text in order, the first of those that differ by case only."""
-    rows = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "token"))
-    first = rows.groupBy("doc_id", F.lower("token").alias("low")).agg(F.min_by("token", "i").alias("token"), F.min("i").alias("i"))
-    return first.select("doc_id", "token", F.row_number().over(Window.partitionBy("doc_id").orderBy("i")).cast("long").alias("rank"))
+    tokens = arrays.distinct_ci(F.split("text", " "))
+    return Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(tokens).alias("i", "token")).select("doc_id", "token", (F.col("i") + 1).cast("long").alias("rank"))
 
 
 def _ladder_sql(column: str, rules, default: str) -> str:
