@@ -8,7 +8,7 @@ prefix touches against the candidates that can still have l matches. A pair need
 
 Links only matter by the components they form, and copies of one shingle set are one node. Each round
 takes the posting lists whose nodes are not all in one component yet and lets a list's leader, its node of
-the least hash that round, stand for it; each node is verified against the one leader that it shares most
+the least hash that round, stand for it; each node is verified against the few leaders that it shares most
 lists with. A round is linear in the lists. When a round links little, the pairs that are left, between a
 node outside the largest component of a list and any node of another component there, are enumerated by
 their multi-match prefixes, so a group of near copies never becomes all its pairs. A bitmap of each set, in
@@ -41,8 +41,9 @@ MAX_MATCHES = 8
 COMMON = 100_000
 #: A verification costs as much as reading so many postings.
 VERIFY_COST = 16
-#: Rounds of leaders go on while one of so many nodes that found a leader links.
-WORTH = 50
+#: Leaders that a node is held against in a round; rounds go on while one of so many of these pairs links.
+LEADERS = 4
+WORTH = 100
 _IS_WORD = ~IS_SPACE
 _CHECK = np.uint64(0x5851F42D4C957F2D)
 #: Sets remembered by a task, to give each out once.
@@ -311,14 +312,18 @@ def _sided(nodes: DataFrame, side: str) -> DataFrame:
 
 
 def _best_leaders(live: DataFrame, nodes: DataFrame, tried: DataFrame | None, salt: int, percent: int) -> DataFrame:
-    """(a, b): for each node the leader of another component that it shares most lists with, of those not tried."""
+    """(a, b, alike): for each node the leaders of other components that it shares most lists with, of those not tried.
+
+    Several, as a passage that many documents share gives a node lists that other documents lead.
+    """
     rank = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "component")
     leads = live.groupBy("token").agg(F.min(rank).alias("first"))
     pairs = live.join(leads, "token").where(F.col("component") != F.col("first.component")).groupBy(F.col("first.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     if tried is not None:
         pairs = pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(_sided(nodes, "a"), "a").join(_sided(nodes, "b"), "b").select("a", "b", _alike(percent).alias("alike"))
+    best = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), False), 1, LEADERS).alias("best"))  # as many as the node has lists, at most
+    best = best.select("b", F.explode("best.a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return best.join(_sided(nodes, "a"), "a").join(_sided(nodes, "b"), "b").select("a", "b", _alike(percent).alias("alike"))
 
 
 def _cross(lists: DataFrame, nodes: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
