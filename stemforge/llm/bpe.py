@@ -207,20 +207,12 @@ class SegmentTreeBPE:
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, bounds of each text's ids)."""
         odd = {i: np.array(self.encode_slow(t), np.int32) for i, t in enumerate(texts) if "<|" in t and self.split_special and self.split_special.search(t)}
-        plain = [normal(t) if i not in odd else "" for i, t in enumerate(texts)]
+        plain = [normal(t).encode("utf-8", "replace") if i not in odd else b"" for i, t in enumerate(texts)]
         size = np.fromiter(map(len, plain), np.int64, len(plain))
-        joined = "\n".join(plain)
-        raw = np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
-        if len(raw) == len(joined):  # one byte a character
-            start, end = pretokens(raw)
-            doc_start = np.concatenate([[0], np.cumsum(size + 1)])
-        else:
-            cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-            start, end = pretokens(cp)
-            wide = np.where((cp >= 0xD800) & (cp < 0xE000), 1, 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))
-            at = np.concatenate([[0], np.cumsum(wide)])  # first byte of each character
-            start, end = at[start], at[end]
-            doc_start = at[np.minimum(np.concatenate([[0], np.cumsum(size + 1)]), len(cp))]
+        joined = b"\n".join(plain)
+        raw = np.frombuffer(joined, np.uint8)
+        start, end = pretokens(raw, byte_classes(joined))
+        doc_start = np.concatenate([[0], np.cumsum(size + 1)])
         first, n_of = self._lookup(raw, start, end)
         ends = np.concatenate([[0], np.cumsum(n_of)])
         ids_of = np.repeat(first - ends[:-1], n_of)
@@ -315,8 +307,8 @@ def normal(text: str) -> str:
 _class_of = np.zeros(0, np.uint8)
 
 
-def char_class(cp: np.ndarray) -> np.ndarray:
-    """Class of each code point; the table is filled from the Unicode categories once a worker."""
+def char_classes() -> np.ndarray:
+    """Class of every code point, from the Unicode categories; made once a worker."""
     global _class_of
     if not len(_class_of):
         table = np.full(0x110000, 3, np.uint8)
@@ -326,28 +318,47 @@ def char_class(cp: np.ndarray) -> np.ndarray:
                 table[c] = 1 if k == "L" else 2
         table[SPACES] = 0
         _class_of = table
-    return _class_of[cp]
-
-
-def pretokens(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of all words of the pattern: letter runs, single numbers, runs of others, contractions."""
-    n = len(cp)
+    return _class_of
+
+
+def byte_classes(data: bytes) -> np.ndarray:
+    """Class of the character that each byte of UTF-8 text belongs to."""
+    of = char_classes()
+    c = np.frombuffer(data.translate(of[:256].tobytes()), np.uint8).copy()
+    raw = np.frombuffer(data, np.uint8)
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        last = len(raw) - 1
+        b = [raw[np.minimum(lead + k, last)].astype(np.int32) for k in range(4)]
+        tail = [x & 0x3F for x in b]
+        three, four = b[0] >= 0xE0, b[0] >= 0xF0
+        point = np.where(four, (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3], np.where(three, (b[0] & 15) << 12 | tail[1] << 6 | tail[2], (b[0] & 31) << 6 | tail[1]))
+        kind = of[np.minimum(point, 0x10FFFF)]
+        c[lead] = c[lead + 1] = kind
+        c[lead[three] + 2] = kind[three]
+        c[lead[four] + 3] = kind[four]
+    return c
+
+
+def pretokens(raw: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte bounds of all words of the pattern: letter runs, single numbers, runs of others, contractions."""
+    n = len(raw)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    c = char_class(cp)
     cut = np.ones(n, bool)
-    cut[1:] = (c[1:] != c[:-1]) | (c[1:] == 2)
+    np.not_equal(c[1:], c[:-1], out=cut[1:])
+    cut[1:] |= (c[1:] == 2) & ((raw[1:] & 0xC0) != 0x80)
     start = np.flatnonzero(cut)
     end = np.append(start[1:], n)
     keep = c[start] > 0
     start, end = start[keep], end[keep]
     # A lone apostrophe takes the first letters of the run that follows it.
-    ap = np.flatnonzero((cp[start] == 39) & (end - start == 1))
+    ap = np.flatnonzero((raw[start] == 39) & (end - start == 1))
     ap = ap[ap + 1 < len(start)]
     ap = ap[(start[ap + 1] == end[ap]) & (c[end[ap]] == 1)]
     if len(ap):
-        a = cp[end[ap]]
-        b = cp[np.minimum(end[ap] + 1, n - 1)]
+        a = raw[end[ap]]
+        b = raw[np.minimum(end[ap] + 1, n - 1)]
         long = end[ap + 1] - start[ap + 1] > 1
         take = np.where(np.isin(a, [ord(x) for x in "stmd"]), 1, 0)
         for x, y in ("re", "ve", "ll"):
