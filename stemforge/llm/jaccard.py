@@ -263,7 +263,8 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     A set may be there twice, from rows that repeat an id and a text: its links are then given twice.
     """
-    both = pairs.select("a", "b").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
+    # Leaders are on side a: many pairs of one leader meet its set as two numbers each, and go on dealt out by b.
+    both = pairs.select("a", "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,7 +323,7 @@ def _best_leaders(live: DataFrame, nodes: DataFrame, tried: DataFrame | None, sa
     if tried is not None:
         pairs = pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
     best = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), False), 1, LEADERS).alias("best"))  # as many as the node has lists, at most
-    best = best.select("b", F.explode("best.a").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    best = best.select(F.explode("best.a").alias("a"), "b")
     return best.join(_sided(nodes, "a"), "a").join(_sided(nodes, "b"), "b").select("a", "b", _alike(percent).alias("alike"))
 
 
@@ -404,7 +405,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             label = _relabelled(links, label)
         if linked * WORTH <= asked:
             break
-    cross = cut(_cross(lists, nodes, label, percent).join(tried, ["a", "b"], "left_anti"))
+    cross = cut(_cross(lists, nodes, label, percent).join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
     discard(lists)
     if not cross.isEmpty():
         label = _relabelled(links.unionByName(_verify(sets, cross, percent)), label)

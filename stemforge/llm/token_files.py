@@ -128,22 +128,22 @@ class _Lanes:
 
     def predict(self) -> None:
         """The named id, and the chance (of 4096) that it holds."""
-        self.e = self.table.take(self.at)
+        self.e = self.table[self.at]
         self.c = c = self.e & 3
         self.named = self.e >> 2
         self.guess = np.where(c[1] > 0, self.named[1], self.named[0])
         self.slots = self.slot + c * 2
         self.slots += self.guess == self.named[0]
-        self.odds = self.counters.take(self.slots)
+        self.odds = self.counters[self.slots]
         group = (self.guess >> 4) + self.base
-        odds = self.sums.take(group + 1)
-        odds -= self.sums.take(group)
+        odds = self.sums[group + 1]
+        odds -= self.sums[group]
         odds >>= 4
         self.x = np.empty((3, self.k), np.int32)
         self.x[:2] = _STRETCH.take(self.odds)
         self.x[2] = _STRETCH.take(odds)
         self.gate = self.gates + c[1]
-        self.w = self.weights.take(self.gate)
+        self.w = self.weights[self.gate]
         dot = np.add.reduce(self.x * self.w, axis=0, dtype=np.int32)
         dot >>= 16
         dot += 2047
@@ -218,8 +218,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         if len(miss):
             x = now[miss]
             group = (x >> 4) + s.base[miss]
-            begin = s.sums.take(group)
-            odds = (s.sums.take(group + 1) - begin).astype(np.int32)
+            begin = s.sums[group]
+            odds = (s.sums[group + 1] - begin).astype(np.int32)
             begin = (begin.astype(np.int32) << 4) + (x & 15) * odds
             unit = rest >> _U(_ID_BITS)
             sum_ = up + part
@@ -280,8 +280,8 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
             unit = rest >> _U(_ID_BITS)
             value = np.minimum(left // unit, _U((1 << _ID_BITS) - 1)).astype(np.int32)
             group = s.find(miss, value >> 4)
-            begin = s.sums.take(group)
-            odds = (s.sums.take(group + 1) - begin).astype(np.int32)
+            begin = s.sums[group]
+            odds = (s.sums[group + 1] - begin).astype(np.int32)
             begin = begin.astype(np.int32) << 4
             low4 = (value - begin) // odds
             now[miss] = ((group.astype(np.int32) & (_GROUPS - 1)) << 4) + low4
