@@ -46,12 +46,16 @@ LEADERS = 4
 WORTH = 100
 _IS_WORD = ~IS_SPACE
 _CHECK = np.uint64(0x5851F42D4C957F2D)
+#: Bytes of a long text that are cut into shingles at once.
+PIECE_BYTES = 4 << 20
 #: Sets remembered by a task, to give each out once.
 SEEN = 100_000
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE_WORDS, piece: int = PIECE_BYTES) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; under k words, the whole sequence is one shingle."""
+    if len(offs) == 2 and len(data) > piece:
+        return [_long_set(data, k, piece)]
     low = LOWER[data]
     start, end, doc = word_bounds(low, offs, _IS_WORD)
     words = word_keys(low, start, end)
@@ -60,15 +64,28 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE_WORDS) ->
     count = np.bincount(doc, minlength=n)
     bound = np.searchsorted(doc[at], np.arange(n + 1))
     first = np.cumsum(count) - count
-    out = []
-    for i in range(n):
-        if count[i] >= k:
-            out.append(np.unique(h[bound[i] : bound[i + 1]]))
-        elif count[i]:
-            out.append(rolling(words[first[i] : first[i] + count[i]], np.zeros(count[i], np.int64), int(count[i]))[1])
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    return [_set_of(words[first[i] : first[i] + count[i]], h[bound[i] : bound[i + 1]], k) for i in range(n)]
+
+
+def _set_of(words: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
+    if len(words) >= k or not len(words):
+        return np.unique(h)
+    return rolling(words, np.zeros(len(words), np.int64), len(words))[1]
+
+
+def _long_set(data: np.ndarray, k: int, piece: int) -> np.ndarray:
+    """The set of one long text, whose words are taken in pieces that end at white space."""
+    found, last, at, total = [np.zeros(0, np.uint64)], np.zeros(0, np.uint64), 0, 0
+    while at < len(data):
+        stop = at + piece
+        while stop < len(data) and not IS_SPACE[data[stop]]:
+            stop += 1
+        low = LOWER[data[at:stop]]
+        words = np.concatenate([last, word_keys(low, *word_bounds(low, np.array([0, len(low)]), _IS_WORD)[:2])])
+        found.append(np.unique(rolling(words, np.zeros(len(words), np.int64), k)[1]))
+        total += len(words) - len(last)
+        last, at = words[-(k - 1) :], stop
+    return np.unique(np.concatenate(found)) if total >= k else _set_of(last, last[:0], k)
 
 
 def node_of(s: np.ndarray, renamed: dict[tuple[int, int], int] | None = None) -> tuple[int, int]:

@@ -160,6 +160,15 @@ def test_ngram_jaccard(docs, rows, empty):
     assert jaccard.near_components(empty).count() == 0
 
 
+def test_long_texts_are_cut_into_shingles_in_pieces():
+    rng = random.Random(3)
+    for n, piece in ((400, 50), (3, 2), (4, 3), (5, 4), (6, 1), (0, 1)):
+        raw = np.frombuffer(("  " + words(rng, n) + " \n" + "é" * 40).encode() if n else b" \t ", np.uint8)
+        offs = np.array([0, len(raw)])
+        assert (jaccard.shingle_sets(raw, offs, piece=piece)[0] == jaccard.shingle_sets(raw, offs)[0]).all()
+        assert len(jaccard.shingle_sets(raw, offs, piece=piece)[0]) == len(shingles(raw.tobytes().decode()))
+
+
 def test_sets_of_one_number_are_told_apart(spark):
     base = spark.createDataFrame([(1, 7, 70), (2, 7, 71), (3, 8, 80), (4, None, None)], "doc_id long, node long, node_check long")
     renamed = jaccard._clashes(base)
