@@ -136,7 +136,9 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def test_ngram_jaccard(docs, rows, empty):
+@pytest.mark.parametrize("broadcast", [jaccard.BROADCAST_ROWS, 0])
+def test_ngram_jaccard(docs, rows, empty, broadcast, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", broadcast)
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -396,8 +398,9 @@ def test_range_coder_round_trips():
     assert len(coded[7]) < 150
 
 
-def test_lm_score(docs, rows, empty):
-    got = lm_score.score(docs).collect()
+@pytest.mark.parametrize("common", [lm_score.COMMON, 50, 1])
+def test_lm_score(docs, rows, empty, common):
+    got = lm_score.score(docs, common).collect()
     tok = [re.findall(SPACE, low(t)) + [None] for _, t in rows]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
     c = collections.Counter(x for v, h in zip(tok, held, strict=True) if not h for x in v)

@@ -33,9 +33,12 @@ def near_groups(texts):
     return [find(x) for x in range(len(texts))]
 
 
-@pytest.mark.parametrize("columns", [COLUMNS, None])
-def test_stages(spark, tmp_path, columns):
-    """Each stage against its definition, on what the stage before kept; with further columns of clashing names too."""
+@pytest.mark.parametrize(("columns", "broadcast"), [(COLUMNS, corpus_pipeline.BROADCAST_ROWS), (None, 0)])
+def test_stages(spark, tmp_path, columns, broadcast, monkeypatch):
+    """Each stage against its definition, on what the stage before kept; with further columns of clashing names too,
+    and with lists of dropped rows that are joined by a shuffle.
+    """
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", broadcast)
     rows = sample(7)
     rows = [(i, t, "de" if i is None or i % 2 else "en") for i, t in rows]
     docs = frame(spark, rows)
