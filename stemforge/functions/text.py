@@ -81,7 +81,7 @@ def german_pos(label: Column) -> Column:
 
 def german_gender(label: Column, genus: Column | None = None) -> Column:
     """Gender named after the first comma of the label; a separate genus field goes first."""
-    after = F.filter(F.transform(F.slice(F.split(label, ","), 2, 1000), lambda p: lookup(GERMAN_GENDER, F.trim(p))), lambda g: g.isNotNull())
+    after = F.filter(F.transform(F.slice(F.split(label, ","), F.lit(2), F.size(F.split(label, ","))), lambda p: lookup(GERMAN_GENDER, F.trim(p))), lambda g: g.isNotNull())
     found = F.try_element_at(after, F.lit(1))
     return found if genus is None else F.coalesce(lookup(GERMAN_GENDER, genus), found)
 

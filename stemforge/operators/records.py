@@ -46,7 +46,7 @@ def template_verb_class(heads: Column) -> Column:
     return first_given(F.transform(heads, one))
 
 
-def template_degree(heads: Column, name: str, pattern: str, args: list[str]) -> Column:
+def template_degree(heads: Column, pattern: str, args: list[str]) -> Column:
     def one(h: Column) -> Column:
         found = F.rtrim(F.regexp_extract(F.coalesce(h["expansion"], F.lit("")), pattern, 1), F.lit(",) "))
         return F.coalesce(F.nullif(found, F.lit("")), *[F.nullif(h["args"][a], F.lit("")) for a in args])
@@ -55,11 +55,11 @@ def template_degree(heads: Column, name: str, pattern: str, args: list[str]) ->
 
 
 def comparative(heads: Column) -> Column:
-    return template_degree(heads, "comparative", r"(?i)\bcomparative\s+(\S+)", ["comp", "comparative"])
+    return template_degree(heads, r"(?i)\bcomparative\s+(\S+)", ["comp", "comparative"])
 
 
 def superlative(heads: Column) -> Column:
-    return template_degree(heads, "superlative", r"(?i)\bsuperlative\s+((?:am\s+)?\S+)", ["sup", "superlative"])
+    return template_degree(heads, r"(?i)\bsuperlative\s+((?:am\s+)?\S+)", ["sup", "superlative"])
 
 
 def _prepared(records: DataFrame) -> DataFrame:
