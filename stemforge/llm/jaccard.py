@@ -43,7 +43,9 @@ COMMON = 100_000
 VERIFY_COST = 16
 #: Leaders that a node is held against in a round; rounds go on while one of so many of these pairs links.
 LEADERS = 4
-WORTH = 100
+WORTH = 1000
+#: Most nodes whose bitmaps are sent to the tasks, some 20 MB; more are joined.
+SIGNED_ROWS = 250_000
 _IS_WORD = ~IS_SPACE
 _CHECK = np.uint64(0x5851F42D4C957F2D)
 #: Bytes of a long text that are cut into shingles at once.
@@ -357,25 +359,34 @@ def _cross(lists: DataFrame, nodes: DataFrame, label: DataFrame | None, percent:
     parts = kept.groupBy("token", "component").agg(F.count("*").alias("n"))
     major = parts.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("several")).where("several > 1").drop("several")
     kept = cut(kept.join(major, "token"))
-    x = kept.where("component <> major").select("token", F.col("node").alias("a"), F.col("idx").alias("ai"), F.col("component").alias("ac"), F.col("l").alias("al")).join(_sided(nodes, "a"), "a")
-    y = kept.select("token", F.col("node").alias("b"), F.col("idx").alias("bi"), F.col("component").alias("bc"), F.col("l").alias("bl"), "major").join(_sided(nodes, "b"), "b")
-    # The first l shared shingles of a pair that links leave room for the overlap that it needs.
-    room = F.least("al", "bl") + F.least(F.col("a_size") - F.col("ai"), F.col("b_size") - F.col("bi")) >= _overlap(percent)
+    discard(live)
+    out = cut(
+        _meetings(kept, nodes, percent).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l"), *[f(c).alias(c) for f, c in ((F.max, "a_last"), (F.max, "b_last"), (F.first, "a_size"), (F.first, "b_size"))])
+        .where((F.col("shared") >= F.col("l")) & _passes(percent)).select("a", "b")
+    )
+    discard(kept)
+    return out
+
+
+def _meetings(kept: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """A row for each list in which a pair of different components meets, if it is among their first l and they may link."""
+    some = F.broadcast(nodes) if nodes.count() <= SIGNED_ROWS else nodes
+    x = kept.where("component <> major").select("token", F.col("node").alias("a"), F.col("idx").alias("ai"), F.col("component").alias("ac"), F.col("l").alias("al")).join(_sided(some, "a"), "a")
+    y = kept.select("token", F.col("node").alias("b"), F.col("idx").alias("bi"), F.col("component").alias("bc"), F.col("l").alias("bl"), "major").join(_sided(some, "b"), "b")
+    need, l = _overlap(percent), F.least("al", "bl")
+    # Before the l-th shared shingle of a pair that links there are no more others than their difference allows,
+    # and after it there is room for the overlap that the pair needs.
+    room = l + F.least(F.col("a_size") - F.col("ai"), F.col("b_size") - F.col("bi")) >= need
+    early = F.col("ai") + F.col("bi") <= F.col("a_size") + F.col("b_size") - 2 * need + 2 * l
     once = (F.col("bc") == F.col("major")) | (F.col("a") < F.col("b"))
 
     def side(low: str, high: str) -> Column:
         return F.when(F.col("a") < F.col("b"), F.col(low)).otherwise(F.col(high))
 
-    met = x.join(y, "token").where((F.col("ac") != F.col("bc")) & once & room & _alike(percent)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("al", "bl").alias("l"),
+    return x.join(y, "token").where((F.col("ac") != F.col("bc")) & once & room & early & _alike(percent)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), l.alias("l"),
         side("ai", "bi").alias("a_last"), side("bi", "ai").alias("b_last"), side("a_size", "b_size").alias("a_size"), side("b_size", "a_size").alias("b_size"),
     )
-    out = cut(
-        met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l"), *[f(c).alias(c) for f, c in ((F.max, "a_last"), (F.max, "b_last"), (F.first, "a_size"), (F.first, "b_size"))])
-        .where((F.col("shared") >= F.col("l")) & _passes(percent)).select("a", "b")
-    )
-    discard(live, kept)
-    return out
 
 
 def _relabelled(links: DataFrame, old: DataFrame | None) -> DataFrame:
