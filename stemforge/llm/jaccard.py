@@ -43,7 +43,7 @@ COMMON = 100_000
 VERIFY_COST = 16
 #: Leaders that a node is held against in a round; rounds go on while one of so many of these pairs links.
 LEADERS = 4
-WORTH = 1000
+WORTH = 500
 #: Most nodes whose bitmaps are sent to the tasks, some 20 MB; more are joined.
 SIGNED_ROWS = 250_000
 _IS_WORD = ~IS_SPACE
@@ -298,15 +298,31 @@ def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return cut(both.select("a", "b", "x", "y").mapInArrow(trimmed(run), "u long, v long"))
 
 
-def _live(lists: DataFrame, label: DataFrame | None) -> DataFrame:
-    """The lists whose nodes lie in several components: token, node, idx, size, component."""
+def _tagged(lists: DataFrame, label: DataFrame | None) -> DataFrame:
+    """token, node, idx, size, component of every posting."""
     low = (1 << 32) - 1
     tagged = lists.select("token", "node", F.col("place").bitwiseAND(low).alias("idx"), F.shiftright("place", 32).alias("size"))
     if label is None:
-        return tagged.withColumn("component", F.col("node"))  # every list has several nodes
-    tagged = tagged.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return tagged.join(open_, "token")
+        return tagged.withColumn("component", F.col("node"))
+    return tagged.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _led(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, node, component) with each list's leader first: (a, b) of a leader and every node of another component."""
+    token = node = component = None  # of the open list and its leader
+    for b in rows:
+        t, n, c = (b.column(i).to_numpy() for i in range(3))
+        if not len(t):
+            continue
+        first = np.append(t[0] != token, t[1:] != t[:-1])
+        at = np.maximum.accumulate(np.where(first, np.arange(len(t)), -1))
+        lead, own = n[at], c[at]  # before the first new list of the batch the open one goes on
+        if token is not None:
+            lead, own = np.where(at < 0, node, lead), np.where(at < 0, component, own)
+        keep = own != c
+        token, node, component = t[-1], lead[-1], own[-1]
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(lead[keep]), pa.array(n[keep])], ["a", "b"])
 
 
 def _overlap(percent: int) -> Column:
@@ -331,14 +347,14 @@ def _sided(nodes: DataFrame, side: str) -> DataFrame:
     return nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", *SIGNATURE)])
 
 
-def _best_leaders(live: DataFrame, nodes: DataFrame, tried: DataFrame | None, salt: int, percent: int) -> DataFrame:
+def _best_leaders(tagged: DataFrame, nodes: DataFrame, tried: DataFrame | None, salt: int, percent: int) -> DataFrame:
     """(a, b, alike): for each node the leaders of other components that it shares most lists with, of those not tried.
 
     Several, as a passage that many documents share gives a node lists that other documents lead.
     """
-    rank = F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "component")
-    leads = live.groupBy("token").agg(F.min(rank).alias("first"))
-    pairs = live.join(leads, "token").where(F.col("component") != F.col("first.component")).groupBy(F.col("first.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    parts = shuffle_parts(tagged.sparkSession)
+    dealt = tagged.select("token", "node", "component").repartition(parts, "token").sortWithinPartitions("token", F.xxhash64("node", F.lit(salt)), "node")
+    pairs = dealt.mapInArrow(trimmed(_led), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"))
     if tried is not None:
         pairs = pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
     best = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", "a")), False), 1, LEADERS).alias("best"))  # as many as the node has lists, at most
@@ -348,8 +364,9 @@ def _best_leaders(live: DataFrame, nodes: DataFrame, tried: DataFrame | None, sa
 
 def _cross(lists: DataFrame, nodes: DataFrame, label: DataFrame | None, percent: int) -> DataFrame:
     """(a, b): the candidate pairs left between components, each node with the prefix length of its own choice."""
-    live = _live(lists, label)
-    live = cut(live.join(live.groupBy("token").agg(F.count("*").alias("df")), "token"))
+    tagged = _tagged(lists, label)
+    open_ = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).where("lo <> hi").select("token", "df")
+    live = cut(tagged.join(open_, "token"))
     t = needed(F.col("size"), percent)
     spare = F.col("size") - t
     reads = [F.sum(F.when(F.col("idx") <= spare + k, F.col("df") - 1).otherwise(0)) for k in range(1, MAX_MATCHES + 1)]
@@ -422,9 +439,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = cut(_sets(docs, nodes.select("node", "doc_id", "text_hash"), renamed))
     tried, links, label = None, None, None
     for salt in count():
-        live = cut(_live(lists, label))
-        best = cut(_best_leaders(live, nodes, tried, salt, percent))
-        discard(live)
+        best = cut(_best_leaders(_tagged(lists, label), nodes, tried, salt, percent))
         found = _verify(sets, best.where("alike"), percent)
         asked, linked = best.count(), found.count()
         tried = best.drop("alike") if tried is None else tried.unionByName(best.drop("alike"))

@@ -191,6 +191,21 @@ def test_postings_stream():
         assert got == sorted((t, n, 5) for t, ns in nodes.items() if len(ns) > 1 for n in ns)
 
 
+def test_leaders_of_a_stream():
+    """However rows are cut into batches, a list's first node meets all of other components."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        rows = sorted((int(t), i, int(c)) for i, (t, c) in enumerate(rng.integers(0, 4, (int(rng.integers(0, 25)), 2))))
+        cuts = sorted(rng.integers(0, len(rows) + 1, 4).tolist())
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:z]], pa.int64()) for k in range(3)], ["token", "node", "component"]) for a, z in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        got = [tuple(r.values()) for b in jaccard._led(iter(batches)) for r in b.to_pylist()]
+        expected, lead = [], {}
+        for t, n, c in rows:
+            a, own = lead.setdefault(t, (n, c))
+            expected += [(a, n)] if own != c else []
+        assert got == expected
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 9), (9, 8), (8, 3)] + [(100, i) for i in range(101, 140)] + [(6, 6)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
