@@ -43,7 +43,7 @@ COMMON = 100_000
 VERIFY_COST = 16
 #: Leaders that a node is held against in a round; rounds go on while one of so many of these pairs links.
 LEADERS = 4
-WORTH = 500
+WORTH = 100
 #: Most nodes whose bitmaps are sent to the tasks, some 20 MB; more are joined.
 SIGNED_ROWS = 250_000
 _IS_WORD = ~IS_SPACE
@@ -448,11 +448,15 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             label = _relabelled(links, label)
         if linked * WORTH <= asked:
             break
+    discard(sets)  # the pairs that are left need few of them, which are cut again from their rows
     cross = cut(_cross(lists, nodes, label, percent).join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
     discard(lists)
     if not cross.isEmpty():
+        ends = cross.select(F.col("a").alias("node")).union(cross.select("b")).distinct()
+        sets = cut(_sets(docs, nodes.join(ends, "node", "left_semi").select("node", "doc_id", "text_hash"), renamed))
         label = _relabelled(links.unionByName(_verify(sets, cross, percent)), label)
-    discard(sets, nodes)
+        discard(sets)
+    discard(nodes)
     named = base.select("doc_id", "n_shingles", "node", "text_hash")
     named = named.withColumn("component", F.lit(None).cast("long")) if label is None else named.join(label, "node", "left")
     named = named.withColumn("group", F.coalesce("component", "node"))
