@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator with production parameters over its whole table."""
+"""The queries op1 to op13: each operator with production parameters over its whole table."""
 
 from __future__ import annotations
 
@@ -75,7 +75,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprint, op2_exact_dedup, op3_ngram_jaccard, op4_bpe, op5_language_id, op6_license_scan, op7_best_fit_packing, op8_token_files, op9_lm_score, op10_suffix_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic
+
+    docs = table(spark, sf_dir, "documents")
+    return periodic.run_report(periodic.find_runs(docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.page_report(spark, warc.archive_pages(table(spark, sf_dir, "pages")))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_fingerprint, op2_exact_dedup, op3_ngram_jaccard, op4_bpe, op5_language_id, op6_license_scan, op7_best_fit_packing, op8_token_files, op9_lm_score, op10_suffix_dedup, op11_periodic_runs, op12_warc, op13_centroid_clusters)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": """
@@ -93,4 +112,30 @@ ORACLE_SQL: dict[str, str] = {
         r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON r.doc_id = l.x)
         SELECT r.doc_id, coalesce(any_value(n.c), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
     """,
+    "op12_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), k AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN strlen(h) >= 1000 AND page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN strlen(h) >= 1000 AND page_id < keep THEN keep END AS refers_to
+        FROM k
+    """,
+    "op13_centroid_clusters": """
+        WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        x AS (SELECT vec_id, unnest(generate_series(1, 64)) AS d, unnest(v) AS x FROM kept),
+        s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM kept QUALIFY c < 16),
+        """
+    + ",\n        ".join(
+        f"""a{r} AS (SELECT vec_id, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM (SELECT x.vec_id, m.c, sum((x.x - m.x) * (x.x - m.x)) AS dist FROM x JOIN m{r} m USING (d) GROUP BY ALL) GROUP BY vec_id),
+        m{r + 1} AS (SELECT m.c, m.d, coalesce(n.x, m.x) AS x FROM m{r} m LEFT JOIN (SELECT a.c, x.d, (sum(x.x) - ((sum(x.x) % count(*)) + count(*)) % count(*)) // count(*) AS x FROM x JOIN a{r} a USING (vec_id) GROUP BY ALL) n USING (c, d))"""
+        if r
+        else "m1 AS (SELECT s.c, x.d, x.x FROM s JOIN x USING (vec_id))"
+        for r in range(5)
+    )
+    + """,
+        t AS (SELECT c, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM m4 GROUP BY c)
+        SELECT vec_id, c::INTEGER AS cluster, dist::BIGINT AS distance, (sum(dist) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+               (sum(dist) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a4 JOIN t USING (c)
+    """,
 }
