@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.etymology import borrowing, chain, chain_root, cognates, text_root
 from ..functions.morphology import compound_parts, with_segments
 from ..functions.text import source_url, stem_key
+from .adoption import adopt_in_order  # noqa: F401
 from .order import numbered
 
 
@@ -55,40 +53,6 @@ def adopt_once(words: DataFrame) -> DataFrame:
     return words.join(by_list, "lemma", "left").join(by_own, "lemma", "left").withColumn("root_key", F.coalesce("root_key", "listed_key", "own_key")).drop("listed_key", "own_key")
 
 
-def adopt_in_order(words: DataFrame) -> DataFrame:
-    """Adoption as one pass in vocabulary order, where an adopted word counts for the words after it.
-
-    The pass is sequential by definition, so one task makes it, over (lemma, key, derived) of the words
-    that a derivation can reach; all others stay distributed.
-    """
-    links = words.select("lemma", F.explode("derived").alias("other")).join(words.select(F.col("lemma").alias("other")), "other")
-    linked = links.select("lemma").union(links.select("other")).distinct()
-    narrow = words.join(linked, "lemma", "left_semi").select("lemma", "ord", "root_key", "derived")
-
-    def one_pass(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = list(parts)
-        if not got:
-            return
-        rows = pd.concat(got)
-        rows = rows.iloc[sorted(range(len(rows)), key=lambda i: tuple(rows["ord"].iloc[i].values()) if isinstance(rows["ord"].iloc[i], dict) else tuple(rows["ord"].iloc[i]))]
-        key = {w: k for w, k in zip(rows["lemma"], rows["root_key"], strict=True) if k is not None}
-        named_by: dict[str, list[str]] = {}
-        for w, ds in zip(rows["lemma"], rows["derived"], strict=True):
-            for d in ds:
-                if d != w:
-                    named_by.setdefault(d, []).append(w)
-        out = {}
-        for w, k, ds in zip(rows["lemma"], rows["root_key"], rows["derived"], strict=True):
-            if k is None:
-                found = next((key[p] for p in named_by.get(w, ()) if p in key), None) or next((key[d] for d in ds if d in key), None)
-                if found is not None:
-                    key[w] = out[w] = found
-        yield pd.DataFrame({"lemma": list(out), "adopted_key": list(out.values())})
-
-    found = narrow.coalesce(1).mapInPandas(one_pass, "lemma string, adopted_key string")
-    return words.join(found, "lemma", "left").withColumn("root_key", F.coalesce("root_key", "adopted_key")).drop("adopted_key")
-
-
 def stem_groups(words: DataFrame, n: int = 4) -> DataFrame:
     """Words without a root group by their first n letters; a word that is alone takes its own lemma."""
     bare = words.where("root_key is null").withColumn("stem", stem_key(F.col("lemma"), n))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import fractal_noise, gaussian, unit_scale
 from .order import numbered
-from .store import stored
+from .store import released, stored
 
 # Pull of each kind of edge, spacing of discs, world side, height range, sea level, spread of an island.
 EDGE_WEIGHTS = {"compound": 3.0, "semantic": 0.3, "etymology": 0.5, "field": 0.1}
@@ -162,6 +162,61 @@ def nudge(positions: DataFrame, edges: DataFrame, passes: int = 10, weight: Colu
     return now
 
 
+def nudge_in_order(positions: DataFrame, edges: DataFrame, passes: int = 10, weight: Column | None = None, order: str = "ord", most_steps: int = 5_000, at_once: int = 8) -> DataFrame:
+    """Pull the ends of edges together one edge after the other, `passes` times over; later pulls see earlier ones.
+
+    edges: a, b, kind and a column that orders them totally. An edge waits for the edges before it at its two ends
+    only, so each point carries the list of its own edges and the step that it waits for, and all edges whose
+    two ends wait for them are pulled at once: a round is one grouping of the points by step. The result is
+    that of the plain loop, digit by digit. Rounds are at least the edges of the busiest point times `passes`,
+    which is an error over `most_steps`: `nudge` needs no order. A point that edges name and that is not in
+    `positions` drops those edges; an edge under length 1 pulls nothing; no pull is over 5.
+    """
+    w = weight if weight is not None else F.coalesce(F.create_map(*[F.lit(x) for kv in EDGE_WEIGHTS.items() for x in kv])[F.col("kind")], F.lit(0.1))
+    ids = positions.select("id")
+    known = edges.where("a <> b").join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    steps = stored(numbered(known.select("a", "b", (F.lit(0.02) * w).alias("w"), order), F.col(order), name="n"))
+    m = steps.count()
+    ends = steps.select(F.col("a").alias("id"), "n", "w", F.lit(True).alias("first")).unionByName(steps.select(F.col("b").alias("id"), "n", "w", F.lit(False).alias("first")))
+    busiest = ends.groupBy("id").count().agg(F.max("count").alias("c")).first()["c"] or 0
+    if busiest * passes > most_steps:
+        raise ValueError(f"a point has {busiest} edges: over {most_steps} steps one after the other")
+    own = ends.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "w", "first"))).alias("own"))
+    at = positions.select("id", F.col("x").cast("double").alias("x"), F.col("z").cast("double").alias("z")).join(own, "id", "left").withColumns({"i": F.lit(0), "turn": F.lit(0).cast("long")})
+
+    def waiting(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("s", F.when((F.col("turn") < passes) & (F.size("own") > 0), F.col("turn") * m + F.col("own")[F.col("i")]["n"]))
+
+    now = stored(waiting(at.withColumn("own", F.coalesce("own", F.array().cast(own.schema["own"].dataType)))))
+    while not now.where("s is not null").isEmpty():
+        before, rows = now, now
+        for _ in range(at_once):
+            rows = waiting(_pulled(rows))
+        now = stored(rows)
+        released(before)
+    found = now.select("id", F.col("x").alias("__x"), F.col("z").alias("__z"))
+    return positions.join(found, "id").select(*[F.col(f"__{c}").alias(c) if c in ("x", "z") else c for c in positions.columns])
+
+
+def _pulled(rows: DataFrame) -> DataFrame:
+    """One round: points that wait for the same step are its edge's two ends (a step has no others)."""
+    met = rows.groupBy("s", F.when(F.col("s").isNull(), F.col("id")).alias("alone")).agg(F.collect_list(F.struct("id", "x", "z", "own", "i", "turn")).alias("ends"))
+    edge = F.col("ends")[0]["own"][F.col("ends")[0]["i"]]
+    a, b = F.when(edge["first"], F.col("ends")[0]).otherwise(F.col("ends")[1]), F.when(edge["first"], F.col("ends")[1]).otherwise(F.col("ends")[0])
+    pair = F.size("ends") == 2
+    apart = met.select("ends", F.when(pair, edge["w"]).alias("w"), F.when(pair, b["x"] - a["x"]).alias("dx"), F.when(pair, b["z"] - a["z"]).alias("dz"), pair.alias("pair"))
+    apart = apart.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dz") * F.col("dz"))).withColumn("pull", F.least(F.col("w") * F.col("d"), F.lit(5.0)))
+    one = apart.select(F.explode("ends").alias("e"), "dx", "dz", "d", "pull", "pair").select("e.*", "dx", "dz", "d", "pull", "pair")
+    first = F.col("own")[F.col("i")]["first"]
+
+    def moved(c: str) -> Column:
+        step = F.col(f"d{c}") / F.col("d") * F.col("pull")
+        return F.when(F.col("pair") & (F.col("d") >= 1), F.when(first, F.col(c) + step).otherwise(F.col(c) - step)).otherwise(F.col(c)).alias(c)
+
+    last = F.col("i") + 1 == F.size("own")
+    return one.select("id", moved("x"), moved("z"), "own", F.when(~F.col("pair"), F.col("i")).when(last, 0).otherwise(F.col("i") + 1).alias("i"), (F.col("turn") + F.when(F.col("pair") & last, 1).otherwise(0)).alias("turn"))
+
+
 def separate(discs: DataFrame, passes: int = 500, spacing: float = SPACING) -> DataFrame:
     """Push overlapping discs apart until none overlap, or `passes` are over: a sequential rule over some hundreds
     of discs, in one task. `overlaps` tells what is left.

@@ -130,6 +130,26 @@ def ramp_colour(spark, sf_dir):
     return rows.select("id", *[F.round(geometry.ramp_channel(F.col("h"), i), 4).alias(n) for i, n in enumerate("rgb")])
 
 
+@query("""
+    WITH RECURSIVE p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS z FROM embeddings),
+    e AS (SELECT row_number() OVER (ORDER BY (p.vec_id * 37) % 101, p.vec_id) - 1 AS n, p.i AS a, q.i AS b, 0.02 * [CAST(3 AS DOUBLE), 0.3, 0.5, 0.1][(p.vec_id % 4 + 1)::INT] AS w FROM p JOIN p q ON q.vec_id = p.vec_id + 1),
+    r(s, xs, zs) AS (SELECT CAST(0 AS BIGINT), (SELECT list(x ORDER BY i) FROM p), (SELECT list(z ORDER BY i) FROM p) UNION ALL
+        SELECT s + 1, list_transform(xs, lambda v, j: CASE WHEN j = a AND d >= 1 THEN v + dx / d * pull WHEN j = b AND d >= 1 THEN v - dx / d * pull ELSE v END),
+               list_transform(zs, lambda v, j: CASE WHEN j = a AND d >= 1 THEN v + dz / d * pull WHEN j = b AND d >= 1 THEN v - dz / d * pull ELSE v END)
+        FROM (SELECT *, least(w * d, 5) AS pull FROM (SELECT *, sqrt(dx * dx + dz * dz) AS d FROM (SELECT s, xs, zs, a, b, w, xs[b] - xs[a] AS dx, zs[b] - zs[a] AS dz FROM r JOIN e ON e.n = r.s % (SELECT count(*) FROM e) WHERE r.s < 2 * (SELECT count(*) FROM e))))),
+    f AS (SELECT xs, zs FROM r ORDER BY s DESC LIMIT 1)
+    SELECT vec_id, round(xs[i], 9) AS x, round(zs[i], 9) AS z FROM p, f
+""")
+def ordered_nudge(spark, sf_dir):
+    """Neighbours by id pulled together in a mixed order, twice over: each pull sees those before it."""
+    v = Tables(spark, sf_dir).embeddings
+    key = F.col("vec_id")
+    points = v.select(key.alias("id"), (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("z"))
+    kinds = F.element_at(F.array(*[F.lit(k) for k in layout.EDGE_WEIGHTS]), (key % 4 + 1).cast("int"))
+    edges = v.select(key.alias("a"), (key + 1).alias("b"), F.struct((key * 37 % 101).alias("k"), key.alias("id")).alias("ord"), kinds.alias("kind"))
+    return layout.nudge_in_order(points, edges, 2).select(F.col("id").alias("vec_id"), F.round("x", 9).alias("x"), F.round("z", 9).alias("z"))
+
+
 @query("""
     WITH d AS (SELECT user_id, CAST(date_part('year', ts) AS INTEGER) - CAST(CASE WHEN event_type = 'error' THEN 600 ELSE 0 END AS INTEGER) AS year, sum(CAST(value AS DECIMAL(18, 2))) AS f FROM events GROUP BY ALL)
     SELECT user_id, year, CAST(f AS DOUBLE) AS f FROM d WHERE year > 1500

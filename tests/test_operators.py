@@ -180,10 +180,11 @@ def test_without_the_optional_subpackage(tmp_path):
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "stemforge", tmp_path / "stemforge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    path = os.pathsep.join([str(tmp_path), *[p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and p != str(root)]])
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": path}, capture_output=True, text=True)
     assert said.returncode == 0 and said.stdout.split()[1] == "False", said.stderr
     shutil.copytree(root / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    ran = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_functions.py", "tests/test_plans.py::test_entry_runs"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    ran = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_functions.py", "tests/test_plans.py::test_entry_runs"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": path}, capture_output=True, text=True)
     assert ran.returncode == 0, ran.stdout[-2000:]
 
 
