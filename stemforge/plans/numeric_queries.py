@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import arrays, geometry
-from ..operators import layout
+from ..operators import layout, manifold
 from .registry import Tables, query
 
 _CENTROIDS = """
@@ -180,6 +180,13 @@ def pca_layout(spark, sf_dir):
     return layout.reduced(v).select("vec_id", *[F.round(F.abs(F.col("position")[i]), 4).alias(n) for i, n in enumerate(("x", "z", "height"))])
 
 
+@query()
+def manifold_layout(spark, sf_dir):
+    """All vectors, in all dimensions, reduced by the graph of their nearest neighbours and fitted into the world."""
+    found = manifold.manifold(Tables(spark, sf_dir).embeddings, "vec_id", "embedding")
+    return layout.world_place(found.select(F.col("id").alias("vec_id"), *[F.col("p")[i].alias(c) for i, c in enumerate(("x", "z", "height"))]))
+
+
 @query()
 def refined_layout(spark, sf_dir):
     """Nudge along edges as often as the operator does, separate, fit into the world."""
