@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import fractal_noise, gaussian, unit_scale
+from . import spatial
 from .order import numbered
+from .spatial import nearest  # noqa: F401
 from .store import released, stored
 
 # Pull of each kind of edge, spacing of discs, world side, height range, sea level, spread of an island.
@@ -27,10 +29,6 @@ def centroids(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return rows.select(group, F.posexplode(vector).alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"), F.count("*").alias("n"))
 
 
-def as_vectors(long: DataFrame, group: str) -> DataFrame:
-    return long.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda s: s["value"]).alias("vector"))
-
-
 def word_vectors(words: DataFrame, vectors: DataFrame) -> DataFrame:
     """Vector of each word: of its own form, else of the lower-case, else of the capitalised one."""
     from ..functions.text import capitalised
@@ -54,70 +52,20 @@ def world_fit(rows: DataFrame, x: str = "x", z: str = "z", size: float = 370.0)
     return joined.withColumns({x: (F.col(x) - (F.col("__x0") + F.col("__x1")) / 2) * scale, z: (F.col(z) - (F.col("__z0") + F.col("__z1")) / 2) * scale}).drop(*b.columns)
 
 
-def nearest(points: DataFrame, k: int = 3, key: str = "id", x: str = "x", z: str = "z") -> DataFrame:
-    """The k nearest other points of each (all, if there are fewer); ties by key.
-
-    Points meet in grid cells and the eight around them. A point is done when its k-th neighbour is no
-    farther than a cell is wide, as all points that near are in those cells; for the others the cells become
-    twice as wide, until nine of them hold everything. Cells begin with about two points each, so points
-    spread over the plane meet a few others only; many points in one spot meet each other.
-    """
-    at = stored(points.select(F.col(key).alias("a"), F.col(x).cast("double").alias("ax"), F.col(z).cast("double").alias("az")))
-    ends = at.agg(F.count("*").alias("n"), F.min("ax").alias("x0"), F.max("ax").alias("x1"), F.min("az").alias("z0"), F.max("az").alias("z1")).first()
-    n = ends["n"]
-    span = max(ends["x1"] - ends["x0"], ends["z1"] - ends["z0"]) if n else 0.0
-    width = span / max(1.0, (n / 2) ** 0.5) if span else 1.0
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    todo, done = at, None
-    while True:
-        cx, cz = F.floor((F.col("ax") - ends["x0"]) / width), F.floor((F.col("az") - ends["z0"]) / width)
-        b = at.select(F.col("a").alias("b"), F.col("ax").alias("bx"), F.col("az").alias("bz"), cx.alias("cx"), cz.alias("cz"))
-        asked = todo.withColumn("c", F.explode(around)).withColumn("cx", cx + F.col("c.i")).withColumn("cz", cz + F.col("c.j")).drop("c")
-        d = F.hypot(F.col("ax") - F.col("bx"), F.col("az") - F.col("bz"))
-        pairs = asked.join(b, ["cx", "cz"]).where(F.col("a") != F.col("b")).select("a", "ax", "az", F.struct(d.alias("d"), "b").alias("near"))
-        best = pairs.groupBy("a", "ax", "az").agg(F.slice(F.array_sort(F.collect_list("near")), 1, k).alias("near"))
-        if width > span:  # nine cells hold everything
-            return _ranked(best if done is None else done.unionByName(best.select("a", "near")))
-        found = stored(todo.join(best, ["a", "ax", "az"], "left"))
-        safe = (F.size("near") >= k) & (F.element_at("near", -1)["d"] <= width)
-        closed = found.where(safe).select("a", "near")
-        done = closed if done is None else done.unionByName(closed)
-        todo = found.where(~F.coalesce(safe, F.lit(False))).drop("near")
-        if todo.isEmpty():
-            return _ranked(done)
-        width *= 2
-
-
-def _ranked(best: DataFrame) -> DataFrame:
-    return best.select("a", F.posexplode("near").alias("i", "n")).select("a", (F.col("i") + 1).alias("rank"), F.col("n.b").alias("b"), F.col("n.d").alias("d"))
-
-
-def overlaps(discs: DataFrame, spacing: float = SPACING, key: str = "id", max_radius: float = 8.0) -> DataFrame:
-    """Pairs of discs nearer than their spaced radii, by an equi-join on grid cells as wide as any reach."""
-    cell = 2 * max_radius * spacing
-    cx, cz = F.floor(F.col("x") / cell), F.floor(F.col("z") / cell)
-    a = discs.select(F.col(key).alias("a"), F.col("x").alias("ax"), F.col("z").alias("az"), F.col("radius").alias("ar"), cx.alias("cx"), cz.alias("cz"))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = discs.select(F.col(key).alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"), F.col("radius").alias("br"), cx.alias("x0"), cz.alias("z0"), F.explode(around).alias("n"))
-    b = b.withColumn("cx", F.col("x0") + F.col("n.i")).withColumn("cz", F.col("z0") + F.col("n.j"))
-    d = F.hypot(F.col("ax") - F.col("bx"), F.col("az") - F.col("bz"))
-    return a.join(b, ["cx", "cz"]).where(F.col("a") < F.col("b")).select("a", "b", d.alias("d"), ((F.col("ar") + F.col("br")) * spacing).alias("reach")).where("d < reach")
+def overlaps(discs: DataFrame, spacing: float = SPACING, key: str = "id") -> DataFrame:
+    """Pairs of discs nearer than their spaced radii, a < b."""
+    return spatial.overlaps(discs, spacing, key)
 
 
 def height_field(grid: DataFrame, islands: DataFrame, base: float = SEA) -> DataFrame:
     """Greatest height that any island leaves at each grid point, and at least the base.
 
-    islands: x, z, height, sigma. Cells as wide as the farthest reach turn the range join into an equi-join.
+    islands: x, z, height, sigma. An island counts up to 4 sigma, and is met on a grid of cells of that size.
     """
-    reach = F.broadcast(islands.agg((F.max("sigma") * 4).alias("__w")))  # one row
-    g = grid.crossJoin(reach).withColumn("cx", F.floor(F.col("x") / F.col("__w"))).withColumn("cz", F.floor(F.col("z") / F.col("__w")))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    i = islands.crossJoin(reach).select(F.col("x").alias("ix"), F.col("z").alias("iz"), F.col("height").alias("ih"), "sigma", "__w", F.explode(around).alias("n"))
-    i = i.select("ix", "iz", "ih", "sigma", (F.floor(F.col("ix") / F.col("__w")) + F.col("n.i")).alias("cx"), (F.floor(F.col("iz") / F.col("__w")) + F.col("n.j")).alias("cz"))
-    d2 = (F.col("x") - F.col("ix")) ** 2 + (F.col("z") - F.col("iz")) ** 2
-    joined = g.join(i, ["cx", "cz"], "left")
-    left = gaussian(F.col("ih"), d2, F.col("sigma"))
-    return joined.groupBy(*[F.col(c) for c in grid.columns]).agg(F.greatest(F.lit(base), F.coalesce(F.max(left), F.lit(base))).alias("height"))
+    met = spatial.in_reach(grid, islands.select("x", "z", "height", "sigma", (F.col("sigma") * 4).alias("reach")), "reach")
+    d2 = (F.col("x") - F.col("i_x")) ** 2 + (F.col("z") - F.col("i_z")) ** 2
+    left = gaussian(F.col("i_height"), d2, F.col("i_sigma"))
+    return met.groupBy(*[F.col(c) for c in grid.columns]).agg(F.greatest(F.lit(base), F.coalesce(F.max(left), F.lit(base))).alias("height"))
 
 
 def terrain(grid: DataFrame, islands: DataFrame, frequency: float = 0.015, above: float = 0.8, below: float = 0.3) -> DataFrame:

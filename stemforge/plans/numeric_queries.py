@@ -39,12 +39,16 @@ def minmax_norm(spark, sf_dir):
     return layout.scaled(v, ["a", "b", "c", "k"]).select("vec_id", *[F.round(n, 6).alias(n) for n in "abck"])
 
 
-@query(f"""
-    WITH {_CENTROIDS}, d AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) AS d FROM p a JOIN p b ON a.id <> b.id),
+@query("""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT vec_id AS id, list_sum(v[1:32]) AS x, list_sum(v[33:64]) AS z FROM v),
+    d AS (SELECT a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) AS d FROM p a JOIN p b ON a.id <> b.id),
     r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rank FROM d) SELECT a, rank, b, round(d, 6) AS d FROM r WHERE rank <= 3
 """)
 def knn3(spark, sf_dir):
-    return layout.nearest(_positions(Tables(spark, sf_dir)), 3).select("a", F.col("rank").cast("long").alias("rank"), "b", F.round("d", 6).alias("d"))
+    """All vectors as points: the sums of both halves of their dimensions."""
+    total = lambda first: F.aggregate(F.slice("embedding", first, 32), F.lit(0.0), lambda s, x: s + x.cast("double"))
+    points = Tables(spark, sf_dir).embeddings.select(F.col("vec_id").alias("id"), total(1).alias("x"), total(33).alias("z"))
+    return layout.nearest(points, 3).select("a", F.col("rank").cast("long").alias("rank"), "b", F.round("d", 6).alias("d"))
 
 
 @query(f"""
@@ -76,6 +80,34 @@ def overlap_pairs(spark, sf_dir):
     return layout.overlaps(discs).select("a", "b", F.round("d", 6).alias("d"))
 
 
+_SIZED = "SELECT c_custkey AS id, c_acctbal / 10 AS x, CAST(c_nationkey * 40 AS DOUBLE) AS z, 0.125 * 2 ** (c_custkey % 12) AS r FROM customer"
+
+
+def _sized(t: Tables):
+    """Customers as bodies of widths from an eighth to 256."""
+    return t.customer.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 10).alias("x"), (F.col("c_nationkey") * 40).cast("double").alias("z"), (F.pow(F.lit(2.0), F.col("c_custkey") % 12) * 0.125).alias("radius"))
+
+
+@query(f"WITH s AS ({_SIZED}) SELECT a.id AS a, b.id AS b, round(sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2), 6) AS d FROM s a JOIN s b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.z - b.z) ** 2) < (a.r + b.r) * 1.3")
+def overlap_mixed(spark, sf_dir):
+    """Overlapping discs, the largest two thousand times as wide as the smallest."""
+    return layout.overlaps(_sized(Tables(spark, sf_dir))).select("a", "b", F.round("d", 6).alias("d"))
+
+
+@query(f"""
+    WITH s AS ({_SIZED}), g AS (SELECT o_orderkey AS id, CAST(o_orderkey % 997 AS DOUBLE) AS x, CAST(o_custkey % 991 AS DOUBLE) AS z FROM orders),
+    j AS (SELECT g.id, 1 + s.id % 9 AS h, r / 8 AS sigma, (g.x - s.x) ** 2 + (g.z - s.z) ** 2 AS d2 FROM g JOIN s ON (g.x - s.x) ** 2 + (g.z - s.z) ** 2 <= 16 * (r / 8) ** 2),
+    m AS (SELECT id, max(h * exp(-d2 / (2 * sigma * sigma))) AS h FROM j GROUP BY id)
+    SELECT g.id, round(greatest(-0.3, coalesce(h, -0.3)), 6) AS height FROM g LEFT JOIN m USING (id)
+""")
+def island_heights(spark, sf_dir):
+    """Height at the place of every order among islands of all widths."""
+    t = Tables(spark, sf_dir)
+    islands = _sized(t).select("x", "z", (F.lit(1) + F.col("id") % 9).cast("double").alias("height"), (F.col("radius") / 8).alias("sigma"))
+    grid = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 997).cast("double").alias("x"), (F.col("o_custkey") % 991).cast("double").alias("z"))
+    return layout.height_field(grid, islands).select("id", F.round("height", 6).alias("height"))
+
+
 @query("""
     WITH n AS (SELECT p_partkey AS id, p_size % 2 = 0 AS placed, row_number() OVER (PARTITION BY p_size % 2 = 0 ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS total, p_size AS s FROM part), c AS (SELECT *, ceil(sqrt(total)) AS cols FROM n)
     SELECT id, CASE WHEN placed THEN CAST(s AS DOUBLE) ELSE (i % cols - cols / 2) * 25.0 END AS x, CASE WHEN placed THEN -CAST(s AS DOUBLE) ELSE (floor(i / cols) - cols / 2) * 25.0 END AS z FROM c
