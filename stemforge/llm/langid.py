@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, discard, slabs, trimmed
@@ -149,29 +149,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, trainable: Column, sample: int = SAMPLE_ROWS) -> LanguageModel:
-    """Fit on at most `sample` distinct labelled texts, the same number of each language if it has as many.
+    """Fit on at most `sample` distinct labelled texts with a letter, the same number of each language if it has as many.
 
-    Texts are drawn by a hash among the distinct ones of their language, so copies change nothing and no
-    language is lost, but for those beyond the `sample` languages of most texts.
+    The texts of least hash are drawn among the distinct ones of their language, so copies and texts without a
+    letter change nothing, a quota of q gives q texts wherever there are as many, and no language is lost, but
+    for those beyond the `sample` languages of most texts.
     """
-    rows = docs.where(trainable & F.col("lang").isNotNull() & (F.length("text") > 0)).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    counts = cut(rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample))
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    rows = docs.where(trainable & F.col("lang").isNotNull()).select(lang.alias("lang"), text.alias("text")).where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    keys = cut(rows.select("lang", "h").distinct())
+    counts = keys.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
     each = max(1, sample // max(1, counts.count()))
-    space = 1 << 30
-    shares = counts.select("lang", F.least(F.lit(space), F.floor(space * 2 * each / F.col("n")) + 1).alias("limit"))  # one row a language
-    drawn = rows.join(shares, "lang").where(F.pmod("h", F.lit(space)) < F.col("limit")).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    first = keys.join(F.broadcast(counts.select("lang")), "lang").withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= each)
+    drawn = rows.join(F.broadcast(first.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))  # `sample` rows at most
 
     def run(batches):
         for b in batches:
             for a, z, data, offs in slabs(b, "text"):
-                keep = [has_letter(t) for t in b.column(2).slice(a, z - a).to_pylist()]
                 x = features(data, offs).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array([r.tobytes() if k else None for r, k in zip(x, keep, strict=True)], pa.binary())], ["lang", "h", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    seen = drawn.mapInArrow(run, "lang string, h long, x binary").where("x is not null")
-    ranked = seen.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "x"))), 1, each).alias("rows"))  # about 2 * each rows a language
-    got = ranked.select("lang", F.explode("rows").alias("r")).select("lang", "r.x").orderBy("lang", "x").toArrow()
-    discard(counts)
+    got = drawn.select("lang", "text").mapInArrow(run, "lang string, x binary").orderBy("lang", "x").toArrow()
+    discard(keys)
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, DIMS).astype(np.float32)
     return LanguageModel(x, got.column("lang").to_pylist())
 
