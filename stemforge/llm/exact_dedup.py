@@ -3,7 +3,7 @@
 Every input task fills memtables and flushes each as a run sorted by digest, one row a digest, so a
 group of copies of any size leaves a task as one row a run. Runs are dealt out by digest. Each index
 shard sorts what comes in, looks it up in the runs it has by their Bloom filters, settles what is there
-already, keeps the rest as a run with a filter of its own, and compacts runs when there are many: the
+already, keeps the rest as a run with a filter of its own, and compacts runs of like size when there are many: the
 smallest identifier of a digest stays and its counts add up. Digests that have copies are hits, and the texts of hits are
 compared byte for byte with the text that stays; texts that differ are grouped by the texts themselves.
 """
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_parts, trimmed
 
 MEMTABLE_ROWS = 65_536
-#: Runs of a shard that are merged into one.
+#: Runs of like size in a shard that are merged into one.
 FANOUT = 8
+#: Rows of runs a shard takes at most, on average; more rows make more shards than the session's shuffle partitions.
+SHARD_DIGESTS = 4_000_000
 #: Digests of hits that may be broadcast; more are shuffled.
 BROADCAST_DIGESTS = 200_000
 #: Copies of one text compared in one task.
@@ -87,7 +89,8 @@ def merge(runs: list[Run]) -> Run:
 
 class LsmIndex:
     """Runs that share no digest. A new run is first looked up in the others, whose filters are asked: what they
-    have is settled there, what is left of the run is kept beside them. `fanout` runs are merged into one."""
+    have is settled there, what is left of the run is kept beside them. `fanout` runs of like size (within a
+    factor of `fanout`) are merged into one, so that a digest is merged once a level."""
 
     def __init__(self, fanout: int = FANOUT):
         self.runs: list[Run] = []
@@ -101,10 +104,17 @@ class LsmIndex:
                 old.idents[at[hit]] = np.minimum(old.idents[at[hit]], run.idents[hit])
                 old.counts[at[hit]] += run.counts[hit]
                 run = Run(run.digests[~hit], run.idents[~hit], run.counts[~hit])
-        if len(run.digests):
-            self.runs.append(run)
-        if len(self.runs) >= self.fanout:
-            self.runs = [merge(self.runs)]
+        while len(run.digests):
+            level = self._level(run)
+            same = [r for r in self.runs if self._level(r) == level]
+            if len(same) + 1 < self.fanout:
+                self.runs.append(run)
+                break
+            self.runs = [r for r in self.runs if self._level(r) != level]
+            run = merge([*same, run])
+
+    def _level(self, run: Run) -> int:
+        return len(run.digests).bit_length() // max(1, self.fanout.bit_length() - 1)
 
     def lookup(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(smallest identifier, count) of each digest over all runs; count 0 if absent."""
@@ -181,7 +191,8 @@ def compact_shard(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(keys: DataFrame) -> DataFrame:
     """keys: digest binary, ident long. One row a digest: digest, smallest ident, n."""
     runs = keys.select("digest", "ident").mapInArrow(trimmed(flush_runs), SCHEMA)
-    return runs.repartition(shuffle_parts(keys.sparkSession), "digest").mapInArrow(trimmed(compact_shard), SCHEMA)
+    shards = max(shuffle_parts(keys.sparkSession), -(-keys.count() // SHARD_DIGESTS))
+    return runs.repartition(shards, "digest").mapInArrow(trimmed(compact_shard), SCHEMA)
 
 
 def sha256_bytes(text: Column) -> Column:
@@ -196,16 +207,21 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", digest: Callable[[Column
     "largest" an identifier is the bitwise complement of doc_id. A null doc_id never wins against another;
     a group of null ids only has keep_id null. A row is kept when its doc_id is keep_id, so rows that
     repeat the same id and text are all marked alike. Empty tables give an empty result; other columns
-    are ignored. `digest` may be any deterministic function of the text; a weak one costs time, not truth.
+    are ignored. `digest` may be any deterministic function of the text, of any width (one other than the
+    default is hashed to 32 bytes); a weak one costs time, not truth.
     Up to `broadcast` digests of hits are sent to the tasks; more are joined, those of over `hot_rows` rows
     (or a thousandth of all) apart from the others, and `salt_rows` copies of one text are compared in a task.
     """
     largest = {"largest": True, "smallest": False}[keep]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("digest", digest(F.col("text")))
+    rows = rows.withColumn("digest", digest(F.col("text")) if digest is sha256_bytes else F.unhex(F.sha2(F.coalesce(digest(F.col("text")).cast("binary"), F.lit(b"")), 256)))
     ident = F.expr("~doc_id") if largest else F.col("doc_id")
     narrow = cut(rows.select("doc_id", "digest", F.unhex(F.sha2("text", 256)).alias("sha"), ident.alias("ident")))
     index = cut(build_index(narrow).select("digest", F.when(F.col("ident") != _NO_ID, F.expr("~ident") if largest else F.col("ident")).alias("keep_id"), F.col("n").alias("group_size")))
+    extreme = -1 << 63 if largest else _NO_ID  # the one doc_id whose identifier is also that of a missing one
+    edge = narrow.where(F.col("doc_id") == extreme).select("digest").distinct()
+    if not edge.isEmpty():
+        index = cut(index.join(edge.withColumn("edge", F.lit(extreme)), "digest", "left").select("digest", F.coalesce("keep_id", "edge").alias("keep_id"), "group_size"))
     copies = index.where("group_size > 1")
     total, n_copies = narrow.count(), copies.count()
 

@@ -252,6 +252,46 @@ def test_language_id(spark, empty):
     assert langid.determined(docs, model).columns == docs.columns and langid.determined(docs, model).count() == len(rows) - 3
 
 
+def learned(model):
+    return {c for w in model.within.values() for c in w.classes}
+
+
+def test_no_language_is_lost(spark):
+    """Texts without letters take no place of those with letters, and a quota of one still takes one."""
+    rng = random.Random(5)
+    rows = [(i, words(rng, 8), "en") for i in range(300)] + [(1000 + i, words(rng, 8), "fr") for i in range(20)] + [(2000 + i, f"{i} 12 !?", "fr") for i in range(3000)]
+    assert learned(langid.fit(frame(spark, rows), F.lit(True), sample=60)) == {"en", "fr"}
+    many = [(100 * v + i, words(rng, 6), f"x{v:02d}") for v in range(60) for i in range(10)]
+    for quota in (60, 70, 200):
+        model = langid.fit(frame(spark, many), F.lit(True), sample=quota)
+        assert len(learned(model)) == 60
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_digests_of_any_width_and_the_last_ids(spark, keep):
+    rows = [(1, "a"), (2, "bbbb"), (3, "bbcc"), (4, "bbbb"), (5, None), (6, ""), (-(1 << 63), "edge"), (None, "edge"), ((1 << 63) - 1, "end"), (None, "end"), (None, "none"), (None, "none")]
+    for digest in (lambda t: t, lambda t: F.when(t == "a", F.lit(None)).otherwise(t), exact_dedup.sha256_bytes):
+        got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(frame(spark, rows), keep, digest).collect()}
+        b, e = ((4, 6) if keep == "largest" else (2, 5))
+        assert got[(1, sha("a"))] == (1, 1, True) and got[(2, sha("bbbb"))] == (b, 2, b == 2) and got[(3, sha("bbcc"))] == (3, 1, True) and got[(5, sha(""))] == (e, 2, e == 5)
+        assert got[(-(1 << 63), sha("edge"))] == (-(1 << 63), 2, True) and got[((1 << 63) - 1, sha("end"))] == ((1 << 63) - 1, 2, True)
+        assert got[(None, sha("edge"))] == (-(1 << 63), 2, False) and got[(None, sha("none"))][:2] == (None, 2)
+
+
+def test_runs_are_merged_by_size():
+    """Each digest is merged about once a level, not once for every eight runs."""
+    rng, index, work = np.random.default_rng(1), exact_dedup.LsmIndex(8), []
+    merge = exact_dedup.merge
+    exact_dedup.merge = lambda runs: work.append(sum(len(r.digests) for r in runs)) or merge(runs)
+    try:
+        for _ in range(256):
+            d = np.unique(rng.integers(0, 1 << 62, 64).astype(">u8").view("S8"))
+            index.add(exact_dedup.Run(d, np.arange(len(d)), np.ones(len(d), np.int64)))
+    finally:
+        exact_dedup.merge = merge
+    assert sum(work) <= 4 * 256 * 64 and len(index.runs) <= 24
+
+
 def test_language_of_few_texts_is_learned(spark):
     """A language whose rows are copies of few texts stays a language."""
     rng = random.Random(4)
