@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import fractal_noise, gaussian, unit_scale
 from . import spatial
 from .order import numbered
+from .ranks import medians
 from .spatial import nearest  # noqa: F401
 from .store import released, stored
 
@@ -85,7 +86,10 @@ def edge_lengths(edges: DataFrame, positions: DataFrame, kind: str = "kind") ->
     a = positions.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("z").alias("az"))
     b = positions.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("z").alias("bz"))
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("az") - F.col("bz"))
-    return edges.join(a, "a").join(b, "b").withColumn("d", d).groupBy(kind).agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"), F.median("d").alias("median_d"), F.max("d").alias("max_d"))
+    rows = stored(edges.join(a, "a").join(b, "b").select(kind, d.alias("d")))
+    middle = medians(rows, kind, "d").select(F.col(kind).alias("__kind"), F.col("median").alias("median_d"))
+    found = rows.groupBy(kind).agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"), F.max("d").alias("max_d"))
+    return found.join(middle, F.col(kind).eqNullSafe(F.col("__kind"))).select(kind, "n", "avg_d", "median_d", "max_d")
 
 
 def height_stats(rows: DataFrame, column: str = "height") -> DataFrame:

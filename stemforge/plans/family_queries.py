@@ -1,11 +1,14 @@
-"""Root clusters through all four phases, over parts that stand for a vocabulary."""
+"""Root clusters through all four phases, root families and scores, over parts that stand for a vocabulary."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vocab import LEVELS
 from ..operators import clustering
+from ..operators.families import closure, families, family_scores, level_scores
+from ..operators.ranks import medians
 from ..operators.store import stored
 from .registry import Tables, query
 
@@ -83,3 +86,59 @@ def phase_clusters(spark, sf_dir):
 """)
 def phase_statistics(spark, sf_dir):
     return clustering.cluster_stats(_clusters(Tables(spark, sf_dir))).drop("segmented")
+
+
+_TREE = """
+    e AS (SELECT p_partkey AS child, CASE WHEN p_partkey % 11 = 4 THEN (p_partkey * 5 + 2) % count(*) OVER () ELSE p_partkey // 3 END AS parent FROM part),
+    d AS (SELECT DISTINCT c_custkey AS word, c_custkey * 7 % (SELECT count(*) FROM part) AS root, ['A1', 'A2', 'B1', 'B2', 'C1', 'C2'][(c_custkey % 7 + 1)::INT] AS level, CASE WHEN c_custkey % 13 > 0 THEN c_custkey % 17 END AS frequency FROM customer),
+    up(child, ancestor, depth) AS (SELECT child, parent, 1 FROM e WHERE child <> parent UNION SELECT up.child, e.parent, depth + 1 FROM up JOIN e ON e.child = up.ancestor WHERE depth < 16),
+    c AS (SELECT child, ancestor, min(depth) AS depth FROM up WHERE child <> ancestor GROUP BY ALL)
+"""
+
+
+def _tree(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(derived words, edges of roots): a tree of parts with some links across, which make cycles too."""
+    n = F.broadcast(t.part.agg(F.count("*").alias("n")))  # one row
+    key = F.col("p_partkey")
+    edges = t.part.crossJoin(n).select(key.alias("child"), F.when(key % 11 == 4, (key * 5 + 2) % F.col("n")).otherwise(F.floor(key / 3)).alias("parent"))
+    word = F.col("c_custkey")
+    levels = F.array(*[F.lit(v) for v in LEVELS])
+    words = t.customer.crossJoin(n).select(word.alias("word"), (word * 7 % F.col("n")).alias("root"), F.get(levels, (word % 7).cast("int")).alias("level"), F.when(word % 13 > 0, word % 17).alias("frequency"))
+    return words, edges
+
+
+@query(f"WITH RECURSIVE {_TREE} SELECT child, ancestor, CAST(depth AS INTEGER) AS depth FROM c")
+def ancestor_closure(spark, sf_dir):
+    """Every ancestor of every root by its shortest way, by ways that double."""
+    return closure(_tree(Tables(spark, sf_dir))[1], 16)
+
+
+@query(f"""
+    WITH RECURSIVE {_TREE}, f AS (SELECT root, word FROM d UNION SELECT ancestor, word FROM d JOIN c ON c.child = d.root),
+    g AS (SELECT f.root, count(*) AS family_size, avg(frequency) AS m, {", ".join(f"count(*) FILTER (level = '{v}') AS {v}" for v in ("A1", "A2", "B1", "B2", "C1", "C2"))} FROM f JOIN d USING (word) GROUP BY f.root),
+    r AS (SELECT *, percent_rank() OVER (ORDER BY family_size) AS s FROM g), q AS (SELECT root, percent_rank() OVER (ORDER BY m) AS q FROM g WHERE m IS NOT NULL)
+    SELECT root, family_size, round(m, 6) AS mean_frequency, A1, A2, B1, B2, C1, C2, round(0.4 * s + 0.4 * coalesce(q, 0) + 0.2 * ((A1 > 0)::INT + (A2 > 0)::INT + (B1 > 0)::INT + (B2 > 0)::INT + (C1 > 0)::INT + (C2 > 0)::INT) / 6, 6) AS root_value FROM r LEFT JOIN q USING (root)
+""")
+def root_families(spark, sf_dir):
+    """Families of shared roots with their sizes, levels and value."""
+    words, edges = _tree(Tables(spark, sf_dir))
+    got = family_scores(families(words, edges, 16), words.select("word", "level", "frequency"))
+    return got.select("root", "family_size", F.round("mean_frequency", 6).alias("mean_frequency"), *LEVELS, F.round("root_value", 6).alias("root_value"))
+
+
+@query("""
+    WITH w AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 19 > 0 THEN o_custkey END AS f, o_orderkey % 6 + 1 AS m, o_orderkey % 3 AS g, (o_orderkey % 10) / 10 AS y FROM orders), r AS (SELECT id, percent_rank() OVER (ORDER BY f) AS p FROM w WHERE f IS NOT NULL)
+    SELECT id, round(0.4 * (1 - coalesce(p, 0)) + 0.2 * least((m - 1) / 3, 1) + 0.2 / (1 + g) + 0.2 * (1 - y), 6) AS level_score FROM w LEFT JOIN r USING (id)
+""")
+def word_level_scores(spark, sf_dir):
+    key = F.col("o_orderkey")
+    words = Tables(spark, sf_dir).orders.select(key.alias("id"), F.when(key % 19 > 0, F.col("o_custkey")).alias("frequency"), (key % 6 + 1).alias("morphemes"), (key % 3).alias("registers"), (key % 10 / 10).alias("regularity"))
+    return level_scores(words).select("id", F.round("level_score", 6).alias("level_score"))
+
+
+@query("SELECT l_returnflag AS kind, median(CAST(l_extendedprice AS DOUBLE)) AS median FROM lineitem GROUP BY 1 UNION ALL SELECT l_shipdate::VARCHAR, median(CAST(l_quantity AS DOUBLE)) FROM lineitem GROUP BY 1")
+def group_medians(spark, sf_dir):
+    """Exact medians of few large groups and of many small ones."""
+    lines = Tables(spark, sf_dir).lineitem
+    large = medians(lines, "l_returnflag", "l_extendedprice", few=100).withColumnRenamed("l_returnflag", "kind")
+    return large.unionByName(medians(lines.withColumn("kind", F.col("l_shipdate").cast("string")), "kind", "l_quantity"))
