@@ -25,19 +25,17 @@ def compound_parts(spark, sf_dir):
     return clustering.compound_links(words, known).select("id", F.array_join(F.transform("components", lambda x: x.cast("string")), ",").alias("components"))
 
 
-_RELATED = "[string_split(p_name, ' ')[1], p_brand]"
-
-
-@query(f"""
-    WITH e AS (SELECT p_partkey AS id, string_split(p_name, ' ')[2] AS lemma, {_RELATED} AS syn, [string_split(p_type, ' ')[1]] AS hyper FROM part), t AS (SELECT lemma, max(id) AS k FROM e GROUP BY lemma),
+@query("""
+    WITH e AS (SELECT p_partkey AS id, string_split(p_name, ' ')[p_partkey % 2 + 1] AS lemma, [string_split(p_name, ' ')[1], p_brand] AS syn, [string_split(p_name, ' ')[2]] AS hyper FROM part), t AS (SELECT lemma, max(id) AS k FROM e GROUP BY lemma),
     x AS (SELECT id, unnest(syn) AS lemma, 'synonym_of' AS edge_type FROM e UNION ALL SELECT id, unnest(hyper), 'hypernym_of' FROM e)
     SELECT DISTINCT id AS from_entry_id, k AS to_entry_id, edge_type FROM x JOIN t USING (lemma) WHERE id <> k
 """)
 def semantic_edges(spark, sf_dir):
-    none = F.array().cast("array<string>")
+    """Half of the parts stand for their first word, half for their second; each names both."""
+    none, words = F.array().cast("array<string>"), F.split("p_name", " ")
     rows = Tables(spark, sf_dir).part.select(
-        F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), F.split("p_name", " ")[1].alias("lemma"),
-        F.array(F.split("p_name", " ")[0], F.col("p_brand")).alias("synonyms"), none.alias("antonyms"), F.array(F.split("p_type", " ")[0]).alias("hypernyms"), none.alias("hyponyms"),
+        F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 2 == 0, words[0]).otherwise(words[1]).alias("lemma"),
+        F.array(words[0], F.col("p_brand")).alias("synonyms"), none.alias("antonyms"), F.array(words[1]).alias("hypernyms"), none.alias("hyponyms"),
     )
     return graph.semantic_edges(rows)
 
@@ -107,10 +105,10 @@ def derivation_targets(spark, sf_dir):
 @query(f"""
     WITH {_TOKENS}, {_SEGMENTS} SELECT lemma AS entry_id, (prefix IS NOT NULL)::INT + (suffix IS NOT NULL)::INT + (root <> '')::INT AS n_segments,
         CASE WHEN prefix IS NOT NULL AND suffix IS NOT NULL AND root <> '' THEN 'circumfixation' WHEN prefix IS NOT NULL AND suffix IS NOT NULL THEN 'prefixation+suffixation'
-             WHEN prefix IS NOT NULL THEN 'prefixation' WHEN suffix IS NOT NULL THEN 'suffixation' ELSE 'simplex' END AS word_formation_type, false AS is_compound, false AS verified FROM d
+             WHEN prefix IS NOT NULL THEN 'prefixation' WHEN suffix IS NOT NULL THEN 'suffixation' ELSE 'simplex' END AS word_formation_type, length(lemma) % 3 = 0 AS is_compound, false AS verified FROM d
 """)
 def decompositions(spark, sf_dir):
-    words = morphology.with_segments(lexicon(Tables(spark, sf_dir))).withColumn("id", F.col("lemma")).withColumn("parts", F.lit(None).cast("array<string>"))
+    words = morphology.with_segments(lexicon(Tables(spark, sf_dir))).withColumn("id", F.col("lemma")).withColumn("parts", F.when(F.length("lemma") % 3 == 0, F.array(F.left("lemma", F.lit(2)), F.substr("lemma", F.lit(3)))))
     return graph.decompositions(words).select("entry_id", F.size("segments").alias("n_segments"), "word_formation_type", "is_compound", "verified")
 
 
@@ -158,8 +156,8 @@ _LINES = "n AS (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_or
 
 
 @query(f"""
-    WITH {_LINES}, g AS (SELECT o_custkey AS k, count(*) AS size, min(o_orderkey) AS first, max(o_orderkey) AS last, arg_min(o_orderkey, row(lv, freq, o_orderkey)) AS basic, arg_min(lines, row(-lines, o_orderkey)) AS stages FROM o GROUP BY 1 HAVING count(*) >= 3)
-    SELECT concat('r-', row_number() OVER (ORDER BY size DESC, first) - 1) AS id, CAST(k AS VARCHAR) AS form, CAST(basic AS VARCHAR) AS basic_word, size, stages AS chain_size, CAST(first AS VARCHAR) AS first_word, CAST(last AS VARCHAR) AS last_word, size AS links FROM g
+    WITH {_LINES}, g AS (SELECT o_custkey AS k, count(*) AS size, min(o_orderkey) AS first, max(o_orderkey) AS last, arg_min(o_orderkey, row(lv, freq, o_orderkey)) AS basic, arg_min(lines, row(-lines, o_orderkey)) AS stages, count(*) FILTER (o_orderkey % 4 = 1) AS compounds, min(o_orderkey) FILTER (o_orderkey % 4 = 1) AS first_compound FROM o GROUP BY 1 HAVING count(*) >= 3)
+    SELECT concat('r-', row_number() OVER (ORDER BY size DESC, first) - 1) AS id, CAST(k AS VARCHAR) AS form, CAST(basic AS VARCHAR) AS basic_word, size, stages AS chain_size, CAST(first AS VARCHAR) AS first_word, CAST(last AS VARCHAR) AS last_word, size AS links, compounds, CASE WHEN compounds > 0 THEN concat('o·', first_compound) END AS split FROM g
 """)
 def cluster_documents(spark, sf_dir):
     """Customers as roots and their orders as words: basic word, longest chain, size filter, nested documents."""
@@ -171,7 +169,7 @@ def cluster_documents(spark, sf_dir):
         key.alias("ord"), key.cast("string").alias("id"), key.cast("string").alias("lemma"), F.lit("NOUN").alias("pos"), (key % 7).cast("int").alias("frequency_class"),
         F.when(F.left("o_orderpriority", F.lit(1)) == "1", "A1").when(F.left("o_orderpriority", F.lit(1)) == "2", "A2").otherwise("B1").alias("cefr_level"),
         F.concat(F.lit("la:"), "o_custkey").alias("root_key"), F.coalesce("chain", none).alias("chain"), none.alias("cognates"), F.lit(None).cast("string").alias("borrowing_info"),
-        F.array().cast("array<string>").alias("segments"), F.lit(None).cast("array<string>").alias("parts"),
+        F.array().cast("array<string>").alias("segments"), F.when(key % 4 == 1, F.array(F.lit("o"), key.cast("string"))).alias("parts"),
     )
     found = clustering.clusters(words, min_size=3)
     docs = clustering.size_at_least(clustering.documents(found), 3)
@@ -179,6 +177,7 @@ def cluster_documents(spark, sf_dir):
     return docs.join(basic, "root_key").select(
         "wurzel.id", "wurzel.form", "basic_word", F.size("words").cast("long").alias("size"), F.size("wurzel.etymology_chain").cast("long").alias("chain_size"),
         F.element_at("words", 1)["id"].alias("first_word"), F.element_at("words", -1)["id"].alias("last_word"), F.size("links").cast("long").alias("links"),
+        F.size("compounds").cast("long").alias("compounds"), F.try_element_at("compounds", F.lit(1))["split_display"].alias("split"),
     )
 
 

@@ -103,8 +103,9 @@ def point_lookup_fallback(spark, sf_dir):
 
 @query("""
     WITH tokens AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}]+')) AS form FROM documents WHERE text IS NOT NULL),
-         first AS MATERIALIZED (SELECT form, min(doc_id) AS doc_id FROM tokens GROUP BY form), capital AS (SELECT form, lower(form) AS entry_id, doc_id FROM first WHERE form <> lower(form))
-    SELECT form, entry_id, doc_id FROM capital SEMI JOIN (SELECT form AS entry_id FROM first) USING (entry_id)
+         first AS (SELECT form, lower(form) AS entry_id, min(doc_id) AS doc_id FROM tokens GROUP BY form),
+         k AS (SELECT *, bool_or(form = entry_id) OVER (PARTITION BY entry_id) AS there FROM first)
+    SELECT form, entry_id, doc_id FROM k WHERE there AND form <> entry_id
 """)
 def forms_index(spark, sf_dir):
     """Capitalised tokens as forms of the lower-case token, the first document of each form."""
@@ -267,6 +268,20 @@ def lru_evicted(spark, sf_dir):
     return evicted(Tables(spark, sf_dir).events, 25, "user_id", "ts")
 
 
+@query("""
+    SELECT p_partkey AS id, p_type AS pos, string_split(p_name, ' ') AS translations, CASE WHEN p_size % 2 = 0 THEN [p_brand, CAST(p_size AS VARCHAR)] ELSE [] END AS examples_de, CASE WHEN p_size % 2 = 0 THEN [string_split(p_name, ' ')[1]] ELSE [] END AS examples_en FROM part
+""")
+def html_articles(spark, sf_dir):
+    """Dictionary articles made of parts, read by the fragment parser: word class, translations, examples of two languages."""
+    words, size = F.split("p_name", " "), F.col("p_size").cast("string")
+    single = F.concat(
+        F.format_string('<div class="example"><span lang="de">%s</span></div>', "p_brand"), F.format_string('<div class="example"><span lang="de">%s</span></div>', size), F.format_string('<div class="example"><span lang="en">%s</span></div>', words[0]),
+    )
+    article = F.concat(F.format_string('<b>%s</b><font color="green">%s</font>', "p_name", "p_type"), F.format_string('<ol><li><span lang="en">%s</span></li><li><span lang="en"> %s </span></li></ol>', words[0], words[1]), F.when(F.col("p_size") % 2 == 0, single).otherwise(F.lit("")))
+    found = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("id"), text.html_fragment(article).alias("f"))
+    return found.select("id", "f.*")
+
+
 @query(r"""
     SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages
 """)
