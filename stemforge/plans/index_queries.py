@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search, segments
 from ..operators.store import shared_folder
+from ..sources.keyset import changes
 from .registry import Tables, query
 
 _INDEX_TOKENS = r"regexp_extract_all(lower(strip_accents(s)), '[\p{L}\p{N}]+')"
@@ -37,3 +38,24 @@ def prefix_blocks(spark, sf_dir):
     path = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}"
     segments.write_blocks(Tables(spark, sf_dir).customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("lemma"), (F.col("c_custkey") % 5).alias("rank")), path, per_block=200)
     return search.prefix_search(segments.read_blocks(spark, path, "CUSTOMER#0000007"), "CUSTOMER#0000007").select("id", "lemma")
+
+
+@query("""
+    WITH n AS (SELECT *, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 2000 AS page FROM orders)
+    SELECT page, count(*) AS n, arg_min(o_orderkey, row(o_orderdate, o_orderkey)) AS first_key, arg_max(o_orderkey, row(o_orderdate, o_orderkey)) AS last_key, CAST(sum(o_custkey) AS BIGINT) AS customers FROM n GROUP BY page
+""")
+def change_pages(spark, sf_dir):
+    """All orders as a stream of pages by date and key, each written as it comes."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+
+    def keep(page, number):
+        page.select("o_orderkey", "o_orderdate", "o_custkey").withColumn("page", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
+
+    q = changes(spark, f"{sf_dir}/orders.parquet", "o_orderdate", "o_orderkey", 2000).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    place = F.struct("o_orderdate", "o_orderkey")
+    pages = spark.read.parquet(f"{folder}/out").groupBy("page").agg(F.count("*").alias("n"), F.min_by("o_orderkey", place).alias("first_key"), F.max_by("o_orderkey", place).alias("last_key"), F.sum("o_custkey").alias("customers"))
+    return pages.withColumn("page", F.col("page").cast("long"))
