@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 def rebuild(rows: DataFrame, path: str) -> None:
     """Replace a table as a whole, also by rows that are read from it.
 
-    The new table is written beside the old one and takes its place when it is complete.
+    The new table is written beside the old one. When it is complete the old one is moved aside, the new one
+    takes its place, and only then the old one is deleted; if it can't, the old one is moved back. What a
+    run that broke off in between moved aside is put back first.
     """
     sc = rows.sparkSession.sparkContext
-    new, old = (sc._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path.rstrip('/')}.new", path))
-    fs = old.getFileSystem(sc._jsc.hadoopConfiguration())
+    here, new, old = (sc._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".new", ".old"))
+    fs = here.getFileSystem(sc._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(here):
+        fs.rename(old, here)
     rows.write.mode("overwrite").parquet(new.toString())
     fs.delete(old, True)
-    if not fs.rename(new, old):
+    if fs.exists(here) and not fs.rename(here, old):
+        raise OSError(f"{path} could not be moved aside; the new table is in {new.toString()}")
+    if not fs.rename(new, here):
+        fs.rename(old, here)
         raise OSError(f"{path} could not be replaced; the new table is in {new.toString()}")
+    fs.delete(old, True)
 
 
 def append(rows: DataFrame, path: str) -> None:

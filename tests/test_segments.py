@@ -69,3 +69,15 @@ def test_a_prefix_reads_the_blocks_of_its_range(spark, tmp_path):
     assert segments.read_blocks(spark, path, "a").count() == 0
     with pytest.raises(ValueError):
         search.prefix_search(segments.read_blocks(spark, path, ""), "")
+
+
+def test_rebuild_puts_back_what_a_broken_run_moved_aside(spark, tmp_path):
+    from stemforge.sources import sinks
+
+    path = tmp_path / "t"
+    sinks.rebuild(spark.range(3), str(path))
+    path.rename(tmp_path / "t.old")  # a run that ended between its two moves
+    sinks.rebuild(spark.range(5), str(path))
+    assert spark.read.parquet(str(path)).count() == 5
+    sinks.rebuild(spark.read.parquet(str(path)).where("id < 2"), str(path))
+    assert spark.read.parquet(str(path)).count() == 2 and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
