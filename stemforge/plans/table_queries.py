@@ -269,17 +269,17 @@ def lru_evicted(spark, sf_dir):
 
 
 @query("""
-    SELECT p_partkey AS id, p_type AS pos, string_split(p_name, ' ') AS translations, CASE WHEN p_size % 2 = 0 THEN [p_brand, CAST(p_size AS VARCHAR)] ELSE [] END AS examples_de, CASE WHEN p_size % 2 = 0 THEN [string_split(p_name, ' ')[1]] ELSE [] END AS examples_en FROM part
+    SELECT p_partkey AS id, p_type AS pos, replace(p_name, ' ', '|') AS translations, CASE WHEN p_size % 2 = 0 THEN concat(p_brand, '|', p_size) ELSE '' END AS examples_de, CASE WHEN p_size % 2 = 0 THEN string_split(p_name, ' ')[1] ELSE '' END AS examples_en FROM part
 """)
 def html_articles(spark, sf_dir):
     """Dictionary articles made of parts, read by the fragment parser: word class, translations, examples of two languages."""
     words, size = F.split("p_name", " "), F.col("p_size").cast("string")
-    single = F.concat(
+    examples = F.concat(
         F.format_string('<div class="example"><span lang="de">%s</span></div>', "p_brand"), F.format_string('<div class="example"><span lang="de">%s</span></div>', size), F.format_string('<div class="example"><span lang="en">%s</span></div>', words[0]),
     )
-    article = F.concat(F.format_string('<b>%s</b><font color="green">%s</font>', "p_name", "p_type"), F.format_string('<ol><li><span lang="en">%s</span></li><li><span lang="en"> %s </span></li></ol>', words[0], words[1]), F.when(F.col("p_size") % 2 == 0, single).otherwise(F.lit("")))
+    article = F.concat(F.format_string('<b>%s</b><font color="green">%s</font>', "p_name", "p_type"), F.format_string('<ol><li><span lang="en">%s</span></li><li><span lang="en"> %s </span></li></ol>', words[0], words[1]), F.when(F.col("p_size") % 2 == 0, examples).otherwise(F.lit("")))
     found = Tables(spark, sf_dir).part.select(F.col("p_partkey").alias("id"), text.html_fragment(article).alias("f"))
-    return found.select("id", "f.*")
+    return found.select("id", "f.pos", *[F.array_join(f"f.{c}", "|").alias(c) for c in ("translations", "examples_de", "examples_en")])
 
 
 @query(r"""
