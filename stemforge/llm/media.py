@@ -113,7 +113,11 @@ def landmarks(items: list[bytes]) -> list[np.ndarray]:
 
 
 def store_wav(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes and media: each whole text (null: empty) as UTF-8 bytes in a WAV file."""
+    """doc_id, n_bytes and media: each whole text (null: empty) as UTF-8 bytes in a WAV file.
+
+    Columns besides the two named are not read. A task holds the texts and files of one Arrow batch, so a
+    very long text takes about three times its bytes.
+    """
 
     def run(batches):
         for b in batches:

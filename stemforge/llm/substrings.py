@@ -1,10 +1,11 @@
-"""Suffix-array dedup of long repeated byte strings by prefix doubling over sorted position-rank pairs.
-
-Only positions that can begin a repeat are ranked. Each 200-byte window is named by its least 100-byte
-gram, a choice that depends on the window's bytes alone, so equal windows share that gram. The windows
-of one gram occurrence are consecutive starts; their grams' ranks are sorted, and those that are unique
-end there. Occurrences whose whole stretch of windows is equal repeat as a whole. For the others the
-offset doubles: Spark sorts the pairs (rank of the first 100 bytes, rank of the next 100 bytes) of every
+"""Suffix-array dedup of long repeated byte strings by sorted ranks of positions, doubled once.
+
+This departs from prefix doubling: ranks are content hashes, so there are no growing offsets and no reranking
+until ranks are unique (README gives the figures). Only positions that can begin a repeat are ranked. Each
+200-byte window is named by its least 100-byte gram, a choice that depends on the window's bytes alone, so equal
+windows share that gram. The windows of one gram occurrence are consecutive starts; their grams' ranks are
+sorted, and those that are unique end there. Occurrences whose whole stretch of windows is equal repeat as a
+whole. For the others Spark sorts the pairs (rank of the first 100 bytes, rank of the next 100 bytes) of every
 window, and a pair that is not unique is a repeat. Ranks are 64-bit content hashes, pairs hold 128 bits.
 """
 
