@@ -2,9 +2,10 @@
 
 Pieces are dealt out over partitions and each is packed best-fit decreasing. Dual feasible functions
 give a lower bound on the bins that a partition's pieces need; a partition that meets it is certified
-and done, but for its emptiest bin. Partitions with a gap give up the pieces of their bins that are not full, these are dealt out
-anew over half as many partitions at most, and best-fit decreasing runs again, until no gap is left or one
-partition's worth remains. Only lengths and keys move, never ids or texts.
+and done, but for its emptiest bin. A partition with a gap gives up its emptiest bins, an eighth of its pieces
+at most; these are dealt out anew over partitions of the same size, and best-fit decreasing runs again, until
+no gap is left or one partition's worth remains. Each round has an eighth of the pieces of the one before, and
+no task ever takes more than a partition's worth. Only lengths and keys move, never ids or texts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces that one packing task takes.
 PART_PIECES = 50_000
+#: One in so many of a partition's pieces goes on to the next round.
+EXCHANGED = 8
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -93,8 +96,21 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), PIECES)
 
 
-def _pack(capacity: int):
-    """Packs rows (row, length, part) sorted by part, one part after the other: adds bin, offset and whether the bound is met."""
+def given_up(lengths: np.ndarray, bins: np.ndarray, used: int, most: int, capacity: int = CAPACITY) -> np.ndarray:
+    """Which bins of a partition go on: the emptiest of at most `most` pieces (one at least); of a certified one, one.
+
+    Full bins stay. One bin of a certified partition goes on, to be filled up with those of others.
+    """
+    load, n = np.bincount(bins, weights=lengths, minlength=used).astype(np.int64), np.bincount(bins, minlength=used)
+    order = np.argsort(load, kind="stable")
+    many = 1 if used == lower_bound(lengths, capacity) else max(1, int(np.searchsorted(np.cumsum(n[order]), most, "right")))
+    go = np.zeros(used, bool)
+    go[order[:many]] = True
+    return go & (load < capacity)
+
+
+def _pack(capacity: int, most: int):
+    """Packs rows (row, length, part) sorted by part, one part after the other: adds bin, offset and whether the bin stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the part that is open
@@ -103,10 +119,7 @@ def _pack(capacity: int):
             rows = pa.Table.from_batches(held)
             lengths, part = rows["length"].to_numpy(), rows["part"].to_numpy()
             bins, offs, used = best_fit_decreasing(lengths, capacity)
-            tight = used == lower_bound(lengths, capacity)
-            load = np.bincount(bins, weights=lengths, minlength=used).astype(np.int64)
-            # of a certified partition the emptiest bin alone goes on, to be filled up with those of others
-            done = (tight & (bins != load.argmin())) | (load[bins] == capacity)
+            done = ~given_up(lengths, bins, used, most, capacity)[bins]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows["row"].to_numpy(), lengths, part, bins, offs, done)], ["row", "length", "part", "bin", "offset", "done"])
 
         for b in batches:
@@ -136,20 +149,20 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, part_pieces: int
     """
     cuts = cut(pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()))
     todo = cuts.select("row", "length")
-    left = todo.count()
+    n = todo.count()
     done = None
     for k in count():
-        parts = max(1, -(-left // part_pieces))
+        parts = max(1, -(-n // part_pieces))
         tasks = min(parts, max(1, shuffle_parts(docs.sparkSession)))
         dealt = todo.withColumn("part", F.pmod(F.xxhash64("row", F.lit(k)), F.lit(parts)))
-        packed = cut(dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(trimmed(_pack(capacity)), PACKED).withColumn("seq", F.lit(k)))
+        packed = cut(dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(trimmed(_pack(capacity, part_pieces // EXCHANGED)), PACKED).withColumn("seq", F.lit(k)))
         again = packed.where("not done")
-        n = again.count()
-        final = parts == 1 or n == 0
+        m = again.count()
+        final = parts == 1 or m == 0 or 2 * m > n  # the last where a bin is no small share of a partition
         closed = packed if final else packed.where("done")
         done = closed if done is None else done.unionByName(closed)
         if final:
             break
-        todo, left = again.select("row", "length"), min(n, max(1, left // 2))
+        todo, n = again.select("row", "length"), m
     seq = F.col("seq") * (1 << 58) + F.col("part") * (1 << 28) + F.col("bin")
     return cuts.join(done.select("row", seq.alias("sequence_id"), "offset"), "row").drop("row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

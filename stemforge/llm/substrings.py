@@ -261,7 +261,10 @@ def _repeat_spans(rows: DataFrame, length: int, slab: int) -> DataFrame:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(row_key(docs, F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"), F.struct("*").alias("rec"))
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c != "text"]
+    # The text moves once: the record holds the other columns and whether the text is null.
+    rec = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(rest)], F.col("text").isNull().alias("none"))
+    return docs.select(row_key(docs, F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"), rec.alias("rec"))
 
 
 def _runs(spans: list[int], length: int) -> tuple[list[int], list[int]]:
@@ -298,7 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, slab: int = SLAB) -> D
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = rows.join(_repeat_spans(rows, length, slab), "row", "left").select(F.col("rec.doc_id").cast("long").alias("doc_id"), "text", "spans")
+    joined = rows.join(_repeat_spans(rows, length, slab), "row", "left").select(F.col("rec.c0").cast("long").alias("doc_id"), "text", "spans")
     return joined.mapInArrow(trimmed(digests), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -318,11 +321,8 @@ def clean_texts(docs: DataFrame, length: int = LENGTH, slab: int = SLAB) -> Data
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rec", "left"])
 
-    joined = rows.join(_repeat_spans(rows.select("row", "text"), length, slab), "row", "left").select(F.col("rec").dropFields("text").alias("rec") if len(docs.columns) > 1 else F.col("rec"), "text", "spans", F.col("rec.text").isNull().alias("none"))
-    got = joined.mapInArrow(lambda it: ((pa.RecordBatch.from_arrays([*x.columns, y.column(3)], ["rec", "left", "none"])) for y in it for x in kept([y])), _clean_schema(joined))
-    text = F.when(~F.col("none"), F.col("left"))
-    return got.select(*[text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("rec").getField(c).alias(c) for c in docs.columns])
-
-
-def _clean_schema(joined: DataFrame) -> T.StructType:
-    return T.StructType([joined.schema["rec"], T.StructField("left", T.StringType()), T.StructField("none", T.BooleanType())])
+    joined = rows.join(_repeat_spans(rows.select("row", "text"), length, slab), "row", "left").select("rec", "text", "spans")
+    got = joined.mapInArrow(trimmed(kept), T.StructType([joined.schema["rec"], T.StructField("left", T.StringType())]))
+    text = F.when(~F.col("rec.none"), F.col("left"))
+    place = {c: f"rec.c{k}" for k, c in enumerate(c for c in docs.columns if c != "text")}
+    return got.select(*[text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(place[c]).alias(c) for c in docs.columns])

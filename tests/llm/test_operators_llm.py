@@ -402,6 +402,32 @@ def test_packing(docs, rows, library, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
+def test_partitions_exchange_their_emptiest_bins(spark):
+    """A round has an eighth of the pieces at most, and rounds of small partitions cost hardly a sequence."""
+    lengths = np.random.default_rng(5).integers(500, 901, 40_000)
+    part = 2_500
+    whole = packing.best_fit_decreasing(lengths)[2]
+    total, todo, rounds = 0, lengths, []
+    while True:
+        rounds.append(len(todo))
+        parts = -(-len(todo) // part)
+        left = []
+        for p in range(parts):
+            x = todo[p::parts]
+            bins, _, used = packing.best_fit_decreasing(x)
+            go = packing.given_up(x, bins, used, part // packing.EXCHANGED) if parts > 1 else np.zeros(used, bool)
+            load = np.bincount(bins, weights=x)
+            assert not go.any() or load[go].max() <= load[~go].min()
+            total += used - go.sum()
+            left.append(x[go[bins]])
+            assert len(left[-1]) <= part // packing.EXCHANGED
+        todo = np.concatenate(left)
+        if not len(todo):
+            break
+    assert all(7 * b <= a for a, b in zip(rounds, rounds[1:], strict=False))
+    assert total <= whole + 20
+
+
 def test_lower_bound_is_one():
     rng = np.random.default_rng(4)
     for _ in range(50):
