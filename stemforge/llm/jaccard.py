@@ -277,13 +277,21 @@ def _sets(docs: DataFrame, kept: DataFrame, renamed: dict) -> DataFrame:
     return rows.select("text", named.alias("k")).mapInArrow(trimmed(run), "node long, shingles binary")
 
 
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The sets of the given nodes, before they are shuffled if the list of nodes is short."""
+    few = nodes.distinct()
+    return sets.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, "node", "left_semi")
+
+
 def _verify(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of the given (a, b) whose sets link, by exact intersection; a stored table.
 
     A set may be there twice, from rows that repeat an id and a text: its links are then given twice.
     """
     # Leaders are on side a: many pairs of one leader meet its set as two numbers each, and go on dealt out by b.
-    both = pairs.select("a", "b").join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    pairs = pairs.select("a", "b")
+    a, b = (_only(sets, pairs.select(F.col(side).alias("node"))) for side in ("a", "b"))
+    both = pairs.join(a.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(b.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -267,9 +267,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(row_key(docs, F.col("doc_id").cast("long"), text).alias("row"), text.alias("text"), rec.alias("rec"))
 
 
-def _runs(spans: list[int], length: int) -> tuple[list[int], list[int]]:
-    """First bytes and ends of the maximal runs that spans of window starts cover."""
-    lo, hi = unpacked(np.sort(np.array(spans, np.int64)))
+def _runs(spans: pa.ListScalar, length: int) -> tuple[list[int], list[int]]:
+    """First bytes and ends of the maximal runs that spans of window starts cover; null and empty lists have none."""
+    if not spans.is_valid or not len(spans.values):
+        return [], []
+    lo, hi = unpacked(np.sort(spans.values.to_numpy()))
     end = np.maximum.accumulate(hi + length)
     fresh = np.flatnonzero(np.append(True, lo[1:] > end[:-1]))
     return lo[fresh].tolist(), end[np.append(fresh[1:] - 1, len(end) - 1)].tolist()
@@ -293,9 +295,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, slab: int = SLAB) -> D
     def digests(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = text.encode()
-                begin, end = _runs(spans, length) if spans else ([], [])
+            for text, spans in zip(b.column(1), b.column(2), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                begin, end = _runs(spans, length)
                 gone, runs, left = sum(end) - sum(begin), len(begin), _without(raw, begin, end)
                 out.append((len(raw), gone, runs, hashlib.sha256(left).hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 4
@@ -315,10 +317,9 @@ def clean_texts(docs: DataFrame, length: int = LENGTH, slab: int = SLAB) -> Data
     def kept(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if spans:
-                    text = _without(text.encode(), *_runs(spans, length)).decode("utf-8", "ignore")
-                out.append(text)
+            for text, spans in zip(b.column(1), b.column(2), strict=True):
+                begin, end = _runs(spans, length)
+                out.append(_without(text.as_buffer().to_pybytes(), begin, end).decode("utf-8", "ignore") if begin else text.as_py())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["rec", "left"])
 
     joined = rows.join(_repeat_spans(rows.select("row", "text"), length, slab), "row", "left").select("rec", "text", "spans")
